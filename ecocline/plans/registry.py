@@ -159,7 +159,7 @@ RESPONSES = ["nb_sp", "mean_quantity"]
 PREDICTORS = ["cv_price", "cv_discount", "cv_tax", "complexity"]
 
 SITE_PAIRS = f"""{SITE_TABLE},
-xs AS (UNPIVOT site_table ON cv_price, cv_discount, cv_tax, complexity INTO NAME predictor VALUE x),
+xs AS (FROM site_table UNPIVOT (x FOR predictor IN (cv_price, cv_discount, cv_tax, complexity))),
 pairs AS (
   SELECT site, nation, predictor, x, 'nb_sp' AS response, nb_sp AS y FROM xs
   UNION ALL SELECT site, nation, predictor, x, 'mean_quantity', mean_quantity FROM xs)"""
