@@ -17,6 +17,8 @@ def col(c: Column | str) -> Column:
 def recode(c: Column | str, codes: Mapping[str, str], keep_other: bool = True) -> Column:
     """Replace coded values; others stay as they are, or become NULL with ``keep_other=False``."""
     source, chain = col(c), F
+    if not codes:
+        return source if keep_other else F.lit(None).cast("string")
     for old, new in codes.items():
         chain = chain.when(source == old, F.lit(new))
     return chain.otherwise(source) if keep_other else chain

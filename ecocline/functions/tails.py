@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _TINY = 1e-300
@@ -90,17 +91,17 @@ def t_quantile_np(level, df) -> np.ndarray:
     return np.where(df > 0, (low + high) / 2, np.nan)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_two_sided_np(t, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f_upper(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(f_upper_np(f, d1, d2))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t_quantile(level: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(t_quantile_np(level, df))
 

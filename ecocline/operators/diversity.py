@@ -13,10 +13,16 @@ from ecocline.operators.summaries import share_of_total
 
 
 def relative_cover(
-    counts: DataFrame, site: str, taxon: str, count: str, name: str = "cover"
+    counts: DataFrame, site: str, taxon: str, count: str, name: str = "cover", summed: bool = False
 ) -> DataFrame:
-    """Percent cover ``(site, taxon, cover)``: a taxon's count over the site's total count."""
-    summed = counts.groupBy(site, taxon).agg(F.sum(count).cast("double").alias(count))
+    """Percent cover ``(site, taxon, cover)``: a taxon's count over the site's total count.
+
+    ``summed`` tells that there is one row per site and taxon already, which saves a shuffle.
+    """
+    if summed:
+        summed = counts.select(site, taxon, F.col(count).cast("double").alias(count))
+    else:
+        summed = counts.groupBy(site, taxon).agg(F.sum(count).cast("double").alias(count))
     return share_of_total(summed, [site], count, name).drop(count)
 
 

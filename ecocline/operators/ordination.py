@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecocline.operators.summaries import attach
+from ecocline.sources.storage import cut_lineage
 
 MAX_SITES = 6000
 
@@ -117,10 +118,14 @@ def pair_distances(
 
 
 def shepard_fit(pairs: DataFrame, dissimilarity: str, distance: str) -> DataFrame:
-    """Pairs with the monotone regression of ordination distance on dissimilarity."""
-    rows = pairs.withColumns({
+    """Pairs with the monotone regression of ordination distance on dissimilarity.
+
+    The fit passes over the pairs several times, so they are checkpointed first. Its pools are at
+    most the pairs of the site list.
+    """
+    rows = cut_lineage(pairs.withColumns({
         "__x": F.col(dissimilarity).cast("double"), "__y": F.col(distance).cast("double")
-    })
+    }))
     model = IsotonicRegression(
         featuresCol="__x", labelCol="__y", predictionCol="fitted"
     ).fit(rows)

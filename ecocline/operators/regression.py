@@ -164,15 +164,22 @@ def model_table(
     predictor.
     """
     keys = [*by, "response", "predictor"]
-    sums = fit_sums(df, responses, predictors, by)
-    shared = [*keys, "aicc", "r2", "df"]
-    linear = linear_fits(sums).select(
-        *shared, F.lit("Linear").alias("reg_type"), F.col("t_slope").alias("t")
+    c = F.col
+    fits = quadratic_fits(fit_sums(df, responses, predictors, by))
+    fits = fits.withColumns({"df_line": c("n") - 2, "rss_line": c("vv") - c("c1") * c("c1")})
+    usable = c("uu").isNotNull() & (c("df_line") > 0)
+    fits = fits.withColumn("rss_line", F.when(usable, F.greatest(c("rss_line"), F.lit(0.0))))
+    line = F.struct(
+        F.lit("Linear").alias("reg_type"),
+        aicc(c("n"), c("rss_line"), 2).alias("aicc"),
+        (1 - F.try_divide(c("rss_line"), c("vv"))).alias("r2"),
+        c("df_line").alias("df"),
+        F.try_divide(c("c1"), F.sqrt(F.try_divide(c("rss_line"), c("df_line")))).alias("t"),
     )
-    quadratic = quadratic_fits(sums).select(
-        *shared, F.lit("Polynomial").alias("reg_type"), F.col("t_quadratic").alias("t")
+    bend = F.struct(
+        F.lit("Polynomial").alias("reg_type"), "aicc", "r2", "df", c("t_quadratic").alias("t")
     )
-    both = linear.unionByName(quadratic)
+    both = fits.select(*keys, F.inline(F.array(line, bend)))
     return delta_aicc(both, [*by, "response"]).withColumn(
         "p", tails.t_two_sided(F.col("t"), F.col("df"))
     )

@@ -342,8 +342,9 @@ def join_right(spark, sf):
 
 @query(
     "join_left_natural",
-    """WITH a AS (SELECT p_partkey, nullif(p_type, 'PROMO') AS kind, p_size AS size FROM part),
-b AS (SELECT kind, size, count(*) AS n FROM a WHERE p_partkey % 3 <> 0 GROUP BY ALL)
+    """WITH a AS (SELECT p_partkey, nullif(p_type, 'PROMO') AS kind, p_size AS size,
+    p_retailprice AS price FROM part),
+b AS (SELECT kind, size, count(*) AS n FROM a WHERE price > 1000 GROUP BY ALL)
 SELECT p_partkey, a.kind, a.size, n FROM a LEFT JOIN b
 ON a.kind IS NOT DISTINCT FROM b.kind AND a.size = b.size""",
 )
@@ -351,10 +352,11 @@ def join_left_natural(spark, sf):
     """Left join on all shared columns, where a missing key matches a missing key."""
     c = F.col
     a = parquet(spark, sf, "part").select(
-        "p_partkey", F.nullif(c("p_type"), F.lit("PROMO")).alias("kind"), c("p_size").alias("size")
-    )
-    b = a.filter(c("p_partkey") % 3 != 0).groupBy("kind", "size").agg(F.count("*").alias("n"))
-    return relations.natural_join(a, b, "left")
+        "p_partkey", F.nullif(c("p_type"), F.lit("PROMO")).alias("kind"), c("p_size").alias("size"),
+        c("p_retailprice").alias("price"),
+    )
+    b = a.filter("price > 1000").groupBy("kind", "size").agg(F.count("*").alias("n"))
+    return relations.natural_join(a.drop("price"), b, "left")
 
 
 @query(
