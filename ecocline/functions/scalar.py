@@ -14,6 +14,11 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def quote(name: str) -> str:
+    """Column name as an identifier: exported names hold spaces, dots and plus signs."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def recode(c: Column | str, codes: Mapping[str, str], keep_other: bool = True) -> Column:
     """Replace coded values; others stay as they are, or become NULL with ``keep_other=False``."""
     source, chain = col(c), F

@@ -14,10 +14,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-_lgamma = np.vectorize(math.lgamma, otypes=[float])
 _TINY = 1e-300
 
 
+def _lgamma(values: np.ndarray) -> np.ndarray:
+    return np.array([math.lgamma(v) for v in values.ravel()]).reshape(values.shape)
+
+
 def _log_beta(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """ln B(a, b), with the gamma ratio expanded for large a where lgamma would cancel."""
     big, small = np.maximum(a, b), np.minimum(a, b)

@@ -49,43 +49,53 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int
 
 
 def exact_median(
-    df: DataFrame, keys: Sequence[str], columns: Mapping[str, str], bins: int = 1024
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Mapping[str, str],
+    bins: int = 1024,
+    accuracy: int = 10000,
 ) -> DataFrame:
     """Exact medians per group: ``columns`` maps value column to output name.
 
-    Equal values are counted first. A group's value range is cut into ``bins``; cumulative bin
-    counts locate the one or two bins holding the middle ranks, and only those are ordered.
+    Sketches bracket the middle ranks of each group. Values are counted in bins, ``bins`` of them
+    inside the bracket and one on either side; cumulative counts locate the one or two bins that
+    hold the middle ranks, and only their values are ordered. The bracket decides how much is
+    ordered, never the result.
     """
     names = list(columns)
     long = df.select(*keys, F.inline(F.array(*[
         F.struct(F.lit(columns[c]).alias("__name"), F.col(c).cast("double").alias("__v"))
         for c in names
     ]))).filter("__v IS NOT NULL")
-    by = [*keys, "__name"]
-    counted = long.groupBy(*by, "__v").agg(F.count("*").alias("__n"))
-    spans = counted.groupBy(*by).agg(
-        F.min("__v").alias("__lo"), F.max("__v").alias("__hi"), F.sum("__n").alias("__total")
+    by, value = [*keys, "__name"], F.col("__v")
+    near = F.percentile_approx("__v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
+    spans = long.groupBy(*by).agg(near.alias("__b"), F.count("*").alias("__total"))
+    low, high = F.col("__b")[0], F.col("__b")[1]
+    place = F.floor(F.try_divide(value - low, high - low) * bins)
+    bin_ = (
+        F.when(value < low, -1)
+        .when(value > high, bins)
+        .otherwise(F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
     )
-    place = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo")) * bins
-    binned = counted.join(spans, by).withColumn(
-        "__bin", F.least(F.coalesce(F.floor(place), F.lit(0)), F.lit(bins - 1))
-    )
-    running = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    binned = long.join(spans, by).select(*by, "__v", "__total", bin_.alias("__bin"))
     sizes = binned.groupBy(*by, "__bin").agg(
-        F.sum("__n").alias("__in"), F.max("__total").alias("__total")
+        F.count("*").alias("__in"), F.max("__total").alias("__total")
     )
+    running = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
     sizes = sizes.withColumn("__before", F.sum("__in").over(running) - F.col("__in"))
-    low, high = F.expr("(__total - 1) div 2"), F.expr("__total div 2")
+    lower, upper = F.expr("(__total - 1) div 2"), F.expr("__total div 2")
     first, last = F.col("__before"), F.col("__before") + F.col("__in")
-    middle = sizes.filter(((low >= first) & (low < last)) | ((high >= first) & (high < last)))
-    inside = binned.select(*by, "__bin", "__v", "__n").join(middle, [*by, "__bin"])
+    holds = lambda r: (r >= first) & (r < last)
+    middle = sizes.filter(holds(lower) | holds(upper)).drop("__in")
+    inside = binned.drop("__total").join(middle, [*by, "__bin"])
+    counted = inside.groupBy(*by, "__bin", "__total", "__before", "__v").agg(F.count("*").alias("__n"))
     step = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("__before") + F.sum("__n").over(step)
-    ranked = inside.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__n"))
+    ranked = counted.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__n"))
     at = lambda r: F.max(
-        F.when((r >= F.col("__start")) & (r < F.col("__end")), F.col("__v"))
+        F.when((r >= F.col("__start")) & (r < F.col("__end")), value)
     )
-    medians = ranked.groupBy(*by).agg(((at(low) + at(high)) / 2).alias("__median"))
+    medians = ranked.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias("__median"))
     picked = [
         F.max(F.when(F.col("__name") == columns[c], F.col("__median"))).alias(columns[c])
         for c in names

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ecocline.functions.scalar import quote
+
 
 def cols_between(df: DataFrame, first: str, last: str) -> list[str]:
     """Names of the columns from ``first`` to ``last`` in table order."""
@@ -19,12 +21,12 @@ def relocate(df: DataFrame, name: str, after: str | None = None, before: str | N
     """Move one column next to another."""
     rest = [c for c in df.columns if c != name]
     at = rest.index(after) + 1 if after else rest.index(before) if before else 0
-    return df.select(*rest[:at], name, *rest[at:])
+    return df.select(*[quote(c) for c in (*rest[:at], name, *rest[at:])])
 
 
 def apply_to(df: DataFrame, names: Sequence[str], fn) -> DataFrame:
     """Replace each named column by ``fn(column)`` in one projection."""
-    return df.withColumns({c: fn(F.col(c)) for c in names})
+    return df.withColumns({c: fn(F.col(quote(c))) for c in names})
 
 
 def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFrame:
@@ -37,16 +39,16 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
     hidden = {k: f"__right_{k}" for k in keys}
     renamed = right.withColumnsRenamed(hidden)
     match = reduce(
-        Column.__and__, [left[k].eqNullSafe(renamed[hidden[k]]) for k in keys]
+        Column.__and__, [left[quote(k)].eqNullSafe(renamed[quote(hidden[k])]) for k in keys]
     )
     joined = left.join(renamed, match, how)
     if how in ("left_semi", "left_anti"):
         return joined
     kept = [
-        F.coalesce(F.col(c), F.col(hidden[c])).alias(c) if c in hidden else F.col(c)
+        F.coalesce(F.col(quote(c)), F.col(quote(hidden[c]))).alias(c) if c in hidden else F.col(quote(c))
         for c in left.columns
     ]
-    return joined.select(*kept, *[F.col(c) for c in right.columns if c not in hidden])
+    return joined.select(*kept, *[F.col(quote(c)) for c in right.columns if c not in hidden])
 
 
 def exclude(df: DataFrame, *rules: Column) -> DataFrame:

@@ -7,10 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def quote(column: str) -> str:
-    """Column name as an identifier: exported names hold spaces, dots and plus signs."""
-    return "`" + column.replace("`", "``") + "`"
+from ecocline.functions.scalar import quote
 
 
 def wide_to_long(

@@ -131,15 +131,15 @@ def variogram(
             use = np.triu(use, 1)
         d, g = d[use], dz[use] ** 2 / 2
         bin_ = np.minimum((d / (limit / lags)).astype(int), lags - 1)
-        table = pd.DataFrame({"lag": bin_, "n": 1, "d": d, "g": g})
-        return table.groupby("lag", as_index=False).sum()[["lag", "n", "d", "g"]]
+        table = pd.DataFrame({"lag": bin_, "__n": 1, "__d": d, "__g": g})
+        return table.groupby("lag", as_index=False).sum()
 
     parts = block_reduce(rows, keys, row_id, ["__x", "__y", "__z", "__reach"], compare,
-                         "lag int, n long, d double, g double", block)
+                         "lag int, __n long, __d double, __g double", block)
     return parts.groupBy(*keys, "lag").agg(
-        F.sum("n").alias("n_pairs"),
-        (F.sum("d") / F.sum("n")).alias("distance"),
-        (F.sum("g") / F.sum("n")).alias("gamma"),
+        F.sum("__n").alias("n_pairs"),
+        (F.sum("__d") / F.sum("__n")).alias("distance"),
+        (F.sum("__g") / F.sum("__n")).alias("gamma"),
     )
 
 

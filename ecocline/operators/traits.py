@@ -13,7 +13,7 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ecocline.operators.blocks import block_reduce
@@ -149,12 +149,13 @@ def entity_coordinates(
 
 def variance_explained(axes: DataFrame) -> DataFrame:
     """Eigenvalues by axis, with the running share of the positive ones."""
-    roots = axes.limit(1).select(F.posexplode("eigenvalues").alias("pos", "eigenvalue"))
-    positive = F.when(F.col("eigenvalue") > 0, F.col("eigenvalue")).otherwise(0.0)
-    running = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    out = with_global(roots, {"__total": F.sum(positive)})
-    share = F.sum(positive).over(running) / F.col("__total")
-    return out.select((F.col("pos") + 1).alias("axis"), "eigenvalue", share.alias("cumulative"))
+    positive = lambda v: F.greatest(v, F.lit(0.0))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, v: acc + positive(v))
+    one = axes.agg(F.first("eigenvalues").alias("e")).select("e", F.posexplode("e").alias("i", "v"))
+    share = F.try_divide(total(F.slice("e", F.lit(1), F.col("i") + 1)), total(F.col("e")))
+    return one.select(
+        (F.col("i") + 1).alias("axis"), F.col("v").alias("eigenvalue"), share.alias("cumulative")
+    )
 
 
 def distance_sums(

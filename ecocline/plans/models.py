@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ecocline.operators import diversity, ordering, regression, relations, reports
 from ecocline.plans.registry import (
-    COVER, PREDICTORS, RESPONSES, SITE_PAIRS, SITE_TABLE, cover_counts, query, rounded, site_table,
+    COVER, PREDICTORS, RESPONSES, SITE_PAIRS, SITE_TABLE, cover_counts, query, rounded, site_table, stored_sites,
     taxa,
 )
+from ecocline.sources.storage import cut_lineage
 
 
 def quadratic_sql(pairs: str, keys: str) -> str:
@@ -68,7 +69,7 @@ FROM f""",
 )
 def linear_fits(spark, sf):
     """Simple least squares of every response on every predictor: coefficients, errors, t, R2."""
-    fits = regression.linear_fits(regression.fit_sums(site_table(spark, sf), RESPONSES, PREDICTORS))
+    fits = regression.linear_fits(regression.fit_sums(stored_sites(spark, sf), RESPONSES, PREDICTORS))
     r = lambda c, d: (F.round(c, d) + 0.0).alias(c)
     return fits.select(
         "response", "predictor", "n", r("intercept", 6), r("slope", 8), r("se_slope", 8),
@@ -86,7 +87,7 @@ FROM quad""",
 )
 def quadratic_fits(spark, sf):
     """Quadratic least squares in the orthogonal basis."""
-    sums = regression.fit_sums(site_table(spark, sf), RESPONSES, PREDICTORS)
+    sums = regression.fit_sums(stored_sites(spark, sf), RESPONSES, PREDICTORS)
     r = lambda c, d: (F.round(c, d) + 0.0).alias(c)
     return regression.quadratic_fits(sums).select(
         "response", "predictor", "n", r("c1", 6), r("c2", 6), r("t_linear", 6), r("t_quadratic", 6),
@@ -104,7 +105,7 @@ WHERE x IS NOT NULL GROUP BY nation HAVING count(*) >= 4""",
 )
 def log_fits(spark, sf):
     """Least squares on the logarithm of a predictor, per group."""
-    table = site_table(spark, sf).withColumn("log_complexity", F.ln(F.col("complexity")))
+    table = stored_sites(spark, sf).withColumn("log_complexity", F.ln(F.col("complexity")))
     fits = regression.linear_fits(
         regression.fit_sums(table, ["nb_sp"], ["log_complexity"], ["nation"])
     )
@@ -119,7 +120,7 @@ SELECT response, predictor, reg_type, round(aicc, 6) AS aicc, round(r2, 8) AS r2
 )
 def model_grid(spark, sf):
     """Every response by every predictor in both forms: AICc, R2, p and AICc difference."""
-    models = regression.model_table(site_table(spark, sf), RESPONSES, PREDICTORS)
+    models = regression.model_table(stored_sites(spark, sf), RESPONSES, PREDICTORS)
     r = lambda c, d: F.round(c, d).alias(c)
     return models.select(
         "response", "predictor", "reg_type", r("aicc", 6), r("r2", 8), r("p", 6), r("del_aicc", 6)
@@ -133,7 +134,7 @@ SELECT response, predictor, reg_type, round(del_aicc, 6) AS del_aicc FROM ranked
 )
 def best_models(spark, sf):
     """Models within two AICc units of the best of their response, best first."""
-    models = regression.model_table(site_table(spark, sf), RESPONSES, PREDICTORS)
+    models = regression.model_table(stored_sites(spark, sf), RESPONSES, PREDICTORS)
     best = regression.best_models(models).select("response", "predictor", "reg_type", "del_aicc")
     return rounded(best).orderBy("response", "del_aicc")
 
@@ -153,7 +154,7 @@ FROM p WHERE response = 'nb_sp'""",
 )
 def model_report(spark, sf):
     """Publication table of one response's models: renamed, rounded and ordered."""
-    models = regression.model_table(site_table(spark, sf), RESPONSES, PREDICTORS)
+    models = regression.model_table(stored_sites(spark, sf), RESPONSES, PREDICTORS)
     names = {"cv_price": "Phosphate", "complexity": "Complexity"}
     return reports.model_report(models, {"nb_sp": "% Taxon richness"}, names)
 
@@ -170,7 +171,7 @@ FROM site_table""",
 def residuals_linear(spark, sf):
     """Residuals of two responses from their lines on one predictor."""
     names = {"nb_sp": "res_sp", "mean_quantity": "res_quantity"}
-    out = regression.with_residuals(site_table(spark, sf), names, "complexity")
+    out = regression.with_residuals(stored_sites(spark, sf), names, "complexity")
     return rounded(out.select("site", "res_sp", "res_quantity"))
 
 
@@ -186,7 +187,7 @@ FROM (SELECT pairs.*, quad.mx AS pairs_mx, quad.* EXCLUDE (k, mx) FROM pairs JOI
 )
 def residuals_quadratic(spark, sf):
     """Residuals from a quadratic fit."""
-    out = regression.with_residuals(site_table(spark, sf), {"nb_sp": "res_sp"}, "complexity", degree=2)
+    out = regression.with_residuals(stored_sites(spark, sf), {"nb_sp": "res_sp"}, "complexity", degree=2)
     return rounded(out.select("site", "res_sp"))
 
 
@@ -200,7 +201,7 @@ FROM site_table WINDOW w AS (PARTITION BY nation)""",
 )
 def residuals_by_group(spark, sf):
     """Residuals from each group's own line."""
-    out = regression.with_residuals(site_table(spark, sf), {"nb_sp": "res_sp"}, "complexity", by=["nation"])
+    out = regression.with_residuals(stored_sites(spark, sf), {"nb_sp": "res_sp"}, "complexity", by=["nation"])
     return rounded(out.select("site", "nation", "res_sp"))
 
 
@@ -227,7 +228,7 @@ def sequential_anova(spark, sf):
     ratio = present.join(entities.select("taxon", "fe"), "taxon").groupBy("site").agg(
         (F.count_distinct("fe") / F.count_distinct("taxon")).alias("fe_sp")
     )
-    table = site_table(spark, sf).join(ratio, "site")
+    table = cut_lineage(site_table(spark, sf).join(ratio, "site"))
     tagged = relations.scenarios(table, {"all": None, "without_7": F.col("site") != 7})
     out = regression.sequential_anova(tagged, "fe_sp", "cv_price", ["scenario"])
     r = lambda c, d: F.round(c, d).alias(c)
@@ -248,7 +249,7 @@ SELECT scenario, count(*)::DOUBLE AS n, round(regr_slope(nb_sp, cv_tax), 6) + 0.
 def sensitivity(spark, sf):
     """One fit with and without some sites, from one table."""
     rules = {"all": None, "positive_balance": F.col("complexity") >= 0}
-    tagged = relations.scenarios(site_table(spark, sf), rules)
+    tagged = relations.scenarios(stored_sites(spark, sf), rules)
     fits = regression.linear_fits(regression.fit_sums(tagged, ["nb_sp"], ["cv_tax"], ["scenario"]))
     r = lambda c, d: (F.round(c, d) + 0.0).alias(c)
     return fits.select("scenario", "n", r("slope", 6), r("r2", 8))
@@ -259,7 +260,8 @@ def _trait_cover(spark, sf):
     cover = diversity.relative_cover(cover_counts(spark, sf), "site", "taxon", "count", summed=True)
     groups = taxa(spark, sf).select("taxon", "taxon_group")
     sums = cover.join(groups, "taxon").groupBy("site", "taxon_group").agg(F.sum("cover").alias("cover"))
-    return sums.join(site_table(spark, sf).select("site", "cv_price", "complexity"), "site")
+    sites = site_table(spark, sf).select("site", "cv_price", "complexity")
+    return cut_lineage(sums.join(sites, "site"))
 
 
 _TRAIT_COVER = f"""{SITE_TABLE}, {COVER},
@@ -305,7 +307,7 @@ def significant_taxa(spark, sf):
     kind = F.concat_ws(" ", "morph", "energy").alias("morph")
     sums = cover.join(taxa(spark, sf).select("taxon", kind), "taxon").groupBy("site", "morph")
     sums = sums.agg(F.sum("cover").alias("cover"))
-    table = sums.join(site_table(spark, sf).select("site", "cv_tax"), "site")
+    table = cut_lineage(sums.join(site_table(spark, sf).select("site", "cv_tax"), "site"))
     fits = regression.trait_regressions(table, "morph", "cover", "cv_tax", 1)
     r = lambda c, d: (F.round(c, d) + 0.0).alias(c)
     return regression.significant(fits, 0.5).select(
@@ -439,7 +441,7 @@ FROM k, q WHERE i = 60""",
 )
 def confidence_band(spark, sf):
     """Line with its 95% band over the whole range of a predictor."""
-    return rounded(regression.fitted_curve(site_table(spark, sf), "nb_sp", "complexity", points=80), 5)
+    return rounded(regression.fitted_curve(stored_sites(spark, sf), "nb_sp", "complexity", points=80), 5)
 
 
 @query(
@@ -451,7 +453,7 @@ FROM ranked""",
 )
 def order_by_level(spark, sf):
     """Model rows in published predictor order, then by AICc difference."""
-    models = regression.model_table(site_table(spark, sf), RESPONSES, PREDICTORS)
+    models = regression.model_table(stored_sites(spark, sf), RESPONSES, PREDICTORS)
     levels = ["complexity", "cv_price", "cv_tax", "cv_discount"]
     out = models.withColumn("ord", ordering.level_order(F.col("predictor"), levels))
     out = rounded(out.select("response", "predictor", "reg_type", "ord", "del_aicc"))

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ecocline.functions.scalar import coefficient_of_variation
 from ecocline.operators.summaries import rolled_up
+from ecocline.sources.storage import cut_lineage
 from ecocline.sources.tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,6 +139,11 @@ def site_table(spark: SparkSession, sf: str) -> DataFrame:
     return stats.join(dims, "site")
 
 
+def stored_sites(spark: SparkSession, sf: str) -> DataFrame:
+    """The site table, stored once: a fit reads its input for the means and for the sums."""
+    return cut_lineage(site_table(spark, sf))
+
+
 def samples_with_taxon(spark: SparkSession, sf: str) -> DataFrame:
     c = F.col
     return parquet(spark, sf, "lineitem").select(
@@ -169,7 +175,8 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
     """The survey's fixed list of regions as sites: one row per nation.
 
     Means and CVs of the sample parameters come from its suppliers, the position from its
-    customers. The nation list does not grow with the data.
+    customers. The nation list does not grow with the data, and the few rows are stored once for
+    the several passes that ordination and kriging make over them.
     """
     suppliers = parquet(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("site"), F.col("s_nationkey").alias("nation")
@@ -178,7 +185,7 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
     place = parquet(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(
         (F.avg("c_acctbal") / 1000).alias("lon"), (F.stddev_samp("c_acctbal") / 1000).alias("lat")
     )
-    return stats.join(place, "nation")
+    return cut_lineage(stats.join(place, "nation"))
 
 
 REGIONS = """regions AS (

@@ -192,7 +192,7 @@ SELECT count(*)::DOUBLE AS n, round(regr_slope(dev_from_mean * 1000, cv_tax), 6)
 def dispersion_gradient(spark, sf):
     """Deviation in dispersion regressed on the gradient."""
     table = _dispersion(spark, sf).select("site", (F.col("dev_from_mean") * 1000).alias("dev"))
-    table = table.join(site_table(spark, sf).select("site", "cv_tax"), "site")
+    table = storage.cut_lineage(table.join(site_table(spark, sf).select("site", "cv_tax"), "site"))
     fits = regression.linear_fits(regression.fit_sums(table, ["dev"], ["cv_tax"]))
     return rounded(fits.select("n", "slope", "r2"))
 
@@ -299,12 +299,15 @@ def entity_points(spark, sf):
 
 
 def _region_cover(spark, sf):
-    """Counts by nation and taxon: sites rolled up before any pair of nations is compared."""
+    """Counts by nation and taxon: sites rolled up before any pair of nations is compared.
+
+    Stored, because standardisation and pair sums read it several times.
+    """
     nations = parquet(spark, sf, "supplier").select(
         F.col("s_suppkey").alias("site"), F.col("s_nationkey").alias("nation")
     )
     counts = cover_counts(spark, sf).select("site", "taxon", "count").join(nations, "site")
-    return counts.groupBy("nation", "taxon").agg(F.sum("count").alias("count"))
+    return storage.cut_lineage(counts.groupBy("nation", "taxon").agg(F.sum("count").alias("count")))
 
 
 _REGION_COVER = f"""{COVER},
@@ -338,7 +341,7 @@ def bray_curtis(spark, sf):
 
 
 def _ordination(spark, sf):
-    cover = storage.cut_lineage(_region_cover(spark, sf))
+    cover = _region_cover(spark, sf)
     scaled = ordination.standardise(cover, "nation", "taxon", "count")
     pairs = storage.cut_lineage(ordination.bray_curtis(scaled, "nation", "taxon", "count"))
     sites = cover.select("nation").distinct()
@@ -542,7 +545,7 @@ def variogram(spark, sf):
 
 
 def _krige(spark, sf, grid):
-    samples = storage.cut_lineage(_long_regions(spark, sf))
+    samples = _long_regions(spark, sf)
     keys = ["parameter"]
     empirical = spatial.variogram(samples, keys, "nation", "lon", "lat", "z", lags=10)
     model = spatial.variogram_model(empirical, keys)
@@ -574,7 +577,7 @@ def krige_surface(spark, sf):
 def krige_status(spark, sf):
     """Outcome of the solve per region and parameter: a group that cannot be solved says why."""
     nation = parquet(spark, sf, "nation").select(F.col("n_nationkey").alias("nation"), "n_regionkey")
-    samples = storage.cut_lineage(_long_regions(spark, sf).join(nation, "nation"))
+    samples = _long_regions(spark, sf).join(nation, "nation")
     keys = ["n_regionkey", "parameter"]
     empirical = spatial.variogram(samples, keys, "nation", "lon", "lat", "z")
     model = spatial.variogram_model(empirical, keys)
