@@ -10,7 +10,7 @@ from ecocline.operators import ordering, relations, reports, reshape, summaries
 from ecocline.plans.registry import PARAMETERS, SAMPLES, query, rounded, samples
 from ecocline.sources.tables import parquet
 
-BAD_DAY = datetime(1998, 6, 15)
+BAD_DAY = datetime(1999, 8, 19)
 
 
 def _location(spark, sf):
@@ -36,7 +36,7 @@ def _qc(df):
 _KEPT = f"""{SAMPLES},
 kept AS (
   SELECT * FROM samples
-  WHERE NOT coalesce(tide = 'R' AND day_night = 'F' AND taken = TIMESTAMP '1998-06-15', FALSE)
+  WHERE NOT coalesce(tide = 'R' AND day_night = 'F' AND taken = TIMESTAMP '1999-08-19', FALSE)
     AND NOT coalesce(quantity >= 50, FALSE)),
 location AS (
   SELECT s_suppkey AS site, r_name AS location, s_acctbal FROM supplier
@@ -121,7 +121,7 @@ def site_mean_se(spark, sf):
     "qc_rule_hits",
     f"""WITH {SAMPLES}
 SELECT 'redundant' AS rule, count(*) FILTER (tide = 'R' AND day_night = 'F'
-  AND taken = TIMESTAMP '1998-06-15') AS n_rows FROM samples
+  AND taken = TIMESTAMP '1999-08-19') AS n_rows FROM samples
 UNION ALL SELECT 'untrimmed', count(*) FILTER (tide = ' R') FROM samples
 UNION ALL SELECT 'impossible', count(*) FILTER (quantity >= 50) FROM samples
 UNION ALL SELECT 'undetected', count(*) FILTER (discount IS NULL) FROM samples""",
@@ -161,7 +161,7 @@ def qc_rule_table(spark, sf):
     "date_literal",
     f"""WITH {SAMPLES}
 SELECT tide, day_night, count(*) AS n, round(sum(quantity), 3) AS quantity
-FROM samples WHERE taken = TIMESTAMP '1998-06-15' GROUP BY ALL""",
+FROM samples WHERE taken = TIMESTAMP '1999-08-19' GROUP BY ALL""",
 )
 def date_literal(spark, sf):
     """Samples of one day: the date reaches the Parquet scan as a pushed filter."""

@@ -97,19 +97,19 @@ def quadratic_fits(spark, sf):
 
 @query(
     "log_fits",
-    f"""WITH {SITE_TABLE}
-SELECT nation, count(*)::DOUBLE AS n, round(regr_slope(nb_sp, x), 6) + 0.0 AS slope,
+    f"""WITH {SITE_TABLE},
+x AS (SELECT nb_sp, 'log_complexity' AS predictor, CASE WHEN complexity > 0 THEN ln(complexity) END AS x
+  FROM site_table UNION ALL SELECT nb_sp, 'log_cv_tax', ln(cv_tax) FROM site_table)
+SELECT predictor, count(*)::DOUBLE AS n, round(regr_slope(nb_sp, x), 6) + 0.0 AS slope,
   round(regr_r2(nb_sp, x), 6) AS r2
-FROM (SELECT nation, nb_sp, CASE WHEN complexity > 0 THEN ln(complexity) END AS x FROM site_table)
-WHERE x IS NOT NULL GROUP BY nation HAVING count(*) >= 4""",
+FROM x WHERE x IS NOT NULL GROUP BY predictor""",
 )
 def log_fits(spark, sf):
-    """Least squares on the logarithm of a predictor, per group."""
-    table = stored_sites(spark, sf).withColumn("log_complexity", F.ln(F.col("complexity")))
-    fits = regression.linear_fits(
-        regression.fit_sums(table, ["nb_sp"], ["log_complexity"], ["nation"])
-    )
-    return rounded(fits.filter("n >= 4").select("nation", "n", "slope", "r2"))
+    """Least squares on the logarithm of a predictor; where it has none the row is left out."""
+    logs = {"log_complexity": F.ln("complexity"), "log_cv_tax": F.ln("cv_tax")}
+    table = stored_sites(spark, sf).withColumns(logs)
+    fits = regression.linear_fits(regression.fit_sums(table, ["nb_sp"], list(logs)))
+    return rounded(fits.select("predictor", "n", "slope", "r2"))
 
 
 @query(
