@@ -110,44 +110,72 @@ def _vertices(points: np.ndarray) -> np.ndarray:
     return hull_nd(points)[0]
 
 
-def distinct_points(df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    """One row per group and location; entities at the same place to 12 digits are one point."""
-    return (
-        df.dropna(subset=list(axes))
-        .select(*keys, *[(F.round(F.col(a).cast("double"), DIGITS) + 0.0).alias(a) for a in axes])
-        .distinct()
-    )
+def located(df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
+    """Group and coordinates of complete points; places equal to 12 digits are one place."""
+    at = lambda a: (F.round(F.col(a).cast("double"), DIGITS) + 0.0).alias(a)
+    return df.dropna(subset=list(axes)).select(*keys, *[at(a) for a in axes])
+
+
+def _prune_partition(keys: list[str], axes: list[str], columns: list[str], keep: int):
+    """Running hull vertices per group within a partition; at most ``keep`` rows are held."""
+
+    def prune(batches):
+        held: dict[tuple, pd.DataFrame] = {}
+        size = 0
+        for batch in batches:
+            groups = batch.groupby(keys, dropna=False) if keys else [((), batch)]
+            for key, rows in groups:
+                known = held.get(key)
+                rows = rows if known is None else pd.concat([known, rows])
+                kept = pd.DataFrame(_vertices(rows[axes].to_numpy()), columns=axes)
+                for k, v in zip(keys, key):
+                    kept[k] = v
+                size += len(kept) - (0 if known is None else len(known))
+                held[key] = kept[columns]
+            if size > keep:
+                yield pd.concat(held.values())
+                held, size = {}, 0
+        if held:
+            yield pd.concat(held.values())
+
+    return prune
 
 
 def hull_candidates(
     df: DataFrame, keys: Sequence[str], axes: Sequence[str], chunk: int = 20000
 ) -> DataFrame:
-    """Distinct points that can be hull vertices, once the largest group fits one chunk.
+    """Distinct points that can be hull vertices, few enough per group for one task.
 
-    Each round is a reliable checkpoint, so a lost executor never replays earlier rounds. Rounds
-    stop when the survivors are hull vertices themselves and no longer shrink.
+    Groups that fit one chunk are left as they are. Otherwise partitions are first pruned where
+    they lie, without a shuffle, and then in rounds over hashed chunks. Each round is a reliable
+    checkpoint, so a lost executor never replays earlier ones. Rounds stop when the survivors are
+    hull vertices themselves and no longer shrink.
     """
-    points = distinct_points(df, keys, axes)
-    schema = points.schema
-    axes, previous = list(axes), None
+    points, keys, axes = located(df, keys, axes), list(keys), list(axes)
+    schema, previous = points.schema, None
+    columns = [f.name for f in schema]
 
     def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
         kept = pd.DataFrame(_vertices(pdf[axes].to_numpy()), columns=axes)
         for k in keys:
             kept[k] = pdf[k].iloc[0]
-        return kept[[f.name for f in schema]]
+        return kept[columns]
 
     while True:
         sizes = points.groupBy(*keys).agg(F.count("*").alias("__n"))
         largest = sizes.agg(F.max("__n")).first()[0] or 0
         if largest <= chunk or (previous is not None and largest > 0.9 * previous):
-            return points
+            return points.distinct()
+        if previous is None:
+            pruned = points.mapInPandas(_prune_partition(keys, axes, columns, 10 * chunk), schema)
+        else:
+            parts = F.ceil(F.col("__n") / chunk).cast("int")
+            part = F.pmod(F.xxhash64(*axes, F.lit(largest)), parts).alias("__part")
+            sized = points.join(sizes, keys) if keys else points.withColumn("__n", F.lit(largest))
+            chunks = sized.select(*keys, *axes, part).groupBy(*keys, "__part")
+            pruned = chunks.applyInPandas(reduce_chunk, schema)
         previous = largest
-        parts = F.ceil(F.col("__n") / chunk).cast("int")
-        part = F.pmod(F.xxhash64(*axes, F.lit(largest)), parts).alias("__part")
-        split = points.join(sizes, list(keys)) if keys else points.withColumn("__n", F.lit(largest))
-        reduced = split.select(*keys, *axes, part).groupBy(*keys, "__part")
-        points = cut_lineage(reduced.applyInPandas(reduce_chunk, schema))
+        points = cut_lineage(pruned)
 
 
 def hull_rings(df: DataFrame, key: str, x: str, y: str, chunk: int = 20000) -> DataFrame:

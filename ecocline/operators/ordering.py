@@ -53,7 +53,7 @@ def exact_median(
     keys: Sequence[str],
     columns: Mapping[str, str],
     bins: int = 1024,
-    accuracy: int = 10000,
+    accuracy: int = 1000,
 ) -> DataFrame:
     """Exact medians per group: ``columns`` maps value column to output name.
 
@@ -62,22 +62,28 @@ def exact_median(
     hold the middle ranks, and only their values are ordered. The bracket decides how much is
     ordered, never the result.
     """
-    names = list(columns)
-    long = df.select(*keys, F.inline(F.array(*[
-        F.struct(F.lit(columns[c]).alias("__name"), F.col(c).cast("double").alias("__v"))
-        for c in names
-    ]))).filter("__v IS NOT NULL")
     by, value = [*keys, "__name"], F.col("__v")
-    near = F.percentile_approx("__v", [0.5 - 2 / accuracy, 0.5 + 2 / accuracy], accuracy)
-    spans = long.groupBy(*by).agg(near.alias("__b"), F.count("*").alias("__total"))
-    low, high = F.col("__b")[0], F.col("__b")[1]
-    place = F.floor(F.try_divide(value - low, high - low) * bins)
-    bin_ = (
-        F.when(value < low, -1)
-        .when(value > high, bins)
-        .otherwise(F.least(F.coalesce(place, F.lit(0)), F.lit(bins - 1)))
-    )
-    binned = long.join(spans, by).select(*by, "__v", "__total", bin_.alias("__bin"))
+    ends = [0.5 - 2 / accuracy, 0.5 + 2 / accuracy]
+    spans = df.groupBy(*keys).agg(*[
+        F.struct(
+            F.percentile_approx(F.col(c).cast("double"), ends, accuracy).alias("b"),
+            F.count(c).alias("n"),
+        ).alias(f"__{out}")
+        for c, out in columns.items()
+    ])
+
+    def entry(c: str, out: str) -> Column:
+        v, low, high = F.col(c).cast("double"), F.col(f"__{out}.b")[0], F.col(f"__{out}.b")[1]
+        place = F.coalesce(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(0))
+        bin_ = F.when(v < low, -1).when(v > high, bins).otherwise(F.least(place, F.lit(bins - 1)))
+        return F.struct(
+            F.lit(out).alias("__name"), v.alias("__v"),
+            F.col(f"__{out}.n").alias("__total"), bin_.alias("__bin"),
+        )
+
+    rows = F.array(*[entry(c, out) for c, out in columns.items()])
+    binned = df.select(*keys, *columns).join(spans, list(keys)).select(*keys, F.inline(rows))
+    binned = binned.filter("__v IS NOT NULL")
     sizes = binned.groupBy(*by, "__bin").agg(
         F.count("*").alias("__in"), F.max("__total").alias("__total")
     )
@@ -97,7 +103,7 @@ def exact_median(
     )
     medians = ranked.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias("__median"))
     picked = [
-        F.max(F.when(F.col("__name") == columns[c], F.col("__median"))).alias(columns[c])
-        for c in names
+        F.max(F.when(F.col("__name") == out, F.col("__median"))).alias(out)
+        for out in columns.values()
     ]
     return medians.groupBy(*keys).agg(*picked)

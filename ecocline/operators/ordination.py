@@ -162,12 +162,14 @@ def vector_fit(
     parameters: Sequence[str],
     permutations: int = 999,
     seed: int = 1,
+    multiplier: float = 1.0,
 ) -> DataFrame:
     """Direction and R2 of each parameter on two ordination axes, with a permutation p-value.
 
     Every permutation pairs sites, in order of their id, with values in order of a seeded hash, so
     reruns give the same shuffles. The rows are sites x parameters x permutations; each window
-    holds one permutation of one parameter. Arrow coordinates are direction times root R2.
+    holds one permutation of one parameter. Arrow coordinates are direction times root R2, scaled
+    by a common ``multiplier``.
     """
     c = F.col
     table = attach(table, table.agg(*[F.avg(a).alias(a) for a in axes]), "__mean")
@@ -217,7 +219,8 @@ def vector_fit(
         F.try_divide(c("b1"), size).alias("axis1"), F.try_divide(c("b2"), size).alias("axis2"),
         "r2", (c("hits") / (1.0 + permutations)).alias("p"),
     ).withColumns({
-        "arrow1": c("axis1") * F.sqrt("r2"), "arrow2": c("axis2") * F.sqrt("r2")
+        "arrow1": c("axis1") * F.sqrt("r2") * multiplier,
+        "arrow2": c("axis2") * F.sqrt("r2") * multiplier,
     })
 
 

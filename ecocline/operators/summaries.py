@@ -136,16 +136,25 @@ def z_scores(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def spread_profile(
-    df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], accuracy: int = 10000
+    df: DataFrame,
+    keys: Sequence[str],
+    columns: Sequence[str],
+    probs: Sequence[float],
+    accuracy: int = 10000,
 ) -> DataFrame:
-    """Quantiles of a group's values, from mergeable sketches of bounded size."""
-    q = F.percentile_approx(value, [float(p) for p in probs], accuracy)
-    names = [f"q{int(round(p * 100)):02d}" for p in probs]
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(value).alias("n"), q.alias("q"))
-        .select(*keys, "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
-    )
+    """Quantiles of each column per group, from mergeable sketches of bounded size.
+
+    All columns are sketched in one pass over the rows and unpacked after the aggregation.
+    """
+    points = [float(p) for p in probs]
+    sketch = lambda c: F.struct(
+        F.lit(c).alias("parameter"), F.count(c).alias("n"),
+        F.percentile_approx(c, points, accuracy).alias("q"),
+    )
+    names = [f"q{int(round(p * 100)):02d}" for p in points]
+    packed = df.groupBy(*keys).agg(F.array(*[sketch(c) for c in columns]).alias("r"))
+    rows = packed.select(*keys, F.inline("r"))
+    return rows.select(*keys, "parameter", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:

@@ -184,8 +184,8 @@ FROM long GROUP BY site, parameter""",
 )
 def sample_spread(spark, sf):
     """Quantiles of the samples per site and parameter, from mergeable sketches."""
-    long = reshape.wide_to_long(samples(spark, sf), ["price", "discount"], keep=["site"])
-    return summaries.spread_profile(long, ["site", "parameter"], "value", [0.05, 0.25, 0.5, 0.75, 0.95])
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    return summaries.spread_profile(samples(spark, sf), ["site"], ["price", "discount"], probs)
 
 
 @query(

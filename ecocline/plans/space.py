@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ecocline.operators import diversity, hulls, ordering, ordination, regression, spatial, traits
+from ecocline.operators import diversity, hulls, ordering, ordination, regression, reshape, spatial, traits
 from ecocline.plans.registry import (
     ABIOTIC, COVER, PARAMETERS, REGIONS, SITE_TABLE, TAXA, TRAITS, cover_counts, query, regions,
     rounded, site_table, taxa,
 )
 from ecocline.sources import storage
-from ecocline.sources.tables import parquet
+from ecocline.sources.tables import parquet, read_polygons, write_polygons
 
 _FE = "taxon_group || ',' || morph || ',' || energy"
 AXES = ["pc1", "pc2", "pc3", "pc4"]
@@ -298,6 +298,76 @@ def entity_points(spark, sf):
     return rounded(sums.join(points, "fe").select("site", "fe", "count", "pc1", "pc2"))
 
 
+@query(
+    "entities_by_trait",
+    f"""WITH {_POINTS},
+g AS (SELECT unnest(['Phyla', 'Morphology', 'Trophic Group']) AS trait_group)
+SELECT fe, round(pc1, 6) AS pc1, round(pc2, 6) AS pc2, trait_group, CASE trait_group
+  WHEN 'Phyla' THEN taxon_group WHEN 'Morphology' THEN morph ELSE energy END AS trait
+FROM points, g""",
+)
+def entities_by_trait(spark, sf):
+    """Entities in trait space, one row per trait group with the trait named."""
+    points = _entity_points(spark, sf).select("fe", "pc1", "pc2")
+    return rounded(reshape.split_key(points, "fe", ",", ["Phyla", "Morphology", "Trophic Group"]))
+
+
+@query(
+    "diversity_table",
+    f"""WITH {_POINTS},
+seen AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS taxon, {_FE} AS fe
+  FROM lineitem JOIN taxa ON taxon = l_partkey
+  WHERE l_quantity >= 40 AND taxon_group <> '{ABIOTIC}'),
+p AS (SELECT DISTINCT site, round(pc1, 12) AS x, round(pc2, 12) AS y FROM seen JOIN points USING (fe)),
+edges AS (
+  SELECT a.site, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b
+  ON a.site = b.site AND (a.x, a.y) <> (b.x, b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.site = a.site
+    AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-15)),
+areas AS (SELECT site, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edges GROUP BY site),
+q AS (SELECT DISTINCT x1 AS x, y1 AS y FROM edges),
+pool_edges AS (
+  SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM q a JOIN q b ON (a.x, a.y) <> (b.x, b.y)
+  WHERE NOT EXISTS (SELECT 1 FROM q c
+    WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-15)),
+pool AS (SELECT abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM pool_edges),
+d AS (
+  SELECT site, count(DISTINCT taxon) AS nb_sp,
+    count(DISTINCT taxon) / (SELECT count(DISTINCT taxon) FROM seen) * 100 AS nb_sp_p,
+    count(DISTINCT fe) AS nb_fes,
+    count(DISTINCT fe) / (SELECT count(DISTINCT fe) FROM seen) * 100 AS nb_fes_p
+  FROM seen GROUP BY site),
+t AS (SELECT d.*, areas.area / pool.area * 100 AS vol, s_acctbal AS c
+  FROM d JOIN areas USING (site) JOIN supplier ON site = s_suppkey, pool)
+SELECT site, nb_sp, round(nb_sp_p, 6) AS nb_sp_p, nb_fes, round(nb_fes_p, 6) AS nb_fes_p,
+  round(vol, 6) AS vol, """
+    + ", ".join(
+        f"round({y} - regr_intercept({y}, c) OVER () - regr_slope({y}, c) OVER () * c, 6) + 0.0 AS {r}"
+        for y, r in (("nb_sp", "res_sp"), ("nb_sp_p", "res_spp"), ("nb_fes", "res_fe"),
+                     ("nb_fes_p", "res_fep"), ("vol", "res_vol"))
+    )
+    + " FROM t",
+)
+def diversity_table(spark, sf):
+    """The whole diversity table: richness, entities, hull share, and residuals on complexity."""
+    c = F.col
+    dominant = parquet(spark, sf, "lineitem").filter("l_quantity >= 40").select(
+        c("l_suppkey").alias("site"), c("l_partkey").alias("taxon")
+    )
+    present = dominant.distinct().join(_taxa_entities(spark, sf).select("taxon", "fe"), "taxon")
+    present = storage.cut_lineage(present)
+    by_taxon = diversity.richness(present, "site", "taxon", "nb_sp", "nb_sp_p")
+    by_entity = diversity.richness(present, "site", "fe", "nb_fes", "nb_fes_p")
+    points = present.select("site", "fe").distinct().join(_entity_points(spark, sf), "fe")
+    share = hulls.hull_volumes(points, "site", ["pc1", "pc2"]).select("site", c("percent").alias("vol"))
+    sites = parquet(spark, sf, "supplier").select(c("s_suppkey").alias("site"), "s_acctbal")
+    table = by_taxon.join(by_entity, "site").join(share, "site").join(sites, "site")
+    names = {"nb_sp": "res_sp", "nb_sp_p": "res_spp", "nb_fes": "res_fe", "nb_fes_p": "res_fep",
+             "vol": "res_vol"}
+    out = regression.with_residuals(storage.cut_lineage(table), names, "s_acctbal")
+    return rounded(out.drop("s_acctbal"))
+
+
 def _region_cover(spark, sf):
     """Counts by nation and taxon: sites rolled up before any pair of nations is compared.
 
@@ -492,6 +562,27 @@ def points_in_group_hull(spark, sf):
     return inside.groupBy("label").agg(F.count("*").alias("n"))
 
 
+@query(
+    "kml_polygons",
+    f"""WITH {_PLANE},
+v AS (SELECT DISTINCT label, x1, y1 FROM edges)
+SELECT 'area ' || label AS poly_id, count(*) AS n_vertices, round(min(x1), 9) AS west,
+  round(max(y1), 9) AS north FROM v GROUP BY label""",
+)
+def kml_polygons(spark, sf):
+    """Hull rings written as KML placemarks to the shared folder and read back as vertices."""
+    rings = hulls.hull_rings(_vectors(spark, sf, 2), "label", "pc1", "pc2")
+    corner = F.struct("seq", F.concat_ws(",", "pc1", "pc2", F.lit("0")).alias("at"))
+    packed = rings.groupBy("label").agg(F.array_sort(F.collect_list(corner)).alias("ring"))
+    path = storage.new_path(spark, "areas-kml")
+    names = F.concat(F.lit("area "), F.col("label").cast("string"))
+    write_polygons(packed.select(names.alias("name"), F.array_join("ring.at", " ").alias("corners")), path)
+    vertices = read_polygons(spark, path)
+    return rounded(vertices.groupBy("poly_id").agg(
+        F.count("*").alias("n_vertices"), F.min("lon").alias("west"), F.max("lat").alias("north")
+    ), 9)
+
+
 def _grid_box(spark, sf):
     places = parquet(spark, sf, "customer").groupBy(
         F.col("c_nationkey").alias("nation"), F.col("c_mktsegment").alias("segment")

@@ -78,6 +78,22 @@ def casts(spark, sf):
     )
 
 
+@query(
+    "dates_from_text",
+    """SELECT date_trunc('day', o_orderdate)::DATE AS day, count(*) AS n FROM orders
+WHERE o_orderdate >= TIMESTAMP '1997-01-01' GROUP BY 1""",
+)
+def dates_from_text(spark, sf):
+    """Dates read from month/day/year text and from ISO text."""
+    text = parquet(spark, sf, "orders").select(
+        F.date_format("o_orderdate", "M/d/yyyy").alias("us"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("iso"),
+    )
+    day = F.to_date("us", "M/d/yyyy")
+    kept = text.filter((day == F.to_date("iso")) & (day >= F.to_date(F.lit("1997-01-01"))))
+    return kept.groupBy(day.alias("day")).agg(F.count("*").alias("n"))
+
+
 @query(
     "predicates",
     """SELECT l_returnflag, count(*) AS n, round(sum(l_quantity), 3) AS quantity FROM lineitem

@@ -70,3 +70,11 @@ def read_polygons(spark: SparkSession, path: str) -> DataFrame:
         F.get(part, F.lit(0)).try_cast("double").alias("lon"),
         F.get(part, F.lit(1)).try_cast("double").alias("lat"),
     )
+
+
+def write_polygons(rings: DataFrame, path: str) -> None:
+    """KML placemarks from ``(name, corners)``, corners as ``lon,lat,alt`` triples in order."""
+    ring = F.struct(F.struct(F.struct(F.col("corners").alias("coordinates")).alias("LinearRing"))
+                    .alias("outerBoundaryIs"))
+    writer = rings.select("name", ring.alias("Polygon")).write.format("xml")
+    writer.options(rootTag="Document", rowTag="Placemark").save(path)
