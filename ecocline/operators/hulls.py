@@ -146,13 +146,13 @@ def hull_candidates(
 ) -> DataFrame:
     """Distinct points that can be hull vertices, few enough per group for one task.
 
-    Groups that fit one chunk are left as they are. Otherwise partitions are first pruned where
-    they lie, without a shuffle, and then in rounds over hashed chunks. Each round is a reliable
-    checkpoint, so a lost executor never replays earlier ones. Rounds stop when the survivors are
-    hull vertices themselves and no longer shrink.
+    Groups that fit one chunk are left as they are. The points of larger ones are first pruned in
+    the partitions where they lie, without a shuffle, and then in rounds over hashed chunks. Each
+    round is a reliable checkpoint, so a lost executor never replays earlier ones. Rounds stop
+    when the survivors are hull vertices themselves and no longer shrink.
     """
     points, keys, axes = located(df, keys, axes), list(keys), list(axes)
-    schema, previous = points.schema, None
+    schema, settled, previous = points.schema, None, None
     columns = [f.name for f in schema]
 
     def reduce_chunk(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -165,14 +165,22 @@ def hull_candidates(
         sizes = points.groupBy(*keys).agg(F.count("*").alias("__n"))
         largest = sizes.agg(F.max("__n")).first()[0] or 0
         if largest <= chunk or (previous is not None and largest > 0.9 * previous):
-            return points.distinct()
+            every = points if settled is None else settled.unionByName(points)
+            return every.distinct()
+        large = sizes.filter(F.col("__n") > chunk)
+        if keys:
+            small = points.join(large.select(*keys), keys, "left_anti")
+            settled = small if settled is None else settled.unionByName(small)
+            points = points.join(large, keys)
+        else:
+            points = points.withColumn("__n", F.lit(largest))
         if previous is None:
-            pruned = points.mapInPandas(_prune_partition(keys, axes, columns, 10 * chunk), schema)
+            prune = _prune_partition(keys, axes, columns, 10 * chunk)
+            pruned = points.select(*columns).mapInPandas(prune, schema)
         else:
             parts = F.ceil(F.col("__n") / chunk).cast("int")
             part = F.pmod(F.xxhash64(*axes, F.lit(largest)), parts).alias("__part")
-            sized = points.join(sizes, keys) if keys else points.withColumn("__n", F.lit(largest))
-            chunks = sized.select(*keys, *axes, part).groupBy(*keys, "__part")
+            chunks = points.select(*columns, part).groupBy(*keys, "__part")
             pruned = chunks.applyInPandas(reduce_chunk, schema)
         previous = largest
         points = cut_lineage(pruned)

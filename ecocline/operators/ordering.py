@@ -14,28 +14,36 @@ def level_order(c: Column, levels: Sequence[str]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(v), F.lit(i)) for i, v in enumerate(levels)))[c]
 
 
-def order_index(df: DataFrame, metric: str, name: str = "ord", cuts: int = 256) -> DataFrame:
+def order_index(df: DataFrame, metric: str, name: str = "ord", levels: int = 8) -> DataFrame:
     """Dense rank of every row by ``metric`` over the whole table (NULL metric, NULL rank).
 
-    Distinct values are cut into ranges at approximate quantiles, ranked inside each range, and
-    shifted by the sizes of the ranges before. The cut points and range sizes are at most
-    ``cuts + 1`` numbers; no window spans more than one range.
+    Distinct values are cut into ``2 ** levels`` ranges at approximate quantiles, ranked inside
+    each range, and shifted by the sizes of the ranges before. A value finds its range by binary
+    search; the cut points and range sizes are one short array, and no window spans more than one
+    range.
     """
     values = df.select(F.col(metric).alias("v")).filter("v IS NOT NULL").distinct()
+    cuts = 2**levels
     points = [i / cuts for i in range(1, cuts)]
     edges = values.agg(F.percentile_approx("v", points, 10 * cuts)).scalar()
-    ranged = values.withColumn("e", edges).select(
-        "v", F.size(F.filter("e", lambda e: e < F.col("v"))).alias("r")
-    )
+    ranged = values.withColumns({"e": edges, "r": F.lit(0)})
+    for level in reversed(range(levels)):
+        step = 2**level
+        beyond = F.get("e", F.col("r") + (step - 1)) < F.col("v")
+        ranged = ranged.withColumn("r", F.col("r") + F.when(beyond, step).otherwise(0))
+    ranged = ranged.select("v", "r")
     sizes = ranged.groupBy("r").agg(F.count("*").alias("n"))
     sizes = sizes.agg(F.collect_list(F.struct("r", "n"))).scalar()
-    before = F.aggregate(
-        F.filter("s", lambda s: s["r"] < F.col("r")),
-        F.lit(0).cast("long"),
-        lambda total, s: total + s["n"],
-    )
+    starts = F.map_from_entries(F.transform("s", lambda a: F.struct(
+        a["r"],
+        F.aggregate(
+            "s", F.lit(0).cast("long"),
+            lambda total, b: total + F.when(b["r"] < a["r"], b["n"]).otherwise(0),
+        ),
+    )))
+    offsets = df.sparkSession.range(1).withColumn("s", sizes).select(F.explode(starts).alias("r", "o"))
     within = F.row_number().over(Window.partitionBy("r").orderBy("v"))
-    ranks = ranged.withColumn("s", sizes).select("v", (before + within).alias(name))
+    ranks = ranged.join(offsets, "r").select("v", (F.col("o") + within).alias(name))
     return df.join(ranks, df[metric] == ranks["v"], "left").drop("v")
 
 
