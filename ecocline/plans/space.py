@@ -312,6 +312,13 @@ def entities_by_trait(spark, sf):
     return rounded(reshape.split_key(points, "fe", ",", ["Phyla", "Morphology", "Trophic Group"]))
 
 
+# c lies to the right of a -> b, or on it between the two: then a -> b is no edge of the ring
+_CROSS = "((b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x))"
+_ALONG = "((b.x - a.x) * (c.x - a.x) + (b.y - a.y) * (c.y - a.y))"
+_NOT_AN_EDGE = f"""({_CROSS} < -1e-15 OR (abs({_CROSS}) <= 1e-15 AND {_ALONG} > 1e-15
+  AND {_ALONG} < pow(b.x - a.x, 2) + pow(b.y - a.y, 2) - 1e-15))"""
+
+
 @query(
     "diversity_table",
     f"""WITH {_POINTS},
@@ -322,14 +329,12 @@ p AS (SELECT DISTINCT site, round(pc1, 12) AS x, round(pc2, 12) AS y FROM seen J
 edges AS (
   SELECT a.site, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b
   ON a.site = b.site AND (a.x, a.y) <> (b.x, b.y)
-  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.site = a.site
-    AND (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-15)),
+  WHERE NOT EXISTS (SELECT 1 FROM p c WHERE c.site = a.site AND {_NOT_AN_EDGE})),
 areas AS (SELECT site, abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM edges GROUP BY site),
 q AS (SELECT DISTINCT x1 AS x, y1 AS y FROM edges),
 pool_edges AS (
   SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM q a JOIN q b ON (a.x, a.y) <> (b.x, b.y)
-  WHERE NOT EXISTS (SELECT 1 FROM q c
-    WHERE (b.x - a.x) * (c.y - a.y) - (b.y - a.y) * (c.x - a.x) < -1e-15)),
+  WHERE NOT EXISTS (SELECT 1 FROM q c WHERE {_NOT_AN_EDGE})),
 pool AS (SELECT abs(sum(x1 * y2 - x2 * y1)) / 2 AS area FROM pool_edges),
 d AS (
   SELECT site, count(DISTINCT taxon) AS nb_sp,
