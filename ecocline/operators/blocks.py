@@ -14,6 +14,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash-partition by group keys at the full shuffle width.
+
+    Grouped solves are heavy for their bytes; merging their small partitions would run them one
+    after another. The grouping that follows needs no further shuffle.
+    """
+    width = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(width, *keys)
+
+
 def block_reduce(
     df: DataFrame,
     keys: Sequence[str],
@@ -51,4 +61,5 @@ def block_reduce(
         return out
 
     key_schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keys).schema]
-    return rows.groupBy(*keys, "__a", "__b").applyInPandas(run, ", ".join([*key_schema, schema]))
+    pairs = spread(rows, [*keys, "__a", "__b"]).groupBy(*keys, "__a", "__b")
+    return pairs.applyInPandas(run, ", ".join([*key_schema, schema]))

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ecocline.operators.blocks import spread
 from ecocline.sources.storage import cut_lineage
 
 DIGITS = 12
@@ -104,6 +105,14 @@ def hull_nd(points: np.ndarray) -> tuple[np.ndarray, float]:
     return pts[np.unique(facets)], float(volume)
 
 
+def extent(points: np.ndarray) -> float:
+    """Area or volume of the hull."""
+    if points.shape[1] > 2:
+        return hull_nd(points)[1]
+    x, y = ring_2d(points).T
+    return float(abs(np.sum(x * np.roll(y, -1) - y * np.roll(x, -1))) / 2)
+
+
 def _vertices(points: np.ndarray) -> np.ndarray:
     if points.shape[1] == 2:
         return ring_2d(points)
@@ -180,8 +189,8 @@ def hull_candidates(
         else:
             parts = F.ceil(F.col("__n") / chunk).cast("int")
             part = F.pmod(F.xxhash64(*axes, F.lit(largest)), parts).alias("__part")
-            chunks = points.select(*columns, part).groupBy(*keys, "__part")
-            pruned = chunks.applyInPandas(reduce_chunk, schema)
+            chunks = spread(points.select(*columns, part), [*keys, "__part"])
+            pruned = chunks.groupBy(*keys, "__part").applyInPandas(reduce_chunk, schema)
         previous = largest
         points = cut_lineage(pruned)
 
@@ -198,7 +207,7 @@ def hull_rings(df: DataFrame, key: str, x: str, y: str, chunk: int = 20000) -> D
         return out
 
     schema = f"`{key}` {kind}, seq int, `{x}` double, `{y}` double"
-    return points.groupBy(key).applyInPandas(ring, schema)
+    return spread(points, [key]).groupBy(key).applyInPandas(ring, schema)
 
 
 def ring_areas(rings: DataFrame, key: str, x: str, y: str, name: str = "area") -> DataFrame:
@@ -221,14 +230,14 @@ def hull_volumes(
     """
     axes = list(axes)
     groups = hull_candidates(df, [key], axes, chunk)
-    pool = hull_candidates(groups, [], axes, chunk)
+    pool = hull_candidates(groups.select(*axes).distinct(), [], axes, chunk)
     kind = groups.schema[key].dataType.simpleString()
 
     def volume(pdf: pd.DataFrame) -> pd.DataFrame:
         pts = pdf[axes].to_numpy()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_points": [len(pts)], name: [hull_nd(pts)[1]]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_points": [len(pts)], name: [extent(pts)]})
 
-    out = groups.groupBy(key).applyInPandas(
+    out = spread(groups, [key]).groupBy(key).applyInPandas(
         volume, f"`{key}` {kind}, n_points long, {name} double"
     )
     tagged = pool.withColumn(key, F.lit(None).cast(kind))

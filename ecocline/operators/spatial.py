@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import haversine_m
-from ecocline.operators.blocks import block_reduce
+from ecocline.operators.blocks import block_reduce, spread
 from ecocline.operators.ordering import exact_median, order_index
 from ecocline.operators.summaries import attach
 
@@ -197,7 +197,7 @@ def krige_weights(
         return pd.DataFrame(out)
 
     schema = ", ".join([*kinds, "status string", "mean double", f"nodes {node}"])
-    solved = solvable.groupBy(*keys).applyInPandas(solve, schema)
+    solved = spread(solvable, keys).groupBy(*keys).applyInPandas(solve, schema)
     every = samples.select(*keys).distinct().join(packed, keys, "left")
     reason = F.when(F.col("n") > MAX_SAMPLES, "too many samples for one solve").otherwise("no samples")
     rest = every.join(solved.select(*keys), keys, "left_anti").select(

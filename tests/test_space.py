@@ -126,6 +126,7 @@ def test_ring_and_general_hull_agree_in_the_plane(points):
     x, y = ring[:, 0], ring[:, 1]
     area = abs(np.sum(x * np.roll(y, -1) - y * np.roll(x, -1))) / 2
     assert hulls.hull_nd(pts)[1] == pytest.approx(area, abs=1e-9)
+    assert hulls.extent(pts) == pytest.approx(area, abs=1e-9)
 
 
 @settings(max_examples=25, deadline=None)
