@@ -13,6 +13,11 @@ from ecocline.sources.tables import parquet
 BAD_DAY = datetime(1999, 8, 19)
 
 
+def _bad_day():
+    """Typed like the column: a zoned literal would be cast on every row and never pushed down."""
+    return F.lit(BAD_DAY.isoformat(" ")).cast("timestamp_ntz")
+
+
 def _location(spark, sf):
     """Site to region name; joined to one row per site, after the samples are reduced."""
     c = F.col
@@ -29,7 +34,7 @@ def _location(spark, sf):
 def _qc(df):
     """Redundant low-tide samples of one day and impossible readings go; unknown stays."""
     c = F.col
-    redundant = (c("tide") == "R") & (c("day_night") == "F") & (c("taken") == F.lit(BAD_DAY))
+    redundant = (c("tide") == "R") & (c("day_night") == "F") & (c("taken") == _bad_day())
     return relations.exclude(df, redundant, c("quantity") >= 50)
 
 
@@ -130,7 +135,7 @@ def qc_rule_hits(spark, sf):
     """Rows matched by each exclusion rule; a rule that matches nothing shows as zero."""
     c = F.col
     return relations.rule_hits(samples(spark, sf), {
-        "redundant": (c("tide") == "R") & (c("day_night") == "F") & (c("taken") == F.lit(BAD_DAY)),
+        "redundant": (c("tide") == "R") & (c("day_night") == "F") & (c("taken") == _bad_day()),
         "untrimmed": c("tide") == " R",
         "impossible": c("quantity") >= 50,
         "undetected": c("discount").isNull(),
@@ -165,7 +170,7 @@ FROM samples WHERE taken = TIMESTAMP '1999-08-19' GROUP BY ALL""",
 )
 def date_literal(spark, sf):
     """Samples of one day: the date reaches the Parquet scan as a pushed filter."""
-    day = samples(spark, sf).filter(F.col("taken") == F.lit(BAD_DAY))
+    day = samples(spark, sf).filter(F.col("taken") == _bad_day())
     out = day.groupBy("tide", "day_night").agg(
         F.count("*").alias("n"), F.sum("quantity").alias("quantity")
     )
