@@ -2,23 +2,32 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a fresh one only where it is unset."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where it is unset, a folder under the warehouse, which all executors share; a warehouse on
+    a local disk is accepted from a local master alone.
+    """
     context = spark.sparkContext
-    if configured:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(configured)
-        return configured
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_intermediate"
+        local = context._jvm.org.apache.hadoop.fs.Path(folder).getFileSystem(
+            context._jsc.hadoopConfiguration()
+        )
+        if local.getUri().getScheme() == "file" and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="ecocline-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(folder)
+    return folder
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -28,8 +37,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """An unused path in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """An unused path in the shared folder; what is written there is removed at the end."""
+    if not _WRITTEN:
+        atexit.register(remove_written)
+    _WRITTEN.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _WRITTEN[-1]
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -37,3 +49,14 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def remove_written() -> None:
+    """Delete the tables this session wrote under ``new_path``, while the session still lives."""
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _WRITTEN:
+        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(conf).delete(path, True)
