@@ -5,8 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ecocline.llm.jaccard import jaccard_join
+from ecocline.llm.mixing import mix
+from ecocline.llm.topk import top_k
+from ecocline.llm.urls import judge_urls
+from ecocline.llm.vectors import near_vectors, usable
 from ecocline.sources.tables import parquet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,11 +41,11 @@ runs AS (
         WHERE len(w) > 0)),
 sizes AS (SELECT doc_id, count(*) AS n FROM runs GROUP BY 1),
 common AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS n
   FROM runs x JOIN runs y ON x.run = y.run AND x.doc_id <> y.doc_id GROUP BY ALL),
 links AS (
   SELECT a, b FROM common JOIN sizes p ON a = p.doc_id JOIN sizes q ON b = q.doc_id
-  WHERE 100 * both >= 85 * (p.n + q.n - both)),
+  WHERE 100 * common.n >= 85 * (p.n + q.n - common.n)),
 reach AS (
   SELECT doc_id, doc_id AS other FROM documents
   UNION SELECT doc_id, b FROM reach JOIN links ON other = a)
@@ -49,3 +54,115 @@ FROM documents d JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP
 """)
 def op1(spark: SparkSession, sf: str) -> DataFrame:
     return jaccard_join(parquet(spark, sf, "documents"), words=4, percent=85)
+
+
+@query("op2_pivot_top_k", """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 10
+""")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    vectors = parquet(spark, sf, "embeddings").select(
+        "vec_id",
+        F.when(
+            usable(F.col("embedding")),
+            F.transform("embedding", lambda x: F.floor(1024 * x.cast("double"))),
+        ).alias("embedding"),
+    )
+    return top_k(vectors, "vec_id % 100 = 0")
+
+
+@query("op7_near_vectors", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_inner_product(a.e, b.e)
+    >= 0.9 * sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))),
+reach AS (
+  SELECT vec_id, vec_id AS other FROM v UNION SELECT vec_id, b FROM reach JOIN links ON other = a),
+counts AS (SELECT a, count(*) AS n FROM links GROUP BY 1)
+SELECT vec_id, coalesce(any_value(n), 0)::BIGINT AS n_links, min(other) AS component_id,
+  vec_id = min(other) AS kept
+FROM reach LEFT JOIN counts ON vec_id = a GROUP BY vec_id
+""")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return near_vectors(parquet(spark, sf, "embeddings"), threshold=0.9, recall=0.999)
+
+
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+@query("op8_url_rules", """
+WITH rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+rest AS (
+  SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN url[instr(url, '://') + 3:] ELSE '' END AS r
+  FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM rest)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS verdict
+  FROM parts JOIN rules
+    ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+  GROUP BY page_id) USING (page_id)
+""")
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return judge_urls(parquet(spark, sf, "pages"), rules)
+
+
+@query("op10_curriculum_mix", """
+WITH sized AS (
+  SELECT doc_id, source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+    md5(concat_ws(':', doc_id::VARCHAR, md5(coalesce(text, '')))) AS place
+  FROM documents),
+catalogue AS (
+  SELECT *, [5, 2, 1][turn + 1]::DOUBLE AS weight, source_size * 2.0::DOUBLE AS lim FROM (
+    SELECT source, sum(size)::BIGINT AS source_size,
+      (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn
+    FROM sized GROUP BY source)),
+levels AS (
+  SELECT *, row_number() OVER (ORDER BY lim / weight, source NULLS LAST) AS nth, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(lim) OVER earlier, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+  FROM catalogue
+  WINDOW earlier AS (ORDER BY lim / weight, source NULLS LAST
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+targets AS (
+  SELECT *, least(lim, coalesce(weight * arg_min(level, nth) FILTER (level * weight < lim) OVER (), lim))
+    AS target,
+    [0.5, 0.0, -0.5][turn + 1]::DOUBLE AS tilt
+  FROM levels),
+placed AS (
+  SELECT d.*, source_size, target, tilt, round(target)::BIGINT AS wanted,
+    coalesce(round(target)::BIGINT // nullif(source_size, 0), 0) AS passes,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY place ROWS UNBOUNDED PRECEDING) - size)::BIGINT
+      AS before
+  FROM sized d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source),
+taking AS (
+  SELECT *, greatest(0, least(wanted - passes * source_size - before, size)) AS part FROM placed)
+SELECT doc_id, size, source_size, round(target, 6) AS target,
+  (passes * size + part)::BIGINT AS taken,
+  CASE WHEN size > 0 AND passes * size + part > 0 THEN round(
+    2 * (before / target) / (1 + tilt + sqrt((1 + tilt) ** 2 - 4 * tilt * (before / target))), 9) END
+    AS position
+FROM taking
+""")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    mixed = mix(parquet(spark, sf, "documents")).drop("positions")
+    return mixed.withColumn("target", F.round("target", 6))
