@@ -9,15 +9,25 @@ from pyspark.sql import functions as F
 
 from ecocline.llm.jaccard import jaccard_join
 from ecocline.llm.mixing import mix
+from ecocline.llm.tokens import count_tokens
 from ecocline.llm.topk import top_k
 from ecocline.llm.urls import judge_urls
 from ecocline.llm.vectors import near_vectors, usable
 from ecocline.sources.tables import parquet
 
+#: The tokenizer file; it is read in place on every executor.
+VOCABULARY = "byte_bpe_50k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def vocabulary() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 def query(name: str, sql: str | None = None):
     def add(fn):
         QUERIES[name] = fn
@@ -166,3 +176,8 @@ FROM taking
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     mixed = mix(parquet(spark, sf, "documents")).drop("positions")
     return mixed.withColumn("target", F.round("target", 6))
+
+
+@query("op6_token_counts")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    return count_tokens(parquet(spark, sf, "documents"), vocabulary(), limit=512)
