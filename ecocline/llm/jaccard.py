@@ -11,10 +11,10 @@ Ranges that hold no shingle agree by chance, so they are no keys. A band has som
 set with more empty ranges than that is also keyed by the first shingles of its prefix, of which
 two similar sets always share one. So no pair is lost.
 
-Meeting texts are never expanded into pairs of a group: every text is first checked against the
-first text of its key, links become components, and only texts of one key that are still in
-different components, of fitting size and with a Hamming distance of their 256-bit parity sketches
-within the bound, are compared further.
+Meeting texts are never expanded into pairs of a group: every text is first checked against one
+text, of the first ones of its keys that with which it shares most keys; links become components,
+and only texts of one key that are still in different components, of fitting size and with a Hamming
+distance of their 256-bit parity sketches within the bound, are compared further.
 """
 
 from __future__ import annotations
@@ -180,13 +180,9 @@ def _checked(words: int, percent: int):
 
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole texts are similar enough."""
-    pairs = materialise(pairs, "pairs")
-    used = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = texts.join(used, "id", "left_semi")
     for side in "ab":
-        pairs = pairs.join(
-            texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}")), side
-        )
+        named = texts.select(F.col("id").alias(side), F.col("text").alias(f"text_{side}"))
+        pairs = pairs.join(named.hint("merge"), side)
     checked = pairs.select("a", "b", "text_a", "text_b").mapInArrow(
         _checked(words, percent), "a long, b long"
     )
@@ -235,9 +231,16 @@ def jaccard_join(
     ).dropDuplicates(["id"])
     rows = met.filter("sketch is null")
 
-    pairs = rows.filter("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    pairs = _by_rep(pairs.distinct(), stands)
-    links = _links(pairs, known, words, percent)
+    # Texts that share a key are moved once, and read for both rounds. The join does not depend on
+    # the size of the list.
+    used = rows.select("id").distinct().join(reps.select("id"), "id", "left_semi")
+    texts = materialise(known.join(used.hint("merge"), "id", "left_semi"), "texts")
+
+    pairs = rows.filter("first <> id").groupBy(F.col("id").alias("a"), F.col("first").alias("b"))
+    pairs = _by_rep(pairs.agg(F.count("*").alias("keys")), stands)
+    often = pairs.groupBy("a").agg(F.max(F.struct("keys", -F.col("b"))).alias("best"))
+    pairs = materialise(often.select("a", (-F.col("best.col2")).alias("b")), "pairs")
+    links = _links(pairs, texts, words, percent)
     groups = components(links.union(same))
 
     # What one text of a key does not settle: texts of that key in different components.
@@ -258,7 +261,7 @@ def jaccard_join(
     )
     rest = meet.select(F.col("id_b").alias("a"), F.col("id").alias("b")).distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = _links(rest, known, words, percent)
+    more = _links(materialise(rest, "pairs"), texts, words, percent)
     groups = components(
         groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     )
@@ -276,13 +279,16 @@ def jaccard_join(
 
 
 def _by_rep(pairs: DataFrame, stands: DataFrame) -> DataFrame:
-    """Pairs of first texts instead of their copies; ids that name several texts stay themselves."""
+    """Pairs of first texts instead of their copies, with the keys they share.
+
+    Ids that name several texts stay themselves.
+    """
     alone = stands.filter("texts = 1 and rep <> id").select("id", "rep")
     for side in "ab":
         pairs = pairs.join(alone.withColumnsRenamed({"id": side, "rep": "to"}), side, "left")
         pairs = pairs.withColumn(side, F.coalesce("to", side)).drop("to")
     ends = (F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.filter("a <> b").select(*ends).distinct()
+    return pairs.filter("a <> b").groupBy(*ends).agg(F.sum("keys").alias("keys"))
 
 
 def _nameless(words: int):
