@@ -21,7 +21,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +35,6 @@ _BAND_RATIO = 0.7
 _KEYS = "key long, id long, size int, sketch binary"
 
 
-@cache
 def bands(percent: int, limit: int = 1 << 40) -> tuple[tuple[int, int, int, int], ...]:
     """(first size, first size of the next band, ranges, spare ranges) from small to large."""
     out, low = [], 1
@@ -55,13 +53,12 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return x.astype(_U).view(np.int64)
 
 
-def keys_of(runs: np.ndarray, percent: int) -> np.ndarray:
+def keys_of(runs: np.ndarray, percent: int, table: tuple) -> np.ndarray:
     """The keys under which a set can meet every set of the given similarity but its equals."""
     n = len(runs)
     most = n * 100 // percent  # largest partner
     if (100 - percent) * (n + most) // (100 + percent) < 1:
         return np.zeros(0, dtype=np.int64)
-    table = bands(percent)
     at = next(i for i, b in enumerate(table) if b[0] <= n < b[1])
     parity = mix(runs * _U(0xC2B2AE3D27D4EB4F))
     out, prefix = [], False
@@ -92,6 +89,8 @@ def _key_rows(ids: str, text: str, words: int, percent: int):
         [("key", pa.int64()), ("id", pa.int64()), ("size", pa.int32()), ("sketch", pa.binary())]
     )
 
+    table = bands(percent)
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = WordHasher()
         for batch in batches:
@@ -102,7 +101,7 @@ def _key_rows(ids: str, text: str, words: int, percent: int):
                 if len(runs):
                     with np.errstate(over="ignore"):
                         whole = np.array([np.add.reduce(mix(runs)) + _U(len(runs))], dtype=_U)
-                    own = np.concatenate([_signed(mix(whole)), keys_of(runs, percent)])
+                    own = np.concatenate([_signed(mix(whole)), keys_of(runs, percent, table)])
                     sketch = sketch_of(runs)
                 else:
                     own, sketch = _signed(mix(np.array([name], dtype=np.int64).view(_U))), b""

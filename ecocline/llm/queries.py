@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecocline.llm.jaccard import jaccard_join
+from ecocline.llm.licenses import NOTICES, PHRASES, scan_licenses
+from ecocline.llm.lines import drop_repeated_lines
 from ecocline.llm.mixing import mix
+from ecocline.llm.packing import pack
 from ecocline.llm.tokens import count_tokens
 from ecocline.llm.topk import top_k
 from ecocline.llm.urls import judge_urls
@@ -181,3 +184,83 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
 @query("op6_token_counts")
 def op6(spark: SparkSession, sf: str) -> DataFrame:
     return count_tokens(parquet(spark, sf, "documents"), vocabulary(), limit=512)
+
+
+@query("op3_bin_slack_packing")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(parquet(spark, sf, "documents"), vocabulary(), capacity=2048, end=1)
+
+
+def _grams(k: int = 2) -> str:
+    """The templates' k-grams as SQL values."""
+    rows, at = [], 0
+    for exact, table in (("true", PHRASES), ("false", NOTICES)):
+        for text, label in table.items():
+            words = text.split(" ")
+            n = len(words) - k + 1
+            rows += [f"({at}, '{label}', {exact}, {n}, {i}, '{' '.join(words[i:i + k])}')" for i in range(n)]
+            at += 1
+    return ", ".join(rows)
+
+
+@query("op4_license_scan", f"""
+WITH templates(template, label, exact, grams, tpos, gram) AS (VALUES {_grams()}),
+d AS (
+  SELECT doc_id, regexp_extract_all({LOWER.replace('text', "coalesce(text, '')")},
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+rolled AS (
+  SELECT doc_id, x[3] AS pos, x[1] || ' ' || x[2] AS run
+  FROM (SELECT doc_id, unnest(list_zip(w, w[2:], range(len(w)))) AS x FROM d WHERE len(w) > 1)),
+votes AS (
+  SELECT doc_id, template, label, exact, grams, pos - tpos AS diagonal, list(tpos) AS found,
+    min(pos) AS low, max(pos) AS high
+  FROM rolled JOIN templates ON gram = run GROUP BY ALL),
+fresh AS (
+  SELECT *, CASE WHEN exact OR diagonal - lag(diagonal) OVER along <= 2 IS NOT TRUE THEN 1 ELSE 0 END
+    AS fresh
+  FROM votes WINDOW along AS (PARTITION BY doc_id, template ORDER BY diagonal)),
+numbered AS (
+  SELECT *, sum(fresh) OVER (PARTITION BY doc_id, template ORDER BY diagonal) AS span FROM fresh),
+spans AS (
+  SELECT doc_id, label, exact, grams, len(list_distinct(flatten(list(found)))) AS held,
+    min(low) AS low, max(high) AS high
+  FROM numbered GROUP BY doc_id, template, label, exact, grams, span),
+judged AS (
+  SELECT *, exact AND held = grams AS base,
+    NOT exact AND held / grams >= 0.75 AND high - low + 1 <= grams * 2 AS notice
+  FROM spans)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, count(low) FILTER (base) AS n_base,
+  (min(low) FILTER (base))::BIGINT AS first_word, (max(low) FILTER (base))::BIGINT AS last_word,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base), '') AS base_labels,
+  coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base OR notice), '') AS labels,
+  coalesce(max(CASE WHEN base THEN 1.0 WHEN notice THEN held / grams ELSE 0.0 END), 0.0)::DOUBLE AS score
+FROM d LEFT JOIN judged USING (doc_id) GROUP BY d.doc_id, w
+""")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return scan_licenses(parquet(spark, sf, "documents"))
+
+
+@query("op5_line_windows", """
+WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents),
+w AS (
+  SELECT doc_id, unnest(range(0, len(lines) - 2)) AS line, lines FROM l WHERE len(lines) >= 3),
+h AS (
+  SELECT doc_id, line, lines[line + 1] || chr(10) || lines[line + 2] || chr(10) || lines[line + 3] AS win
+  FROM w WHERE trim(lines[line + 1] || lines[line + 2] || lines[line + 3]) <> ''),
+seen AS (
+  SELECT *, first_value(doc_id) OVER o AS first_doc, first_value(line) OVER o AS first_line,
+    row_number() OVER o AS nth
+  FROM h WINDOW o AS (PARTITION BY win ORDER BY doc_id, line)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest([line, line + 1, line + 2]) AS line FROM seen
+  WHERE nth > 1 AND NOT (doc_id = first_doc AND line < first_line + 3)),
+cut AS (SELECT doc_id, list(line) AS gone FROM gone GROUP BY doc_id)
+SELECT d.doc_id, coalesce(len(lines), 0)::BIGINT AS n_lines,
+  coalesce(len(gone), 0)::BIGINT AS n_removed,
+  CASE WHEN gone IS NULL THEN text ELSE array_to_string(
+    [x FOR x, i IN lines IF NOT list_contains(gone, i - 1)], chr(10)) END AS text
+FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN cut USING (doc_id)
+""")
+def op5(spark: SparkSession, sf: str) -> DataFrame:
+    documents = parquet(spark, sf, "documents").select("doc_id", "text")
+    return drop_repeated_lines(documents).select("doc_id", "n_lines", "n_removed", "text")

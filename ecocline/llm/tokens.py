@@ -23,7 +23,6 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +39,6 @@ _KEPT = 3 << 20  # pieces whose path is kept
 _SYNC = regex.compile(r"\P{White_Space}(?=\p{White_Space})")
 
 
-@cache
 def _classes() -> np.ndarray:
     """Class of every code point; one beyond the last stands for the edge of a text."""
     out = np.full(0x110001, _OTHER, dtype=np.int8)
@@ -133,6 +131,7 @@ class Compiled:
         self.maybe_token[self.token_hash >> _U(42)] = True
         self.maybe_pair = np.zeros(1 << 22, dtype=bool)
         self.maybe_pair[_spread(self.pairs)] = True
+        self.classes = _classes()
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._forget()
 
@@ -295,7 +294,7 @@ class Compiled:
         points = np.concatenate(parts)
         if len(points) > len(self.up):
             self._powers_to(2 * len(points))
-        kinds = _classes()[points]
+        kinds = self.classes[points]
         starts = np.flatnonzero(piece_starts(points, kinds))
         edges = np.flatnonzero(kinds == _EDGE)
         per_text = np.diff(np.searchsorted(starts, edges))
@@ -391,9 +390,18 @@ def scan(maps: list[StateMap], count) -> StateMap:
     return maps[0]
 
 
-@cache
+_MACHINES: dict[str, Compiled] = {}
+
+
 def compiled(path: str) -> Compiled:
-    return Compiled(path)
+    """One machine per process, with its table of pieces, where the package can be imported."""
+    try:
+        from ecocline.llm import tokens as home
+    except ImportError:  # functions travel by value to executors without the package
+        return Compiled(path)
+    if path not in home._MACHINES:
+        home._MACHINES[path] = home.Compiled(path)
+    return home._MACHINES[path]
 
 
 class Counter:
@@ -444,6 +452,36 @@ class Counter:
         return total
 
 
+class Encoder:
+    """Token ids of whole texts of any length; special strings are their own token."""
+
+    def __init__(self, path: str, block: int = _BLOCK, chunk: int = _CHUNK):
+        self.machine, self.block, self.chunk = compiled(path), block, chunk
+
+    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """The ids text by text, as unsigned 32-bit numbers; parts of a block are encoded together."""
+        held: list[list[str]] = []
+        size = 0
+        for text in texts:
+            parts = [text or ""]
+            if self.machine.cut is not None and self.machine.cut.search(parts[0]):
+                parts = regex.split(f"({self.machine.cut.pattern})", parts[0])
+            parts = [q for p in parts for q in closed_parts(p, self.chunk)]
+            if held and size + sum(map(len, parts)) > self.block:
+                yield from self._together(held)
+                held, size = [], 0
+            held.append(parts)
+            size += sum(map(len, parts)) + len(parts)
+        yield from self._together(held)
+
+    def _together(self, held: list[list[str]]) -> Iterator[np.ndarray]:
+        special = self.machine.special
+        flat = iter(self.machine.ids([p for parts in held for p in parts if p not in special]))
+        for parts in held:
+            ids = [np.array([special[p]], dtype=np.uint32) if p in special else next(flat) for p in parts]
+            yield ids[0] if len(ids) == 1 else np.concatenate(ids)
+
+
 def count_tokens(
     documents: DataFrame,
     vocabulary: str,
