@@ -8,21 +8,67 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ecocline.llm.jaccard import jaccard_join
+from ecocline.llm.lines import drop_repeated_lines
+from ecocline.llm.mixing import WORD, mix
+from ecocline.llm.packing import pack
+from ecocline.llm.queries import vocabulary
+from ecocline.llm.toxicity import score_toxicity
 from ecocline.sources.storage import materialise
 from ecocline.sources.tables import parquet
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each group of near duplicates."""
+def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity score rejects go; rows are told apart by a hash of id and text."""
+    scored = score_toxicity(docs, parquet(spark, sf_dir, "labels"), with_place=True)
+    rejected = scored.filter("predicted = 1").select("place").distinct()
+    place = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
+    return docs.join(rejected, place == rejected.place, "left_anti")
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three repeated lines go; a document that loses all stays, empty."""
+    cleaned = drop_repeated_lines(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return cleaned.select(docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group stays; documents without an id all do."""
     groups = jaccard_join(docs).select("doc_id", "component_id").distinct()
     leads = groups.filter("doc_id = component_id or component_id is null").select("doc_id")
     return docs.join(leads, docs.doc_id.eqNullSafe(leads.doc_id), "left_semi")
 
 
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", near_duplicates)]
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for every take, in the order of training; a part of a document is its first words."""
+    takes = mix(docs, with_rows=True).select(
+        "row", "passes", "part", F.posexplode("positions").alias("nth", "position")
+    )
+    first_words = F.array_join(
+        F.slice(F.regexp_extract_all("row.text", F.lit(f"({WORD})")), 1, F.col("part").cast("int")), " "
+    )
+    whole = (F.col("nth") < F.col("passes")) | (F.regexp_count("row.text", F.lit(WORD)) <= F.col("part"))
+    text = F.when(whole, F.col("row.text")).otherwise(first_words)
+    rows = takes.select("row", "position", text.alias("text")).orderBy("position", "row.doc_id")
+    own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return rows.select(*[own.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all takes in sequences of at most 2048 tokens."""
+    return pack(docs, vocabulary(), capacity=2048, end=1)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", without_toxic),
+    ("line_dedup", without_repeated_lines),
+    ("near_duplicates", without_near_duplicates),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
+# Tokenizer, classifier and checksums are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 

@@ -34,18 +34,16 @@ def drop_repeated_lines(
     own = keyed.select(
         F.struct(F.col(id_column).isNull().alias("none"), F.col(id_column).alias("id"), "_place").alias("doc"),
         lines.alias("lines"),
-    ).filter(F.size("lines") >= window)
-    places = F.sequence(F.lit(0), F.size("lines") - window)
-    hashed = F.transform(
-        places,
-        lambda i: F.when(
-            F.length(F.trim(F.concat(*[F.get("lines", i + k) for k in range(window)]))) > 0,
-            F.xxhash64(*[F.get("lines", i + k) for k in range(window)]),
-        ),
-    )
-    windows = own.select("doc", hashed.alias("hashes")).select(
-        "doc", F.posexplode("hashes").alias("line", "hash")
-    ).filter("hash is not null")
+    )
+    # Neighbouring lines side by side; the shifted copies end early, which leaves NULLs at the end.
+    shifted = [F.slice("lines", k + 1, F.greatest(F.size("lines"), F.lit(1))) for k in range(window)]
+    runs = F.arrays_zip(*[s.alias(f"l{k}") for k, s in enumerate(shifted)])
+    parts = [F.col(f"run.l{k}") for k in range(window)]
+    windows = (
+        own.select("doc", F.posexplode(runs).alias("line", "run"))
+        .filter(parts[-1].isNotNull() & (F.length(F.trim(F.concat(*parts))) > 0))
+        .select("doc", "line", F.xxhash64(*parts).alias("hash"))
+    )
     repeated = (
         windows.groupBy("hash")
         .agg(F.count("*").alias("n"), F.min(F.struct("doc", "line")).alias("first"))
@@ -67,11 +65,15 @@ def drop_repeated_lines(
     )
     kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), hit)
     text = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
-    joined = joined.withColumn("_lines", lines).withColumn(
+    joined = joined.withColumn(
+        # split once for documents that change; the others only count line feeds
+        "_lines", F.when(F.col("_starts").isNotNull(), lines)
+    ).withColumn(
         "_text", F.when(F.col("_starts").isNull(), F.col(text_column)).otherwise(text)
     )
     return joined.select(
         *[F.col("_text").alias(c) if c == text_column else F.col(c) for c in names],
-        F.coalesce(F.size("_lines"), F.lit(0)).cast("long").alias("n_lines"),
+        F.coalesce(F.regexp_count(F.col(text_column), F.lit("\n")) + 1, F.lit(0))
+        .cast("long").alias("n_lines"),
         F.when(F.col("_starts").isNull(), 0).otherwise(F.size(hit)).cast("long").alias("n_removed"),
     )

@@ -62,13 +62,14 @@ def mix(
     share: float = 1.5,
     repeats: int = 2,
     tilts: tuple[float, ...] = (0.5, 0.0, -0.5),
-    with_text: bool = False,
+    with_rows: bool = False,
 ) -> DataFrame:
     """Take words from every source up to its target and give each take its training position.
 
     Returns id_column, size (words), source_size, target, taken (words taken, repeats counted),
     position (of the first take; NULL if nothing is taken) and positions (of every take), in the
-    order of position. With ``with_text`` the source and the text come along.
+    order of position. With ``with_rows`` the input row, passes (whole takes) and part (words of the
+    last take, 0 without one) come along.
 
     A NULL or empty text has size 0 and nothing is taken of it; a NULL source is a source of its
     own. Rows that are alike in every used column are taken one by one; which of them comes first
@@ -79,7 +80,7 @@ def mix(
     sized = documents.select(
         F.col(id_column).alias("id"), F.col(source_column).alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), place.alias("place"),
-        *([F.col(text_column).alias("body")] if with_text else []),
+        *([F.struct(*documents.columns).alias("row")] if with_rows else []),
     )
     sized = materialise(sized, "sizes")
     rows = sized.count()
@@ -128,6 +129,6 @@ def mix(
         c("id").alias(id_column), "size", "source_size", "target",
         (c("passes") * c("size") + c("part")).alias("taken"),
         F.try_element_at("positions", F.lit(1)).alias("position"), "positions",
-        *([c("source"), c("body").alias("text"), "part", "passes"] if with_text else []),
+        *(["row", "part", "passes"] if with_rows else []),
     )
     return out.orderBy(F.asc_nulls_last("position"), id_column)

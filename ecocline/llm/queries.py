@@ -14,6 +14,7 @@ from ecocline.llm.mixing import mix
 from ecocline.llm.packing import pack
 from ecocline.llm.tokens import count_tokens
 from ecocline.llm.topk import top_k
+from ecocline.llm.toxicity import score_toxicity
 from ecocline.llm.urls import judge_urls
 from ecocline.llm.vectors import near_vectors, usable
 from ecocline.sources.tables import parquet
@@ -264,3 +265,8 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN cut USING (doc_id)
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     documents = parquet(spark, sf, "documents").select("doc_id", "text")
     return drop_repeated_lines(documents).select("doc_id", "n_lines", "n_removed", "text")
+
+
+@query("op9_toxicity")
+def op9(spark: SparkSession, sf: str) -> DataFrame:
+    return score_toxicity(parquet(spark, sf, "documents"), parquet(spark, sf, "labels"))
