@@ -32,10 +32,10 @@ from pyspark.sql import functions as F
 
 _U = np.uint64
 _LETTER, _NUMBER, _SPACE, _OTHER, _EDGE = range(5)
-_BLOCK = 1 << 21  # characters handled at once
+_BLOCK = 1 << 20  # characters handled at once
 _CHUNK = 1 << 18  # characters of a chunk of a long text
 _WIDE = 64  # bytes of a piece up to which pieces run in lockstep
-_KEPT = 3 << 20  # pieces whose path is kept
+_KEPT = 1 << 20  # pieces whose path is kept
 _SYNC = regex.compile(r"\P{White_Space}(?=\p{White_Space})")
 
 

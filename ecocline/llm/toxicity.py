@@ -43,7 +43,7 @@ _HIDDEN = re.compile(
 )
 _MARKS = ".,;:?\"'()[]{}<>#%&*=/\\`~^-_"
 _PREFIXES = (4, 5, 6, 8)
-_MEMO = 400_000
+_MEMO = 100_000
 _ERRORS = 2.3  # standard errors taken off a weight
 _LONGEST = 40  # letters of a word that is decoded in one go
 
@@ -196,11 +196,11 @@ class Scorer:
         return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
 
     def inputs(self, text: str | None) -> tuple[float, float, float]:
-        """1, the strongest weight, and the logarithm of the sum of the strong ones."""
+        """1 and the two strongest weights: sums would grow with the length of a clean text."""
         tokens = (text or "").split()
-        strong = [w for w in map(self.weight, set(tokens)) if w]
-        strong += [w for w in map(self.known, self.restorer.spaced(text or "", tokens)) if w]
-        return 1.0, max(strong, default=0.0), math.log1p(math.fsum(strong))
+        found = [*map(self.weight, set(tokens)), *map(self.known, self.restorer.spaced(text or "", tokens))]
+        one, two = sorted([0.0, 0.0, *found], reverse=True)[:2]
+        return 1.0, one, two
 
     def __call__(self, text: str | None) -> float:
         z = float(np.dot(self.fit, self.inputs(text)))
@@ -224,17 +224,25 @@ def _sample_inputs(model: np.ndarray, of_half: list[dict[str, float]]):
     return rows
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, steps: int = 50) -> np.ndarray:
-    """Newton steps with a small ridge on all but the constant."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.5, steps: int = 100) -> np.ndarray:
+    """Newton steps with a small ridge, halved until the loss falls, so that the fit cannot run off."""
     beta = np.zeros(x.shape[1])
     keep = np.eye(x.shape[1]) * ridge
-    keep[0, 0] = 1e-6
+    keep[0, 0] = 1e-3
+
+    def loss(b: np.ndarray) -> float:
+        z = x @ b
+        return float(np.logaddexp(0, z).sum() - y @ z + b @ keep @ b / 2)
+
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         slope = x.T @ (p - y) + keep @ beta
         move = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + keep, slope)
-        beta -= np.clip(move, -5, 5)
-        if np.abs(move).max() < 1e-9:
+        step, now = 1.0, loss(beta)
+        while step > 1e-9 and loss(beta - step * move) > now - 1e-4 * step * float(slope @ move):
+            step /= 2
+        beta = beta - step * move
+        if step * np.abs(move).max() < 1e-8:
             break
     return beta
 
