@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
+#: Remove the shuffle files of a query at its end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,10 +47,23 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write as Parquet and read back, so that several consumers scan one stored result."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write as Parquet and read back, so that several consumers scan one stored result.
+
+    Once the table is written, its shuffle files are of no more use: Spark is asked to remove them
+    then, not whenever the driver collects its garbage.
+    """
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def remove_written() -> None:
