@@ -22,7 +22,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score rejects go; rows are told apart by a hash of id and text."""
     scored = score_toxicity(docs, parquet(spark, sf_dir, "labels"), with_place=True)
-    rejected = scored.filter("predicted = 1").select("place").distinct()
+    rejected = materialise(scored.filter("predicted = 1").select("place").distinct(), "rejected")
     place = F.xxhash64(F.col("doc_id").cast("long"), F.col("text"))
     return docs.join(rejected, place == rejected.place, "left_anti")
 
@@ -35,9 +35,9 @@ def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group stays; documents without an id all do."""
-    groups = jaccard_join(docs).select("doc_id", "component_id").distinct()
-    leads = groups.filter("doc_id = component_id or component_id is null").select("doc_id")
-    return docs.join(leads, docs.doc_id.eqNullSafe(leads.doc_id), "left_semi")
+    followers = jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    # Stored, so that Spark knows its size: only beyond that of a broadcast are the texts shuffled.
+    return docs.join(materialise(followers, "followers"), "doc_id", "left_anti").select(docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,9 +50,12 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     )
     whole = (F.col("nth") < F.col("passes")) | (F.regexp_count("row.text", F.lit(WORD)) <= F.col("part"))
     text = F.when(whole, F.col("row.text")).otherwise(first_words)
-    rows = takes.select("row", "position", text.alias("text")).orderBy("position", "row.doc_id")
+    rows = takes.select("row", "position", text.alias("text"))
     own = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
-    return rows.select(*[own.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    # Only what the result holds is sorted; in a struct its names cannot clash with the order's.
+    doc = F.struct(*[own.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    ordered = rows.select(F.struct("position", "row.doc_id").alias("at"), doc.alias("doc")).orderBy("at")
+    return ordered.select("doc.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def mix(
     Returns id_column, size (words), source_size, target, taken (words taken, repeats counted),
     position (of the first take; NULL if nothing is taken) and positions (of every take), in the
     order of position. With ``with_rows`` the input row, passes (whole takes) and part (words of the
-    last take, 0 without one) come along.
+    last take, 0 without one) come along, and the order is left to the caller.
 
     A NULL or empty text has size 0 and nothing is taken of it; a NULL source is a source of its
     own. Rows that are alike in every used column are taken one by one; which of them comes first
@@ -131,4 +131,4 @@ def mix(
         F.try_element_at("positions", F.lit(1)).alias("position"), "positions",
         *(["row", "part", "passes"] if with_rows else []),
     )
-    return out.orderBy(F.asc_nulls_last("position"), id_column)
+    return out if with_rows else out.orderBy(F.asc_nulls_last("position"), id_column)

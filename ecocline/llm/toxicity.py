@@ -53,6 +53,13 @@ def _code(char: str) -> int:
     return at if 0 <= at < 26 else _OTHER
 
 
+def _values(batch: pa.RecordBatch, name: str, step: int = 256) -> Iterator:
+    """A column's values, few Python objects at a time."""
+    column = batch.column(name)
+    for at in range(0, len(column), step):
+        yield from column.slice(at, step).to_pylist()
+
+
 def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Trigrams of letter classes of a partition's texts, words bordered by edges."""
     table = np.full(256, _EDGE, dtype=np.int32)
@@ -60,7 +67,7 @@ def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     table[128:] = _OTHER  # bytes of other letters
     totals = np.zeros(_LETTERS**3, dtype=np.int64)
     for batch in batches:
-        for text in batch.column("text").to_pylist():
+        for text in _values(batch, "text"):
             if not text:
                 continue
             raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
@@ -151,6 +158,14 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in _PREFIXES if len(word) >= n)]
 
 
+def _counted(counts: Counter) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()),
+         pa.array(counts.values(), pa.int64())],
+        names=["feature", "kind", "n"],
+    )
+
+
 def _sample_words(model: np.ndarray):
     """Distinct features of every sampled text, counted by half and label inside the partition."""
 
@@ -158,19 +173,15 @@ def _sample_words(model: np.ndarray):
         restorer = Restorer(model)
         counts: Counter = Counter()
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("text", "half", "toxic"))
+            columns = (_values(batch, c) for c in ("text", "half", "toxic"))
             for text, half, toxic in zip(*columns, strict=True):
                 group = 2 * half + toxic
                 counts.update({(f, group) for w in restorer.words(text or "") if w for f in features(w)})
                 counts[("", group)] += 1
-        items = list(counts.items())
-        for at in range(0, len(items), 20_000):
-            some = items[at : at + 20_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in some]), pa.array([k[1] for k, _ in some], pa.int32()),
-                 pa.array([n for _, n in some], pa.int64())],
-                names=["feature", "kind", "n"],
-            )
+                if len(counts) > _MEMO:  # partial counts; they are summed after the shuffle
+                    yield _counted(counts)
+                    counts.clear()
+        yield _counted(counts)
 
     return rows
 
@@ -213,7 +224,7 @@ def _sample_inputs(model: np.ndarray, of_half: list[dict[str, float]]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorers = [Scorer(model, weights, None) for weights in of_half]
         for batch in batches:
-            columns = (batch.column(c).to_pylist() for c in ("text", "half"))
+            columns = (_values(batch, c) for c in ("text", "half"))
             found = [scorers[1 - half].inputs(text) for text, half in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()),
@@ -335,7 +346,7 @@ def score_toxicity(
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, weights, fit)
         for batch in batches:
-            scores = [scorer(t) for t in batch.column("text").to_pylist()]
+            scores = [scorer(t) for t in _values(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("place"), pa.array(scores, pa.float64())],
                 names=["doc_id", "place", "score"],
