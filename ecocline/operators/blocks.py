@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ecocline.operators.relations import keyed_join
+
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Hash-partition by group keys at the full shuffle width.
@@ -40,10 +42,7 @@ def block_reduce(
     """
     sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
     rows = df.select(*keys, row_id, *columns)
-    if keys:
-        rows = rows.join(sizes, list(keys))
-    else:
-        rows = rows.withColumn("__blocks", sizes.scalar())
+    rows = keyed_join(rows, sizes, keys)
     rows = rows.withColumn(
         "__own", F.pmod(F.xxhash64(row_id), F.col("__blocks")).cast("int")
     ).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))

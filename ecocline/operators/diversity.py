@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import ratio, recode, row_mean, unite
+from ecocline.operators.relations import keyed_join
 from ecocline.operators.reshape import wide_to_long
 from ecocline.operators.summaries import share_of_total
 
@@ -37,7 +38,7 @@ def richness(
     per_site = pairs.groupBy(*by, site).agg(F.count("*").alias(n))
     if by:
         pool = pairs.select(*by, item).distinct().groupBy(*by).agg(F.count("*").alias("__pool"))
-        out = per_site.join(pool, list(by)).withColumn(percent, ratio(n, "__pool") * 100)
+        out = keyed_join(per_site, pool, by).withColumn(percent, ratio(n, "__pool") * 100)
         return out.drop("__pool")
     pool = pairs.select(item).distinct().agg(F.count("*")).scalar()
     return per_site.withColumn(percent, ratio(F.col(n), pool) * 100)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecocline.operators.blocks import spread
+from ecocline.operators.relations import keyed_join
 from ecocline.sources.storage import cut_lineage
 
 DIGITS = 12
@@ -225,24 +226,22 @@ def hull_volumes(
 ) -> DataFrame:
     """Hull volume of each group and of the pool of all groups, and the share (%) of the pool.
 
-    A group of points without full rank has volume 0. The pool's hull is computed once, from the
-    candidates that the groups' own cuts leave.
+    A group of points without full rank has volume 0; ``n_points`` counts all its distinct places.
+    The pool's hull is computed once, from the candidates that the groups' own cuts leave.
     """
     axes = list(axes)
+    places = located(df, [key], axes).distinct().groupBy(key).agg(F.count("*").alias("n_points"))
     groups = hull_candidates(df, [key], axes, chunk)
     pool = hull_candidates(groups.select(*axes).distinct(), [], axes, chunk)
     kind = groups.schema[key].dataType.simpleString()
 
     def volume(pdf: pd.DataFrame) -> pd.DataFrame:
         pts = pdf[axes].to_numpy()
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "n_points": [len(pts)], name: [extent(pts)]})
+        return pd.DataFrame({key: [pdf[key].iloc[0]], name: [extent(pts)]})
 
-    out = spread(groups, [key]).groupBy(key).applyInPandas(
-        volume, f"`{key}` {kind}, n_points long, {name} double"
-    )
+    schema = f"`{key}` {kind}, {name} double"
+    out = spread(groups, [key]).groupBy(key).applyInPandas(volume, schema)
     tagged = pool.withColumn(key, F.lit(None).cast(kind))
-    whole = tagged.groupBy(key).applyInPandas(
-        volume, f"`{key}` {kind}, n_points long, {name} double"
-    )
+    whole = tagged.groupBy(key).applyInPandas(volume, schema)
     total = whole.agg(F.max(name)).scalar()
-    return out.withColumn("percent", F.try_divide(F.col(name), total) * 100)
+    return keyed_join(places, out, [key]).withColumn("percent", F.try_divide(F.col(name), total) * 100)

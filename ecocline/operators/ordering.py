@@ -8,6 +8,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ecocline.operators.relations import keyed_join
+
 
 def level_order(c: Column, levels: Sequence[str]) -> Column:
     """Position of a value in an explicit list of levels; unlisted values come last as NULL."""
@@ -90,7 +92,7 @@ def exact_median(
         )
 
     rows = F.array(*[entry(c, out) for c, out in columns.items()])
-    binned = df.select(*keys, *columns).join(spans, list(keys)).select(*keys, F.inline(rows))
+    binned = keyed_join(df.select(*keys, *columns), spans, keys).select(*keys, F.inline(rows))
     binned = binned.filter("__v IS NOT NULL")
     sizes = binned.groupBy(*by, "__bin").agg(
         F.count("*").alias("__in"), F.max("__total").alias("__total")
@@ -101,7 +103,7 @@ def exact_median(
     first, last = F.col("__before"), F.col("__before") + F.col("__in")
     holds = lambda r: (r >= first) & (r < last)
     middle = sizes.filter(holds(lower) | holds(upper)).drop("__in")
-    inside = binned.drop("__total").join(middle, [*by, "__bin"])
+    inside = keyed_join(binned.drop("__total"), middle, [*by, "__bin"])
     counted = inside.groupBy(*by, "__bin", "__total", "__before", "__v").agg(F.count("*").alias("__n"))
     step = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("__before") + F.sum("__n").over(step)

@@ -29,14 +29,22 @@ def standardise(
     return scaled.select(site, taxon, value)
 
 
+def all_pairs(sites: DataFrame, site: str) -> DataFrame:
+    """Every unordered pair ``(site_a, site_b)`` of a site list, the lesser one first."""
+    listed = sites.select(site).distinct()
+    others = listed.agg(F.collect_list(site)).scalar()
+    both = listed.select(F.col(site).alias("site_a"), F.explode(others).alias("site_b"))
+    return both.filter("site_a < site_b")
+
+
 def bray_curtis(
     cover: DataFrame, site: str, taxon: str, value: str, block: int = 256
 ) -> DataFrame:
-    """Bray-Curtis dissimilarity ``(site_a, site_b, dissimilarity)`` of sites sharing a taxon.
+    """Bray-Curtis dissimilarity ``(site_a, site_b, dissimilarity)`` of every two sites.
 
-    Two sites that share no taxon are at 1 and have no row. Each taxon's sites are packed into
-    arrays of about ``block`` entries and joined array to array by taxon and block, so a taxon
-    found everywhere is spread over tasks; shared minima are summed before the shuffle.
+    Two sites that share no taxon are at 1. Each taxon's sites are packed into arrays of about
+    ``block`` entries and joined array to array by taxon and block, so a taxon found everywhere is
+    spread over tasks; shared minima are summed before the shuffle.
     """
     present = cover.filter(F.col(value) > 0).groupBy(site, taxon).agg(F.sum(value).alias("v"))
     totals = present.groupBy(site).agg(F.sum("v").alias("total"))
@@ -60,8 +68,9 @@ def bray_curtis(
         F.least("a.s", "b.s").alias("site_a"), F.greatest("a.s", "b.s").alias("site_b")
     ).agg(F.sum(F.least("a.v", "b.v")).alias("shared"))
     side = lambda s, t: totals.select(F.col(site).alias(s), F.col("total").alias(t))
-    out = shared.join(side("site_a", "ta"), "site_a").join(side("site_b", "tb"), "site_b")
-    d = 1 - 2 * F.col("shared") / (F.col("ta") + F.col("tb"))
+    out = all_pairs(totals, site).join(shared, ["site_a", "site_b"], "left")
+    out = out.join(side("site_a", "ta"), "site_a").join(side("site_b", "tb"), "site_b")
+    d = 1 - 2 * F.coalesce("shared", F.lit(0.0)) / (F.col("ta") + F.col("tb"))
     return out.select("site_a", "site_b", d.alias("dissimilarity"))
 
 

@@ -1,8 +1,9 @@
 """Grouped linear and quadratic least squares from additive power sums.
 
 Every fit is one row of a grouped aggregation: counts and sums of powers of x and y, taken about
-table-wide means. The sums are additive, so subsets, levels and pooled models are sums of rows,
-and any number of models is fitted in one job. Nothing but the fit rows reaches Python.
+the means of the fit's own group, so that groups far from each other lose no digits. Sums moved to
+a common origin are additive, so subsets, levels and pooled models are sums of rows, and any number
+of models is fitted in one job. Nothing but the fit rows reaches Python.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecocline.functions import tails
+from ecocline.operators.relations import keyed_join
 from ecocline.operators.summaries import attach
 
 SUMS = ["n", "sx", "sx2", "sx3", "sx4", "sy", "sy2", "sxy", "sx2y"]
@@ -23,9 +25,16 @@ _FLAT = 1e-12
 def paired(
     df: DataFrame, responses: Sequence[str], predictors: Sequence[str], by: Sequence[str] = ()
 ) -> DataFrame:
-    """Complete (x, y) pairs of every response and predictor, centred about table-wide means."""
+    """Complete (x, y) pairs of every response and predictor, centred about their group's means.
+
+    ``x0`` and ``y0`` are those means. Rows with a missing group are a group.
+    """
     names = list(dict.fromkeys([*responses, *predictors]))
-    df = attach(df, df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in names]), "__mean")
+    means = [F.avg(F.col(c).cast("double")).alias(c) for c in names]
+    if by:
+        df = keyed_join(df, df.groupBy(*by).agg(*means).select(*by, F.struct(*names).alias("__mean")), by)
+    else:
+        df = attach(df, df.agg(*means), "__mean")
     mean = F.col("__mean")
 
     def entries(columns, label, value, origin):
@@ -60,7 +69,24 @@ def power_sums(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pool(sums: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Merge power sums of several groups."""
+    """Merge power sums of several groups, moved to their common mean first."""
+    c, n = F.col, F.col("n")
+    at = lambda s, o: (F.sum(n * c(o) + c(s)) / F.sum("n")).alias(f"__{o}")
+    sums = keyed_join(sums, sums.groupBy(*keys).agg(at("sx", "x0"), at("sy", "y0")), keys)
+    a, b = c("x0") - c("__x0"), c("y0") - c("__y0")
+    sums = sums.withColumns({
+        "sx": c("sx") + n * a,
+        "sx2": c("sx2") + 2 * a * c("sx") + n * a * a,
+        "sx3": c("sx3") + 3 * a * c("sx2") + 3 * a * a * c("sx") + n * a * a * a,
+        "sx4": c("sx4") + 4 * a * c("sx3") + 6 * a * a * c("sx2") + 4 * a * a * a * c("sx")
+        + n * a * a * a * a,
+        "sy": c("sy") + n * b,
+        "sy2": c("sy2") + 2 * b * c("sy") + n * b * b,
+        "sxy": c("sxy") + a * c("sy") + b * c("sx") + n * a * b,
+        "sx2y": c("sx2y") + 2 * a * c("sxy") + a * a * c("sy")
+        + b * (c("sx2") + 2 * a * c("sx") + n * a * a),
+        "x0": c("__x0"), "y0": c("__y0"),
+    })
     return sums.groupBy(*keys).agg(
         *[F.sum(c).alias(c) for c in SUMS], F.max("x0").alias("x0"), F.max("y0").alias("y0")
     )
@@ -85,7 +111,9 @@ def centred(sums: DataFrame) -> DataFrame:
         "uv": c("sxy") - mx * c("sy"),
         "vv": F.greatest(c("sy2") - my * c("sy"), F.lit(0.0)),
     })
-    out = out.withColumn("uu", F.when(c("uu") > _FLAT * c("sx2"), c("uu")))
+    # what rounding leaves of a constant x is no spread
+    noise = F.greatest(_FLAT * c("sx2"), c("n") * F.pow(_FLAT * c("x0"), F.lit(2)))
+    out = out.withColumn("uu", F.when(c("uu") > noise, c("uu")))
     u2v = c("sx2y") - 2 * mx * c("sxy") + mx * mx * c("sy") - my * c("uu")
     q2 = c("u4") - c("uu") * c("uu") / c("n") - c("u3") * c("u3") / c("uu")
     return out.withColumns({"u2v": u2v, "q2": F.when(q2 > 1e-10 * c("u4"), q2)})
@@ -227,7 +255,7 @@ def with_residuals(
         )
     if by:
         packed = fits.select(*by, F.struct(*responses.values()).alias("__fit"))
-        joined = df.join(packed, list(by), "left")
+        joined = keyed_join(df, packed, by, "left")
     else:
         joined = attach(df, fits, "__fit")
     return joined.withColumns({
@@ -266,8 +294,13 @@ def level_slopes(
     """
     c = F.col
     levels = linear_fits(fit_sums(df, [response], [predictor], [group]))
-    rss_all = F.sum("rss").alias("rss")
-    pooled = levels.agg(rss_all, (F.sum("n") - 2 * F.count("*")).alias("df"))
+    # a level without spread has a mean but no slope: it takes one degree of freedom, not two
+    explained = F.coalesce(c("slope") * c("uv"), F.lit(0.0))
+    rank = 1 + c("slope").isNotNull().cast("int")
+    pooled = levels.agg(
+        F.sum(F.greatest(c("vv") - explained, F.lit(0.0))).alias("rss"),
+        (F.sum("n") - F.sum(rank)).alias("df"),
+    )
     xbar = c("mx") + c("x0")
     levels = levels.select(
         group, "n", "intercept", "slope",
@@ -309,6 +342,7 @@ def interaction_anova(
     """
     c, keys = F.col, ["response", "predictor"]
     levels = fit_sums(df, [response], [predictor], [group])
+    merged = pool(levels, keys)
     fit = linear_fits if degree == 1 else quadratic_fits
     p = degree + 1
     own = fit(levels)
@@ -321,6 +355,8 @@ def interaction_anova(
         explained, rank = line + bend, rank + c("q2").isNotNull().cast("int")
     square = c("u4") - c("uu") * c("uu") / c("n")
     # common-slope terms need x and x squared about one origin: x^2 - mean = u^2 + 2 m u - uu/n
+    own = keyed_join(own, merged.select(*keys, c("x0").alias("__origin")), keys)
+    own = own.withColumn("mx", c("mx") + c("x0") - c("__origin"))
     own = own.withColumns({
         "w11": F.coalesce(c("uu"), F.lit(0.0)),
         "w12": F.coalesce(c("u3") + 2 * c("mx") * c("uu"), F.lit(0.0)),
@@ -341,7 +377,7 @@ def interaction_anova(
         det = c("w11") * c("w22") - c("w12") * c("w12")
         quad = c("w1y") * c("w1y") * c("w22") - 2 * c("w1y") * c("w2y") * c("w12") + c("w2y") * c("w2y") * c("w11")
         common = F.try_divide(quad, det)
-    overall = fit(pool(levels, keys)).select(*keys, c("vv").alias("tss"), c("rss").alias("rss_x"))
+    overall = fit(merged).select(*keys, c("vv").alias("tss"), c("rss").alias("rss_x"))
     all_ = within.join(overall, keys).withColumns({
         "rss_xg": c("ssw") - common,
         "sigma2": F.try_divide(c("rss_full"), c("total") - c("rank")),
@@ -400,7 +436,7 @@ def fitted_curve(
     sums = power_sums(pairs, keys)
     fits = linear_fits(sums) if degree == 1 else quadratic_fits(sums)
     fits = fits.withColumn("t_crit", tails.t_quantile(level, c("df")))
-    fits = (fits.join(ends, keys) if keys else fits).withColumn(
+    fits = keyed_join(fits, ends, keys).withColumn(
         "step", F.explode(F.sequence(F.lit(0), F.lit(points - 1)))
     )
     x = c("lo_x") + (c("hi_x") - c("lo_x")) * c("step") / float(points - 1)

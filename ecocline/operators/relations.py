@@ -51,6 +51,18 @@ def natural_join(left: DataFrame, right: DataFrame, how: str = "left") -> DataFr
     return joined.select(*kept, *[F.col(quote(c)) for c in right.columns if c not in hidden])
 
 
+def keyed_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on ``keys`` alone, where a missing key matches a missing key.
+
+    Without keys ``right`` is the one row of a table-wide aggregate, put beside every row.
+    """
+    keys = list(keys)
+    if not keys:
+        beside = left.withColumn("__one", right.select(F.struct("*")).scalar())
+        return beside.select(*[quote(c) for c in left.columns], "__one.*")
+    return natural_join(left, right.select(*keys, *[c for c in right.columns if c not in left.columns]), how)
+
+
 def exclude(df: DataFrame, *rules: Column) -> DataFrame:
     """Drop the rows for which some rule is true; a rule that is unknown keeps the row."""
     hit = reduce(Column.__or__, [F.coalesce(r, F.lit(False)) for r in rules])

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ecocline.functions.scalar import haversine_m
 from ecocline.operators.blocks import block_reduce, spread
 from ecocline.operators.ordering import exact_median, order_index
+from ecocline.operators.relations import keyed_join, natural_join
 from ecocline.operators.summaries import attach
 
 MAX_SAMPLES = 4000
@@ -44,16 +45,26 @@ def seep_order(
     return order_index(away.drop("__here"), "distance_m", name)
 
 
-def polygon_rings(vertices: DataFrame, poly: str, x: str, y: str) -> DataFrame:
-    """One row per polygon with its closed ring as an array of edges in vertex order."""
+def polygon_rings(
+    vertices: DataFrame, poly: str, x: str, y: str, ring_id: str | None = None
+) -> DataFrame:
+    """One row per polygon with the edges of its closed rings, each in vertex order.
+
+    A polygon has one ring, or with ``ring_id`` as many as there are ids: an outer boundary and
+    its holes, or several areas. ``poly`` must tell polygons apart; equal names are one polygon.
+    """
+    own = [poly] if ring_id is None else [poly, ring_id]
     corner = F.struct("seq", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     ring = F.array_sort(F.collect_list(corner))
-    closed = F.concat(F.slice("ring", 2, F.size("ring")), F.slice("ring", 1, 1))
-    rings = vertices.groupBy(poly).agg(ring.alias("ring"))
-    edges = F.zip_with("ring", closed, lambda a, b: F.struct(
+    closed = F.concat(F.slice("__ring", 2, F.size("__ring")), F.slice("__ring", 1, 1))
+    rings = vertices.groupBy(*own).agg(ring.alias("__ring"))
+    edges = F.zip_with("__ring", closed, lambda a, b: F.struct(
         a["x"].alias("x1"), a["y"].alias("y1"), b["x"].alias("x2"), b["y"].alias("y2")
     ))
-    return rings.select(poly, edges.alias("edges"))
+    rings = rings.select(poly, edges.alias("edges"))
+    if ring_id is None:
+        return rings
+    return rings.groupBy(poly).agg(F.flatten(F.collect_list("edges")).alias("edges"))
 
 
 def inside(edges: Column, x: Column, y: Column) -> Column:
@@ -68,14 +79,16 @@ def inside(edges: Column, x: Column, y: Column) -> Column:
 
 
 def clip(points: DataFrame, rings: DataFrame, x: str, y: str, on: str | None = None) -> DataFrame:
-    """Points inside their polygon: the one with the same ``on`` value, or the only one there is.
+    """Points inside their polygon: the one with the same ``on`` value, or without ``on`` any of them.
 
-    Each point meets one row holding the ring, so the points are not multiplied by its edges.
+    Each point meets one row holding the rings, so the points are not multiplied by their edges. A
+    point of a hole is outside, one that several polygons cover is kept once.
     """
     if on is None:
-        near = points.withColumn("__edges", rings.agg(F.first("edges")).scalar())
-        return near.filter(inside(F.col("__edges"), F.col(x), F.col(y))).drop("__edges")
-    joined = points.join(rings.select(on, "edges"), on)
+        near = points.withColumn("__rings", rings.agg(F.collect_list("edges")).scalar())
+        held = F.exists("__rings", lambda edges: inside(edges, F.col(x), F.col(y)))
+        return near.filter(held).drop("__rings")
+    joined = keyed_join(points, rings.select(on, "edges"), [on])
     return joined.filter(inside(F.col("edges"), F.col(x), F.col(y))).drop("edges")
 
 
@@ -118,7 +131,7 @@ def variogram(
         F.max(x).alias("xh"), F.min(x).alias("xl"), F.max(y).alias("yh"), F.min(y).alias("yl")
     )
     reach = F.sqrt(F.pow(c("xh") - c("xl"), 2) + F.pow(c("yh") - c("yl"), 2)) / 3
-    rows = ready.join(boxes.select(*keys, reach.alias("__reach")), list(keys))
+    rows = keyed_join(ready, boxes.select(*keys, reach.alias("__reach")), keys)
     rows = rows.select(*keys, row_id, c(x).cast("double").alias("__x"), c(y).cast("double").alias("__y"),
                        c(z).cast("double").alias("__z"), "__reach")
 
@@ -171,8 +184,8 @@ def krige_weights(
     keys = list(keys)
     rows = samples.dropna(subset=[x, y, z]).groupBy(*keys, x, y).agg(F.avg(z).alias(z))
     packed = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    sized = rows.join(packed, keys)
-    solvable = sized.filter(F.col("n") <= MAX_SAMPLES).join(model, keys)
+    sized = keyed_join(rows, packed, keys)
+    solvable = keyed_join(sized.filter(F.col("n") <= MAX_SAMPLES), model, keys)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema]
     node = "array<struct<x: double, y: double, w: double>>"
 
@@ -198,9 +211,12 @@ def krige_weights(
 
     schema = ", ".join([*kinds, "status string", "mean double", f"nodes {node}"])
     solved = spread(solvable, keys).groupBy(*keys).applyInPandas(solve, schema)
-    every = samples.select(*keys).distinct().join(packed, keys, "left")
-    reason = F.when(F.col("n") > MAX_SAMPLES, "too many samples for one solve").otherwise("no samples")
-    rest = every.join(solved.select(*keys), keys, "left_anti").select(
+    every = keyed_join(samples.select(*keys).distinct(), packed, keys, "left")
+    reason = (
+        F.when(F.col("n") > MAX_SAMPLES, "too many samples for one solve")
+        .when(F.col("n") > 0, "no variogram model").otherwise("no samples")
+    )
+    rest = natural_join(every, solved.select(*keys), "left_anti").select(
         *keys, reason.alias("status"), F.lit(None).cast("double").alias("mean"),
         F.lit(None).cast(node).alias("nodes"),
     )
@@ -214,8 +230,8 @@ def krige(grid: DataFrame, weights: DataFrame, model: DataFrame, keys: Sequence[
     by sample nor multiplied by the number of samples.
     """
     c, keys = F.col, list(keys)
-    ready = weights.filter("status = 'ok'").join(model, keys)
-    cells = grid.join(ready, keys)
+    ready = keyed_join(weights.filter("status = 'ok'"), model, keys)
+    cells = keyed_join(grid, ready, keys)
 
     def term(acc: Column, node: Column) -> Column:
         dx, dy = node["x"] - c("x"), node["y"] - c("y")

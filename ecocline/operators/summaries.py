@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import coefficient_of_variation, standard_error
+from ecocline.operators.relations import keyed_join
 
 STATS = {
     "max": F.max,
@@ -64,26 +65,33 @@ def rolled_up(
     """Count, mean, sd and CV of columns per coarse group, through per-``fine`` moments.
 
     ``groups`` maps the fine key to its coarse keys. The large table is reduced to one row per
-    fine key before it meets that dimension, so its rows are never shuffled for the join.
+    fine key before it meets that dimension, so its rows are never shuffled for the join. The
+    variance is the one within fine keys plus the one between their means, so that values far
+    from zero lose no digits.
     """
     moments = lambda c: F.struct(
         F.count(c).alias("n"), F.avg(c).alias("m"), F.var_pop(c).alias("v")
     )
     small = df.groupBy(fine).agg(*[moments(c).alias(c) for c in columns])
     joined = small.join(groups.select(fine, *coarse), fine)
+    part = lambda c, p: F.coalesce(F.col(f"{c}.{p}"), F.lit(0.0))
+    means = [
+        F.try_divide(F.sum(part(c, "n") * part(c, "m")), F.sum(part(c, "n"))).alias(f"{c}_mean")
+        for c in columns
+    ]
+    joined = keyed_join(joined, joined.groupBy(*coarse).agg(*means), coarse)
     parts = []
     for c in columns:
-        n, m, v = (F.coalesce(F.col(f"{c}.{p}"), F.lit(0.0)) for p in "nmv")
-        parts += [F.sum(n).alias(f"{c}_n"), F.sum(n * m).alias(f"{c}_s"),
-                  F.sum(n * (v + m * m)).alias(f"{c}_q")]
+        n, m, v = (part(c, p) for p in "nmv")
+        between = m - F.col(f"{c}_mean")
+        parts += [F.sum(n).alias(f"{c}_n"), F.max(f"{c}_mean").alias(f"{c}_mean"),
+                  F.sum(n * (v + between * between)).alias(f"{c}_q")]
     out = joined.groupBy(*coarse).agg(*parts)
     for c in columns:
-        n, s, q = (F.col(f"{c}_{p}") for p in "nsq")
-        mean = F.try_divide(s, n)
-        sd = F.sqrt(F.greatest(F.try_divide(q - s * mean, F.when(n > 1, n - 1)), F.lit(0.0)))
-        sd = F.when(n > 1, sd)
+        n, mean, q = (F.col(f"{c}_{p}") for p in ("n", "mean", "q"))
+        sd = F.sqrt(F.try_divide(q, F.when(n > 1, n - 1)))
         out = out.withColumns({
-            f"{c}_mean": mean, f"{c}_sd": sd, f"{c}_cv": F.try_divide(sd, mean) * 100
+            f"{c}_sd": sd, f"{c}_cv": F.try_divide(sd, mean) * 100
         })
     kept = [f"{c}_{p}" for c in columns for p in ("n", "mean", "sd", "cv")]
     return out.select(*coarse, *kept)
@@ -92,8 +100,8 @@ def rolled_up(
 def with_group_stats(
     df: DataFrame, keys: Sequence[str], stats: Mapping[str, Column]
 ) -> DataFrame:
-    """Keep every row and add group statistics to it."""
-    return df.join(df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), list(keys))
+    """Keep every row and add group statistics to it; rows with a missing key are a group too."""
+    return keyed_join(df, df.groupBy(*keys).agg(*[c.alias(n) for n, c in stats.items()]), keys)
 
 
 def share_of_total(

@@ -23,11 +23,21 @@ MAX_FEATURES = 6000
 
 
 def _features(entities: DataFrame, entity: str, traits: Sequence[str], sizes: Sequence[int]):
-    """``(entity, size, feature)`` for every trait subset of the given sizes."""
+    """``(entity, size, feature)`` for every trait subset of the given sizes.
+
+    A missing trait is a state of its own. Each part of a feature states its length, so that no
+    text of a trait value can be taken for another feature.
+    """
+
+    def part(i: int):
+        value = F.col(traits[i]).cast("string")
+        told = F.concat(F.lit(f"{i}="), F.length(value).cast("string"), F.lit(":"), value)
+        return F.coalesce(told, F.lit(f"{i}"))
+
     rows = []
     for size in sizes:
         for subset in combinations(range(len(traits)), size):
-            parts = [F.concat(F.lit(f"{i}="), F.col(traits[i]).cast("string")) for i in subset]
+            parts = [part(i) for i in subset]
             rows.append(
                 F.struct(F.lit(size).alias("size"), F.concat_ws("&", *parts).alias("feature"))
             )
@@ -71,7 +81,7 @@ def gower_between(
     if numeric:
         spans = [(F.max(c) - F.min(c)).cast("double").alias(c) for c in numeric]
         joined = attach(joined, entities.agg(*spans), "__range")
-    parts = [F.when(F.col(f"__a_{t}") == F.col(f"__b_{t}"), 0.0).otherwise(1.0) for t in traits]
+    parts = [F.when(F.col(f"__a_{t}").eqNullSafe(F.col(f"__b_{t}")), 0.0).otherwise(1.0) for t in traits]
     parts += [
         F.coalesce(F.try_divide(F.abs(F.col(f"__a_{t}") - F.col(f"__b_{t}")), F.col("__range")[t]), F.lit(0.0))
         for t in numeric
@@ -94,7 +104,7 @@ def _solve_axes(table: pd.DataFrame, k: int) -> pd.DataFrame:
     counts[table["fa"].map(at), table["fb"].map(at)] = table["c"]
     own = np.diag(counts)
     centred = counts - np.outer(own, own) / n
-    single = np.array(["&" not in f for f in names])
+    single = (diagonal["size"] == 1).to_numpy()
     weight = np.where(single, 1 / traits - 1 / (2 * traits**2), -1 / traits**2)
     values, vectors = np.linalg.eigh(centred)
     keep = values > 1e-10 * max(values.max(), 1e-300)
@@ -123,10 +133,11 @@ def trait_axes(entities: DataFrame, entity: str, traits: Sequence[str], k: int =
     through single and paired trait values. Only their co-occurrence counts, whose number depends
     on the trait vocabulary and not on the entities, go into the one dense solve.
     """
-    features = _features(entities, entity, traits, (1, 2)).select(entity, "feature")
-    per_entity = features.groupBy(entity).agg(F.collect_list("feature").alias("f"))
-    both = per_entity.select(F.explode("f").alias("fa"), "f").select("fa", F.explode("f").alias("fb"))
-    counts = both.groupBy("fa", "fb").agg(F.count("*").alias("c"))
+    features = _features(entities, entity, traits, (1, 2))
+    per_entity = features.groupBy(entity).agg(F.collect_list(F.struct("size", "feature")).alias("f"))
+    both = per_entity.select(F.inline("f"), F.col("f.feature").alias("f"))
+    both = both.select("size", F.col("feature").alias("fa"), F.explode("f").alias("fb"))
+    counts = both.groupBy("size", "fa", "fb").agg(F.count("*").alias("c"))
     n = entities.agg(F.count("*")).scalar()
     table = counts.withColumns({"n": n, "traits": F.lit(len(traits))})
     return table.groupBy().applyInPandas(

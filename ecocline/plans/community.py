@@ -297,7 +297,7 @@ lit AS (
     CASE WHEN p_name LIKE '%ring%' THEN 'Ringer 1995' ELSE p_name END AS lit_b,
     CASE WHEN p_size <= 17 THEN 'Autotroph' WHEN p_size <= 34 THEN 'Mixotroph' ELSE 'Heterotroph' END
     AS energetic_resource
-  FROM part WHERE p_retailprice > 920)
+  FROM part)
 SELECT c.taxon, morphology, energetic_resource,
   coalesce(nullif(concat_ws(', ', lit_a, lit_b), ''), ' ') AS source
 FROM lit RIGHT JOIN (SELECT DISTINCT taxon FROM cover) c ON lit.taxon = c.taxon""",
@@ -305,7 +305,7 @@ FROM lit RIGHT JOIN (SELECT DISTINCT taxon FROM cover) c ON lit.taxon = c.taxon"
 def taxon_catalogue(spark, sf):
     """Surveyed taxa with traits in full and all sources in one field, one spelling repaired."""
     c = F.col
-    literature = parquet(spark, sf, "part").filter("p_retailprice > 920").select(
+    literature = parquet(spark, sf, "part").select(
         c("p_partkey").alias("taxon"),
         F.get(F.split("p_name", " "), F.lit(0)).alias("morphology"),
         F.nullif(c("p_brand"), F.lit("Brand#1")).alias("lit_a"),

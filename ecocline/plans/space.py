@@ -203,16 +203,16 @@ def dispersion_gradient(spark, sf):
   avg(embedding[3]::DOUBLE) AS z FROM embeddings GROUP BY label)
 SELECT a.label AS site_a, b.label AS site_b,
   round(sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2) + pow(a.z - b.z, 2)), 8) AS distance
-FROM c a JOIN c b ON b.label = a.label + 1""",
+FROM c a JOIN c b ON a.label < b.label""",
 )
 def centroid_distances(spark, sf):
-    """Euclidean distance of listed pairs of group centroids."""
+    """Euclidean distance of all pairs of group centroids."""
     c = F.col
     at = lambda i: F.avg(c("embedding")[i].cast("double"))
     centres = parquet(spark, sf, "embeddings").groupBy("label").agg(
         at(0).alias("x"), at(1).alias("y"), at(2).alias("z")
     )
-    pairs = centres.select(c("label").alias("site_a"), (c("label") + 1).alias("site_b"))
+    pairs = ordination.all_pairs(centres, "label")
     return rounded(ordination.pair_distances(pairs, centres, "label", ["x", "y", "z"]), 8)
 
 
@@ -324,7 +324,7 @@ _NOT_AN_EDGE = f"""({_CROSS} < -1e-15 OR (abs({_CROSS}) <= 1e-15 AND {_ALONG} >
     f"""WITH {_POINTS},
 seen AS (SELECT DISTINCT l_suppkey AS site, l_partkey AS taxon, {_FE} AS fe
   FROM lineitem JOIN taxa ON taxon = l_partkey
-  WHERE l_quantity >= 40 AND taxon_group <> '{ABIOTIC}'),
+  WHERE taxon_group <> '{ABIOTIC}'),
 p AS (SELECT DISTINCT site, round(pc1, 12) AS x, round(pc2, 12) AS y FROM seen JOIN points USING (fe)),
 edges AS (
   SELECT a.site, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM p a JOIN p b
@@ -356,10 +356,10 @@ SELECT site, nb_sp, round(nb_sp_p, 6) AS nb_sp_p, nb_fes, round(nb_fes_p, 6) AS
 def diversity_table(spark, sf):
     """The whole diversity table: richness, entities, hull share, and residuals on complexity."""
     c = F.col
-    dominant = parquet(spark, sf, "lineitem").filter("l_quantity >= 40").select(
+    found = parquet(spark, sf, "lineitem").select(
         c("l_suppkey").alias("site"), c("l_partkey").alias("taxon")
     )
-    present = dominant.distinct().join(_taxa_entities(spark, sf).select("taxon", "fe"), "taxon")
+    present = found.distinct().join(_taxa_entities(spark, sf).select("taxon", "fe"), "taxon")
     present = storage.cut_lineage(present)
     by_taxon = diversity.richness(present, "site", "taxon", "nb_sp", "nb_sp_p")
     by_entity = diversity.richness(present, "site", "fe", "nb_fes", "nb_fes_p")
@@ -407,8 +407,10 @@ def standardised_cover(spark, sf):
 t AS (SELECT nation, sum(v) AS total FROM rc GROUP BY nation),
 s AS (SELECT a.nation AS site_a, b.nation AS site_b, sum(least(a.v, b.v)) AS shared
   FROM rc a JOIN rc b ON a.taxon = b.taxon AND a.nation < b.nation GROUP BY ALL)
-SELECT site_a, site_b, round(1 - 2 * shared / (ta.total + tb.total), 9) AS dissimilarity
-FROM s JOIN t ta ON ta.nation = site_a JOIN t tb ON tb.nation = site_b""",
+SELECT ta.nation AS site_a, tb.nation AS site_b,
+  round(1 - 2 * coalesce(shared, 0) / (ta.total + tb.total), 9) AS dissimilarity
+FROM t ta JOIN t tb ON ta.nation < tb.nation
+  LEFT JOIN s ON site_a = ta.nation AND site_b = tb.nation""",
 )
 def bray_curtis(spark, sf):
     """Bray-Curtis dissimilarity of the survey's nations from their shared taxa."""

@@ -15,8 +15,9 @@ CSV_OPTIONS = {
     "ignoreTrailingWhiteSpace": True,
 }
 
+_RING = "struct<LinearRing: struct<coordinates: string>>"
 _KML_SCHEMA = (
-    "name string, Polygon struct<outerBoundaryIs: struct<LinearRing: struct<coordinates: string>>>"
+    f"name string, Polygon struct<outerBoundaryIs: {_RING}, innerBoundaryIs: array<{_RING}>>"
 )
 
 
@@ -57,15 +58,22 @@ def scrub_nan(df: DataFrame) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str) -> DataFrame:
-    """KML placemarks as vertices ``(poly_id, seq, lon, lat)``; altitude is dropped."""
+    """KML placemarks as vertices ``(poly_id, ring, seq, lon, lat)``; altitude is dropped.
+
+    Ring 0 is the outer boundary, the others are holes.
+    """
     placemarks = (
         spark.read.format("xml").option("rowTag", "Placemark").schema(_KML_SCHEMA).load(path)
     )
-    ring = F.split(F.trim(F.col("Polygon.outerBoundaryIs.LinearRing.coordinates")), r"\s+")
-    vertices = placemarks.select(F.col("name").alias("poly_id"), F.posexplode(ring))
+    outer = F.array("Polygon.outerBoundaryIs.LinearRing.coordinates")
+    inner = F.col("Polygon.innerBoundaryIs.LinearRing.coordinates")
+    every = F.concat(outer, F.coalesce(inner, F.array().cast("array<string>")))
+    rings = placemarks.select(F.col("name").alias("poly_id"), F.posexplode(every).alias("ring", "text"))
+    vertices = rings.select("poly_id", "ring", F.posexplode(F.split(F.trim("text"), r"\s+")))
     part = F.split("col", ",")
     return vertices.select(
         "poly_id",
+        "ring",
         F.col("pos").alias("seq"),
         F.get(part, F.lit(0)).try_cast("double").alias("lon"),
         F.get(part, F.lit(1)).try_cast("double").alias("lat"),
