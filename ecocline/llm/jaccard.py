@@ -14,7 +14,9 @@ two similar sets always share one. So no pair is lost.
 Meeting texts are never expanded into pairs of a group: every text is first checked against one
 text, of the first ones of its keys that with which it shares most keys; links become components,
 and only texts of one key that are still in different components, of fitting size and with a Hamming
-distance of their 256-bit parity sketches within the bound, are compared further.
+distance of their 256-bit parity sketches within the bound, are compared further. In both rounds
+the long sketches, of a bit a shingle or more, are compared before any text is moved: 256 bits
+cannot tell texts of a thousand words apart, these can at any length.
 """
 
 from __future__ import annotations
@@ -79,9 +81,26 @@ def keys_of(runs: np.ndarray, percent: int, table: tuple) -> np.ndarray:
 
 
 def sketch_of(runs: np.ndarray) -> bytes:
-    """256 parity bits: bit k tells whether an odd number of shingles falls on k."""
-    odd = np.bincount((mix(runs) >> _U(56)).astype(np.int64), minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
+    """256 parity bits: bit k tells whether an odd number of shingles falls on k.
+
+    For larger sets the long sketch follows, of at least a bit a shingle. Its length is a power of
+    two, so that the XOR of its halves is the sketch of half the length.
+    """
+    bits = max(256, 1 << (len(runs) - 1).bit_length())
+    odd = np.bincount((mix(runs) & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    pack = lambda x: np.packbits(x.astype(np.uint8), bitorder="little").tobytes()
+    return pack(odd.reshape(-1, 256).sum(axis=0) & 1) + (pack(odd) if bits > 256 else b"")
+
+
+def differing(left: bytes, right: bytes) -> int:
+    """Hamming distance of two sketches at the lesser of their lengths: at most the number of
+    shingles that one of the sets holds alone."""
+    short, long = sorted((left[32:] or left, right[32:] or right), key=len)
+    bits, x = len(long) * 8, int.from_bytes(long, "little")
+    while bits > len(short) * 8:
+        bits //= 2
+        x = (x >> bits) ^ (x & ((1 << bits) - 1))
+    return (x ^ int.from_bytes(short, "little")).bit_count()
 
 
 def _key_rows(ids: str, text: str, words: int, percent: int):
@@ -177,6 +196,30 @@ def _checked(words: int, percent: int):
     return rows
 
 
+def _near(percent: int):
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = batch.column("size_a").to_numpy() + batch.column("size_b").to_numpy()
+            sketches = (batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))
+            apart = np.array([differing(x, y) for x, y in zip(*sketches, strict=True)], dtype=np.int64)
+            near = (100 + percent) * apart <= (100 - percent) * total.astype(np.int64)
+            yield batch.select(["a", "b"]).filter(pa.array(near)).cast(schema)
+
+    return rows
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Those pairs (a, b) that their sketches do not rule out; an id may name several texts."""
+    for side in "ab":
+        named = sketches.select(*[F.col(c).alias(n) for c, n in (
+            ("id", side), ("size", f"size_{side}"), ("sketch", f"sketch_{side}"))])
+        pairs = pairs.join(named.hint("merge"), side)
+    pairs = pairs.select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b")
+    return materialise(pairs.mapInArrow(_near(percent), "a long, b long").distinct(), "plausible")
+
+
 def _links(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
     """Those pairs (a, b) whose whole texts are similar enough."""
     for side in "ab":
@@ -234,12 +277,14 @@ def jaccard_join(
     # the size of the list.
     used = rows.select("id").distinct().join(reps.select("id"), "id", "left_semi")
     texts = materialise(known.join(used.hint("merge"), "id", "left_semi"), "texts")
+    sketches = whole.select("id", "size", "sketch").join(used, "id", "left_semi")
+    sketches = materialise(sketches, "sketches")
 
     pairs = rows.filter("first <> id").groupBy(F.col("id").alias("a"), F.col("first").alias("b"))
     pairs = _by_rep(pairs.agg(F.count("*").alias("keys")), stands)
     often = pairs.groupBy("a").agg(F.max(F.struct("keys", -F.col("b"))).alias("best"))
     pairs = materialise(often.select("a", (-F.col("best.col2")).alias("b")), "pairs")
-    links = _links(pairs, texts, words, percent)
+    links = _links(_plausible(pairs, sketches, percent), texts, words, percent)
     groups = components(links.union(same))
 
     # What one text of a key does not settle: texts of that key in different components.
@@ -260,7 +305,7 @@ def jaccard_join(
     )
     rest = meet.select(F.col("id_b").alias("a"), F.col("id").alias("b")).distinct()
     rest = rest.join(pairs, ["a", "b"], "left_anti")
-    more = _links(materialise(rest, "pairs"), texts, words, percent)
+    more = _links(_plausible(rest, sketches, percent), texts, words, percent)
     groups = components(
         groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     )
