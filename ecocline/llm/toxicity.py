@@ -3,8 +3,12 @@
 Writers hide words by look-alike signs (``l0ser``), spaces or dots between letters (``l o s e r``)
 and repeated letters (``looooser``). Such a word is a path through a noisy channel: at every place of
 its lattice a sign may stand for itself, for one of the letters it resembles, for nothing, or for one
-more of the letter before. The Viterbi decoder picks the letters that a character model of the whole
-corpus and the channel make most likely. Trigram counts of that model are summed over all texts.
+more of the letter before, and a blank or mark for nothing or for the border of a word. The Viterbi
+decoder picks the letters that a character model of the whole corpus and the channel make most likely.
+Trigram counts of that model are summed over all texts. Words and runs are decoded whole, whatever
+their length. Only what stands in a text can be a border: words glued together without any sign stay
+one word. Three letters tell little of where a spaced-out word ends, so that a scorer also reads every
+text by the lattice of the words it has weights for, blanks and marks being nothing or borders.
 
 The restored text is scored by the words and word beginnings it holds. Their weights come from a
 bounded sample of the labelled rows outside the held-out fold: the log of the ratio of their rates in
@@ -35,7 +39,6 @@ LOOKALIKES = {
 FILLERS = ".-_*'~^"
 _LETTERS = 28  # a to z, another letter, the border of a word
 _OTHER, _EDGE = 26, 27
-_SPACED = re.compile(r"(?<!\S)(?:\S\s){2,}\S(?!\S)")
 _SIGNS = re.escape("".join(LOOKALIKES))
 #: A sign between letters, before or after some, or a letter three times.
 _HIDDEN = re.compile(
@@ -45,7 +48,10 @@ _MARKS = ".,;:?\"'()[]{}<>#%&*=/\\`~^-_"
 _PREFIXES = (4, 5, 6, 8)
 _MEMO = 100_000
 _ERRORS = 2.3  # standard errors taken off a weight
-_LONGEST = 40  # letters of a word that is decoded in one go
+#: What may stand between the parts of a word besides blanks.
+_APART = re.compile(rf"[^\w{_SIGNS}]+|_+")
+_TWICE = re.compile(r"(.)\1")
+_RUN, _SINGLES = re.compile(b"\1(?:\0?\1)+"), re.compile(b"\1{3,}")
 
 
 def _code(char: str) -> int:
@@ -91,35 +97,53 @@ def character_model(texts: DataFrame) -> np.ndarray:
 
 
 def decode(word: str, model: np.ndarray) -> str:
-    """The most likely letters behind a word; an exact best path over (last two letters)."""
-    word = word.lower()
-    states: dict[tuple[int, int], tuple[float, str]] = {(_EDGE, _EDGE): (0.0, "")}
+    """The most likely letters and blanks behind a word or a run; an exact best path over (last two
+    letters). A blank is nothing or the border of a word."""
+    word = " ".join(word.lower().split())
+    # What is written so far hangs together backwards: (what came before, letter).
+    states: dict[tuple[int, int], tuple[float, tuple | None]] = {(_EDGE, _EDGE): (0.0, None)}
+    last = before = ""  # the two signs before that are no blanks
     for i, sign in enumerate(word):
-        options: list[tuple[str, float]] = []  # letter or nothing, log of the channel
-        if sign.isalpha():
+        options: list[tuple[str, float]] = []  # letter, blank or nothing, log of the channel
+        if sign == " ":
+            single = word[i - 2 : i - 1] in ("", " ") and word[i + 2 : i + 3] in ("", " ")
+            options += [("", -0.5), (" ", -2.0)] if single else [("", -3.0), (" ", -0.05)]
+        elif sign.isalpha():
             options.append((sign, -0.05))
-            if i and word[i - 1] == sign:
-                options.append(("", -0.7 if i > 1 and word[i - 2] == sign else -2.5))
+            if last == sign:
+                options.append(("", -0.7 if before == sign else -2.5))
         else:
             options += [(letter, -1.5) for letter in LOOKALIKES.get(sign, "")]
-            if sign in FILLERS or not LOOKALIKES.get(sign):
-                options.append(("", -1.0))
+            if sign in FILLERS:
+                options += [("", -1.0), (" ", -2.5)]
+            elif not LOOKALIKES.get(sign):
+                options += [("", -2.0), (" ", -0.7)]
             else:
                 options.append(("", -6.0))
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (two, one), (score, done) in states.items():
             for letter, channel in options:
                 if letter:
-                    code = _code(letter)
-                    key, total = (one, code), score + channel + model[two, one, code]
+                    code = _EDGE if letter == " " else _code(letter)
+                    key, total = (one, code), score + channel + float(model[two, one, code])
+                elif one == _EDGE and sign == last:
+                    continue  # a letter behind a border repeats nothing
                 else:
                     key, total = (two, one), score + channel
                 if key not in after or total > after[key][0]:
-                    after[key] = (total, done + letter)
+                    after[key] = (total, (done, letter) if letter else done)
         states = after
-    return max(
-        (score + model[two, one, _EDGE], done) for (two, one), (score, done) in states.items()
+        if sign != " ":
+            last, before = sign, last
+    done = max(
+        ((score + model[two, one, _EDGE], done) for (two, one), (score, done) in states.items()),
+        key=lambda s: s[0],
     )[1]
+    letters = []
+    while done:
+        done, letter = done
+        letters.append(letter)
+    return "".join(reversed(letters))
 
 
 class Restorer:
@@ -128,29 +152,52 @@ class Restorer:
     def __init__(self, model: np.ndarray):
         self.model = model
         self.memo: dict[str, tuple[str, ...]] = {}
+        self.runs: dict[str, str] = {}
 
     def token(self, token: str) -> tuple[str, ...]:
-        """The word of a token, and its decoded form if it hides one."""
+        """The word of a token, and its decoded words if it hides one."""
         found = self.memo.get(token)
         if found is None:
             if len(self.memo) > _MEMO:
                 self.memo.clear()
             plain = token.strip(_MARKS).lower()
-            hides = len(plain) <= _LONGEST and _HIDDEN.search(plain)
-            found = self.memo[token] = (plain, decode(plain, self.model)) if hides else (plain,)
+            hides = _HIDDEN.search(plain)
+            found = self.memo[token] = (plain, *decode(plain, self.model).split()) if hides else (plain,)
         return found
 
-    def spaced(self, text: str, tokens: list[str]) -> list[str]:
-        """Runs of three and more single signs, as one token."""
-        if b"\1\1\1" not in bytes(map((1).__eq__, map(len, tokens))):
-            return []
-        runs = ("".join(run.split()) for run in _SPACED.findall(text))
-        return [decode(run[at : at + _LONGEST], self.model) for run in runs
-                for at in range(0, len(run), _LONGEST)]
+    def run(self, tokens: list[str]) -> set[str]:
+        """The words behind neighbouring tokens, blanks being nothing or borders."""
+        first, *_, last = tokens = [t.lower() for t in tokens]
+        # Two different letters settle the state of the lattice: what is beyond them changes nothing.
+        start = len(first) - 2 if first[-2:].isalpha() and len(set(first[-2:])) == 2 else 0
+        end = 2 if last[:2].isalpha() and len(set(last[:2])) == 2 else len(last)
+        key = " ".join([first[start:], *tokens[1:-1], last[:end]])
+        found = self.runs.get(key)
+        if found is None:
+            if len(self.runs) > _MEMO:
+                self.runs.clear()
+            found = decode(key, self.model)
+            if len(key) <= 256:
+                self.runs[key] = found
+        return {w.strip(_MARKS) for w in (first[:start] + found + last[end:]).split()}
+
+    def spaced(self, tokens: list[str]) -> set[str]:
+        """Words that only runs restore: two and more single signs, tokens between and beside them."""
+        flags = bytes(map((1).__eq__, map(len, tokens)))
+        if b"\1\1" not in flags:
+            return set()
+        found: set[str] = set()
+        for m in _RUN.finditer(flags):
+            if b"\1\1" in m.group():
+                run = tokens[max(m.start() - 1, 0) : m.end() + 1]
+                found.update(self.run(run).difference(*map(self.token, run)))
+        for m in _SINGLES.finditer(flags):  # one word spaced out is the commonest run
+            found.add(decode(" ".join(tokens[m.start() : m.end()]), self.model).replace(" ", ""))
+        return found
 
     def words(self, text: str) -> set[str]:
         tokens = text.split()
-        return {w for t in set(tokens) for w in self.token(t)}.union(self.spaced(text, tokens))
+        return {w for t in set(tokens) for w in self.token(t)} | self.spaced(tokens)
 
 
 def features(word: str) -> list[str]:
@@ -186,11 +233,88 @@ def _sample_words(model: np.ndarray):
     return rows
 
 
+_ROOT, _NONE = frozenset({("", False)}), frozenset()
+
+
+class Finder:
+    """Every given word that a text holds on some path of the lattice, from one border to another.
+
+    Blanks and marks are nothing or borders, and the beginnings of words that are open at one are
+    carried on to what follows, however long the run.
+    """
+
+    def __init__(self, words: set[str]):
+        long = {w for w in words if len(w) > 2}
+        self.goals = frozenset((w, True) for w in long)
+        self.begun = {w[:n] for w in long for n in range(1, len(w) + 1)}
+        self.starts: dict[str, tuple | None] = {}
+        self.steps: dict[tuple, frozenset] = {}
+
+    def onward(self, states: frozenset, part: str, last: str) -> frozenset:
+        """``walk`` in two steps: few beginnings outlive the first signs, and these steps recur."""
+        key = (states, part[:3], last)
+        found = self.steps.get(key)
+        if found is None:
+            if len(self.steps) > _MEMO:
+                self.steps.clear()
+            found = self.steps[key] = self.walk(states, part[:3], last)
+        return self.walk(found, part[3:], part[2]) if found and len(part) > 3 else found
+
+    def walk(self, states: frozenset, part: str, last: str) -> frozenset:
+        """Beginnings of words after a part; each with whether a letter stands for itself in it."""
+        for sign in part:
+            letters = sign if sign.isalpha() else LOOKALIKES.get(sign, "")
+            after = {(s + c, own or sign == c) for s, own in states for c in letters if s + c in self.begun}
+            if sign == last or sign in "!|+(¡":
+                after.update(s for s in states if s[0])
+            states, last = after, sign
+            if not states:
+                break
+        return frozenset(states)
+
+    def parts(self, token: str) -> tuple | None:
+        """A token's parts, each with the beginnings it leaves open when a word starts with it.
+
+        None for a token of one part that leaves none.
+        """
+        low = token.lower()
+        if low not in self.begun and low.isalpha() and not _TWICE.search(low):
+            return None  # every letter can only stand for itself
+        parts = [low] if low.isalpha() else [p for p in _APART.split(low) if p]
+        begun = tuple((p, self.onward(_ROOT, p, "")) for p in parts)
+        return None if len(begun) == 1 and parts[0] == low and not begun[0][1] else begun
+
+    def __call__(self, tokens: list[str]) -> set[str]:
+        found: set[str] = set()
+        starts, goals = self.starts, self.goals
+        if len(starts) > _MEMO:
+            starts.clear()
+        for t in set(tokens):
+            if t not in starts:
+                starts[t] = self.parts(t)
+        states, last = _NONE, ""
+        for token, parts in zip(tokens, map(starts.__getitem__, tokens), strict=True):
+            if parts is None:
+                if not states:
+                    continue
+                parts = ((token.lower(), _NONE),)
+            for part, begun in parts:
+                if states and (on := self.onward(states, part, last)):
+                    states = begun | on if begun else on
+                else:
+                    states = begun
+                if not goals.isdisjoint(states):
+                    found.update(s for s, _ in goals & states)
+                last = part[-1]
+        return found
+
+
 class Scorer:
     """Strongest weights of a text's words, and the fitted score."""
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], fit: np.ndarray | None):
         self.restorer, self.weights, self.fit = Restorer(model), weights, fit
+        self.finder = Finder({f for f in weights if not f.endswith("*")})
         self.memo: dict[str, float] = {}
 
     def weight(self, token: str) -> float:
@@ -206,10 +330,15 @@ class Scorer:
     def known(self, word: str) -> float:
         return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
 
+    def apart(self, tokens: list[str]) -> set[str]:
+        """Words that tokens hold together or beside others, without those of single tokens."""
+        found = self.restorer.spaced(tokens) | self.finder(tokens)
+        return found.difference(*map(self.restorer.token, set(tokens))) if found else found
+
     def inputs(self, text: str | None) -> tuple[float, float, float]:
         """1 and the two strongest weights: sums would grow with the length of a clean text."""
         tokens = (text or "").split()
-        found = [*map(self.weight, set(tokens)), *map(self.known, self.restorer.spaced(text or "", tokens))]
+        found = [*map(self.weight, set(tokens)), *map(self.known, self.apart(tokens))]
         one, two = sorted([0.0, 0.0, *found], reverse=True)[:2]
         return 1.0, one, two
 

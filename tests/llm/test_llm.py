@@ -1,5 +1,6 @@
 """The training data operators against brute force, and on missing, empty, repeated and odd rows."""
 
+import itertools
 import os
 import random
 import sys
@@ -200,6 +201,37 @@ def test_decoding_restores_hidden_words(spark):
     assert "loser" in toxicity.Restorer(model).words("you l o s e r there")
 
 
+def test_words_across_blanks_and_in_long_tokens():
+    """Blanks and marks are nothing or borders, in runs and tokens of any length."""
+    model = np.log(np.full((28, 28, 28), 1 / 28))
+    words = ["loser", "moron", "pathetic"]
+    scorer = toxicity.Scorer(model, dict.fromkeys(words, 2.0), None)
+    filler = " ".join("xyz" * 30)
+    for text, want in {
+        "a l o s e r": 1, "you l o s e r m o r o n there": 2, "lo ser": 1, "pa th et ic": 1, "l 0 s e r": 1,
+        f"{filler} l o s e r {filler}": 1, f"{' '.join('x' * 37)} p a t h e t i c": 1,
+        "l" + " o" * 90 + " s e r": 1, "l" + "o" * 90 + "ser": 1, f"{'x' * 60}/l0ser-{'y' * 60}": 1,
+        "low ser": 0, "a clean line": 0, "x y z": 0,
+    }.items():
+        assert sum(x == 2.0 for x in scorer.inputs(text)) == want, text
+
+
+def test_finder_equals_every_way_to_join():
+    """Plain tokens: every word that whole neighbouring tokens spell, by brute force."""
+    rnd = random.Random(7)
+    for _ in range(300):
+        words = {"".join(rnd.choice("abc") for _ in range(rnd.randrange(3, 7))) for _ in range(6)}
+        words = {w for w in words if all(a != b for a, b in zip(w, w[1:], strict=False))}
+        tokens = ["".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 4))) for _ in range(20)]
+        joined = {"".join(tokens[i:j]) for i in range(20) for j in range(i + 1, 21)}
+        spelt = {w for t in joined for w in words if w == t}
+        found = toxicity.Finder(words)(tokens)
+        assert spelt <= found
+        # A repeated letter may stand for nothing: no other way leads to a word.
+        once = {"".join(c for c, _ in itertools.groupby(t)) for t in joined}
+        assert found <= {w for w in words if w in once}
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):
