@@ -7,8 +7,10 @@ rather than computed over a window, so one very large group is never sorted in a
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import coefficient_of_variation, standard_error
@@ -149,20 +151,65 @@ def spread_profile(
     columns: Sequence[str],
     probs: Sequence[float],
     accuracy: int = 10000,
+    bins: int = 1024,
 ) -> DataFrame:
-    """Quantiles of each column per group, from mergeable sketches of bounded size.
+    """Exact quantiles of each column per group: the value of rank ``ceil(p * n)``.
 
-    All columns are sketched in one pass over the rows and unpacked after the aggregation.
+    Sketches bracket the rank of every quantile. Values are counted in bins, ``bins`` of them inside a
+    bracket and one behind it; cumulative counts locate the bins that hold the ranks, and only their
+    values are ordered. The brackets decide how much is ordered, never the result.
     """
-    points = [float(p) for p in probs]
-    sketch = lambda c: F.struct(
-        F.lit(c).alias("parameter"), F.count(c).alias("n"),
-        F.percentile_approx(c, points, accuracy).alias("q"),
-    )
-    names = [f"q{int(round(p * 100)):02d}" for p in points]
-    packed = df.groupBy(*keys).agg(F.array(*[sketch(c) for c in columns]).alias("r"))
-    rows = packed.select(*keys, F.inline("r"))
-    return rows.select(*keys, "parameter", "n", *[F.col("q")[i].alias(n) for i, n in enumerate(names)])
+    names = [f"q{int(round(p * 100)):02d}" for p in probs]
+    by, value = [*keys, "parameter"], F.col("__v")
+    order = sorted(float(p) for p in probs)
+    ends = [min(max(p + side / accuracy, 0.0), 1.0) for p in order for side in (-2, 2)]
+    spans = df.groupBy(*keys).agg(*[
+        F.struct(
+            F.percentile_approx(F.col(c).cast("double"), ends, accuracy).alias("b"),
+            F.count(c).alias("n"),
+        ).alias(f"__{c}")
+        for c in columns
+    ])
+
+    def entry(c: str) -> Column:
+        v, edges, bin_ = F.col(c).cast("double"), F.col(f"__{c}.b"), F.lit(0)
+        for i in range(len(order)):  # the last bracket that begins at or below the value
+            low, high = edges[2 * i], edges[2 * i + 1]
+            place = F.coalesce(F.floor(F.try_divide(v - low, high - low) * bins), F.lit(0))
+            inside = F.when(v > high, bins).otherwise(F.least(place, F.lit(bins - 1)))
+            bin_ = F.when(v >= low, 1 + i * (bins + 1) + inside).otherwise(bin_)
+        return F.struct(
+            F.lit(c).alias("parameter"), F.col(c).alias("__v"), F.col(f"__{c}.n").alias("n"),
+            bin_.cast("long").alias("__bin"),
+        )
+
+    rows = F.array(*[entry(c) for c in columns])
+    binned = keyed_join(df.select(*keys, *columns), spans, keys).select(*keys, F.inline(rows))
+    binned = binned.filter("__v IS NOT NULL")
+    sizes = binned.groupBy(*by, "__bin").agg(F.count("*").alias("__in"), F.max("n").alias("n"))
+    running = Window.partitionBy(*by).orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0)
+    sizes = sizes.withColumn("__before", F.sum("__in").over(running) - F.col("__in"))
+
+    def rank(p: float) -> Column:
+        over, under = Fraction(str(p)).as_integer_ratio()
+        return F.greatest(F.lit(1), F.expr(f"(n * {over} + {under - 1}) div {under}"))
+
+    first, last = F.col("__before"), F.col("__before") + F.col("__in")
+    held = reduce(Column.__or__, [(rank(p) > first) & (rank(p) <= last) for p in probs])
+    inside = keyed_join(binned.drop("n"), sizes.filter(held).drop("__in"), [*by, "__bin"])
+    counted = inside.groupBy(*by, "__bin", "n", "__before", "__v").agg(F.count("*").alias("__n"))
+    step = Window.partitionBy(*by, "__bin").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    end = F.col("__before") + F.sum("__n").over(step)
+    ranked = counted.withColumn("__end", end).withColumn("__start", F.col("__end") - F.col("__n"))
+    at = lambda p: F.max(
+        F.when((rank(p) > F.col("__start")) & (rank(p) <= F.col("__end")), value)
+    )
+    found = ranked.groupBy(*by).agg(*[at(p).alias(name) for p, name in zip(probs, names, strict=True)])
+    counts = F.array(*[
+        F.struct(F.lit(c).alias("parameter"), F.col(f"__{c}.n").alias("n")) for c in columns
+    ])
+    every = spans.select(*keys, F.inline(counts))
+    return keyed_join(every, found, by, "left").select(*by, "n", *names)
 
 
 def histogram(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:

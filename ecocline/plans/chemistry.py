@@ -188,7 +188,7 @@ SELECT site, parameter, count(v) AS n, quantile_disc(v, 0.05) AS q05, quantile_d
 FROM long GROUP BY site, parameter""",
 )
 def sample_spread(spark, sf):
-    """Quantiles of the samples per site and parameter, from mergeable sketches."""
+    """Exact quantiles of the samples per site and parameter."""
     probs = [0.05, 0.25, 0.5, 0.75, 0.95]
     return summaries.spread_profile(samples(spark, sf), ["site"], ["price", "discount"], probs)
 

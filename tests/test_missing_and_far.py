@@ -139,3 +139,21 @@ def test_kriging_says_why_a_group_has_no_surface(spark):
     model = spark.createDataFrame([], "k string, nugget double, range double, sill double")
     out = {r.k: r.status for r in spatial.krige_weights(df, ["k"], "x", "y", "z", model).collect()}
     assert out == {"x": "no variogram model", "none": "no samples"}
+
+
+def test_quantiles_of_a_large_group_are_exact(spark):
+    """A group beyond the accuracy of a sketch, ties, a missing key, missing values and small groups."""
+    rnd = np.random.default_rng(8)
+    groups = {
+        "hot": rnd.normal(0, 40_000, 60_000).round().tolist(), "ties": [1.0] * 30 + [2.0, 5.0],
+        None: [3.0, None, 1.0, 2.0], "one": [7.0], "none": [None, None],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    frame = spark.createDataFrame(rows, "k string, v double").repartition(8)
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    found = {r.k: r for r in summaries.spread_profile(frame, ["k"], ["v"], probs).collect()}
+    assert set(found) == set(groups)
+    for k, values in groups.items():
+        held = sorted(v for v in values if v is not None)
+        want = [held[max(1, -(-len(held) * round(p * 100) // 100)) - 1] if held else None for p in probs]
+        assert (found[k].n, list(found[k])[3:]) == (len(held), want)
