@@ -71,7 +71,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", packed),
 ]
 
-# Tokenizer, classifier and checksums are beyond SQL; tests compare run() with a brute-force version.
+# Tokenizer, classifier and checksums are beyond SQL. No test compares the rows of run() with a brute-force
+# version: tests check the stages' columns, who stays of near duplicates, and the total of tokens packed.
 ORACLE_SQL = None
 
 
