@@ -270,7 +270,7 @@ def jaccard_join(
     reps = whole.filter("id = first").select(
         "id", "size", *[F.conv(F.hex(F.substring("sketch", 1 + 8 * k, 8)), 16, -10)
                         .cast("long").alias(f"s{k}") for k in range(4)]
-    ).dropDuplicates(["id"])
+    ).distinct()  # fmt: skip; one row for every text that an id names
     rows = met.filter("sketch is null")
 
     # Texts that share a key are moved once, and read for both rounds. The join does not depend on

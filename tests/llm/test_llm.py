@@ -95,6 +95,20 @@ def test_jaccard_join_equals_brute_force(spark, words, percent):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute_groups(rows, words, percent)
 
 
+def test_one_id_with_two_texts_links_through_both(spark):
+    rnd = random.Random(11)
+    rows, want = [], {}
+    for g in range(20):
+        for text_id, size in ((3 * g, 60), (3 * g + 1, 400)):
+            words = [f"w{rnd.randrange(10**6)}" for _ in range(size)]
+            rows.append((3 * g + 2, " ".join(words), "s"))
+            rows.append((text_id, " ".join([*words[:-1], "other"]), "s"))
+        want |= {3 * g + k: 3 * g for k in range(3)}
+    rnd.shuffle(rows)
+    found = jaccard.jaccard_join(documents(spark, rows)).collect()
+    assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == want
+
+
 def test_tokenizer_equals_library(library):
     rnd = random.Random(1)
     signs = [*"abstmdrevl'' \n\t\r.,!?013éñ中😀 　²_-", "<|endoftext|>", "''ll", "====", " the"]
