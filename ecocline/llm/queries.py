@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ecocline.llm.collocations import mine_collocations
 from ecocline.llm.jaccard import jaccard_join
 from ecocline.llm.licenses import NOTICES, PHRASES, scan_licenses
 from ecocline.llm.lines import drop_repeated_lines
@@ -270,3 +271,39 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
 @query("op9_toxicity")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return score_toxicity(parquet(spark, sf, "documents"), parquet(spark, sf, "labels"))
+
+
+@query("op11_collocations", f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({LOWER.replace('text', "coalesce(text, '')")},
+    '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents)),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM pieces GROUP BY lang),
+counts AS (
+  SELECT lang, k, phrase, count(*) AS f FROM (
+    SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i, array_to_string(w[i:i + k - 1], ' ') AS phrase
+    FROM pieces, range(1, 4) AS sizes(k))
+  GROUP BY ALL HAVING count(*) >= 10),
+cuts AS (
+  SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w, unnest(range(1, k)) AS cut
+  FROM counts WHERE k > 1),
+scored AS (
+  SELECT c.lang, c.k, c.phrase, a, cut, l.f AS l, r.f AS r,
+    (1000000::HUGEINT * a * a) // (l.f::HUGEINT * r.f) AS score
+  FROM cuts c JOIN counts l ON l.lang = c.lang AND l.phrase = array_to_string(w[:cut], ' ')
+  JOIN counts r ON r.lang = c.lang AND r.phrase = array_to_string(w[cut + 1:], ' ')),
+best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, array_to_string(w[i:i + 1], ' ') AS phrase, max(f) AS around FROM (
+    SELECT lang, f, string_split(phrase, ' ') AS w, unnest([1, 2]) AS i FROM counts WHERE k = 3)
+  GROUP BY ALL),
+kept AS (
+  SELECT b.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM best b LEFT JOIN inside USING (lang, phrase) WHERE coalesce(100 * around < 50 * a, true))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n,
+  score::BIGINT AS score
+FROM kept JOIN totals USING (lang) WHERE rank <= 2000
+""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return mine_collocations(parquet(spark, sf, "documents"))
