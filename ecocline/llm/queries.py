@@ -13,6 +13,7 @@ from ecocline.llm.licenses import NOTICES, PHRASES, scan_licenses
 from ecocline.llm.lines import drop_repeated_lines
 from ecocline.llm.mixing import mix
 from ecocline.llm.packing import pack
+from ecocline.llm.periods import find_runs
 from ecocline.llm.tokens import count_tokens
 from ecocline.llm.topk import top_k
 from ecocline.llm.toxicity import score_toxicity
@@ -307,3 +308,48 @@ FROM kept JOIN totals USING (lang) WHERE rank <= 2000
 """)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     return mine_collocations(parquet(spark, sf, "documents"))
+
+
+def with_planted_runs(documents: DataFrame) -> DataFrame:
+    """doc_id and text; a tenth of the texts, by their id, repeats its own words from a place on.
+
+    A NULL text or id stays as it is.
+    """
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)")))
+    g = documents.select("doc_id", "text", words.alias("w"), F.floor(h / 10).alias("g"))
+    n = F.size("w")
+    start = F.col("g") % n
+    placed = g.filter("size(w) > 0").select(
+        "doc_id", "w", start.cast("int").alias("a"),
+        (1 + F.floor((n - start) / (3 + F.col("g") % 8))).cast("int").alias("p"),
+    )
+    again = F.transform(
+        F.sequence(F.col("a"), F.size("w") - 1),
+        lambda i: F.get("w", F.col("a") + (i - F.col("a")) % F.col("p")),
+    )
+    text = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), again), " ")
+    rest = g.filter("w IS NULL OR size(w) = 0").select("doc_id", "text")
+    return placed.select("doc_id", text.alias("text")).unionByName(rest)
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    found = find_runs(with_planted_runs(parquet(spark, sf, "documents")))
+    # of equal exponents the first stays: runs are in the order of start, then period
+    best = F.aggregate(
+        "runs", F.get("runs", 0),
+        lambda held, run: F.when(
+            run["length"] * held["period"] > held["length"] * run["period"], run
+        ).otherwise(held),
+    )
+    lines = F.transform(
+        "runs", lambda run: F.concat_ws(",", run["start"], run["length"], run["period"])
+    )
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"),
+        "best.start", "best.length", "best.period",
+        F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
