@@ -12,6 +12,7 @@ from ecocline.llm.jaccard import jaccard_join
 from ecocline.llm.licenses import NOTICES, PHRASES, scan_licenses
 from ecocline.llm.lines import drop_repeated_lines
 from ecocline.llm.mixing import mix
+from ecocline.llm.outliers import judge_quality
 from ecocline.llm.packing import pack
 from ecocline.llm.periods import find_runs
 from ecocline.llm.tokens import count_tokens
@@ -353,3 +354,8 @@ def op13(spark: SparkSession, sf: str) -> DataFrame:
         F.floor(1000 * F.col("best.length") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+@query("op12_quality_outliers")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return judge_quality(parquet(spark, sf, "documents"))
