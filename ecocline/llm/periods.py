@@ -191,6 +191,8 @@ def runs(
     nothing = np.zeros(0, dtype=np.int64)
     # Only texts that hold a candidate are compressed.
     owner = np.searchsorted(begins, places, side="right") - 1
+    within = places + (least_powers - 1) * periods < (begins + sizes)[owner]
+    places, periods, owner = places[within], periods[within], owner[within]
     some = np.unique(owner)
     if not len(some):
         return nothing, nothing, nothing, nothing

@@ -85,6 +85,12 @@ def test_slices_of_candidates_agree(monkeypatch):
     assert found(texts) == whole
 
 
+def test_words_that_texts_share_make_no_candidates():
+    texts = [[f"u{t}", "the", f"v{t}", "the"] for t in range(200)] + [["a", "b"] * 3 + ["the"] * 2] * 3
+    texts += [["the"] * 7, ["x", "y"] * 6]
+    assert found(texts) == [plain_runs(t) for t in texts]
+
+
 def test_extensions_count_equal_words():
     rnd = random.Random(2)
     words = [rnd.choice("ab") for _ in range(60)] * 4 + ["a"] * 70 + [rnd.choice("abc") for _ in range(300)]
