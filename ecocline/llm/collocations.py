@@ -47,20 +47,20 @@ def parse(
     """The dictionary: ``lang``, ``chunk`` (words joined by a blank), ``owned`` (words that are not
     part of the closing trigger) and ``freq`` (how often the parse holds the chunk)."""
     window = longest - 1
-    text = F.translate(F.coalesce(text_column, F.lit("")), UPPER, LOWER)
     pieces = documents.select(
         F.coalesce(F.col(lang_column).cast("string"), F.lit("und")).alias("lang"),
-        F.explode(F.split(text, PIECE)).alias("piece"),
+        F.explode(F.split(F.coalesce(text_column, F.lit("")), PIECE)).alias("piece"),
     )
-    words = F.filter(F.split("piece", r"[\x20\x09]+"), lambda w: w != "")
+    ascii_ = F.octet_length("piece") == F.char_length("piece")
+    lower = F.when(ascii_, F.lower("piece")).otherwise(F.translate("piece", UPPER, LOWER))
+    words = F.array_remove(F.split(F.replace(lower, F.lit("\t"), F.lit(" ")), " "), "")
     worded = pieces.filter(F.col("piece").rlike(r"[^\x20\x09]")).select("lang", words.alias("w"))
-    windows = worded.select("lang", "w", _joined(F.col("w"), window).alias("windows"))
     cuts = F.filter(
-        F.sequence(F.lit(0), F.size("windows")),
+        F.sequence(F.lit(0), F.greatest(F.size("w") - window, F.lit(0))),
         lambda i: (i == 0)
-        | ((i < F.size("windows")) & (F.pmod(F.xxhash64(F.get("windows", i)), F.lit(period)) == 0)),
+        | (F.pmod(F.xxhash64(*[F.get("w", i + k) for k in range(window)]), F.lit(period)) == 0),
     )
-    cutting = windows.select("lang", "w", cuts.alias("cuts"))
+    cutting = worded.select("lang", "w", F.when(F.size("w") > window, cuts).otherwise(F.array(F.lit(0))).alias("cuts"))
 
     def chunk(start: Column, nth: Column) -> Column:
         end = F.get("cuts", nth + 1)
