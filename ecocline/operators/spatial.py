@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import haversine_m
 from ecocline.operators.blocks import block_reduce, spread
-from ecocline.operators.ordering import exact_median, order_index
+from ecocline.operators.ordering import exact_median, order_index, top_rows
 from ecocline.operators.relations import keyed_join, natural_join
 from ecocline.operators.summaries import attach
-
-MAX_SAMPLES = 4000
+from ecocline.sources.storage import cut_lineage
 
 
 def centroids(
@@ -173,28 +172,120 @@ def spherical(d: Column, nugget: Column, range_: Column, sill: Column) -> Column
     return F.when(d == 0, F.lit(0.0)).when(d >= range_, sill).otherwise(rising)
 
 
+def _tiled(table: DataFrame, x: str, y: str, level: Column) -> list[Column]:
+    """Column and row of the tile of side ``__side / 2 ** level`` that a place lies in or nearest to."""
+    tiles = F.pow(F.lit(2.0), level)
+    at = lambda v, low: F.least(
+        F.greatest(F.floor((F.col(v) - F.col(low)) * tiles / F.col("__side")), F.lit(0)), tiles - 1
+    ).cast("long")
+    return [at(x, "__x0"), at(y, "__y0")]
+
+
+def _frames(places: DataFrame, keys: Sequence[str], neighbours: int) -> DataFrame:
+    """Square around each group's places, and the level at which its tiles have their own systems.
+
+    A group of at most ``neighbours`` places is one tile; beyond, a tile holds a quarter of them at most, if
+    the places lie evenly.
+    """
+    c = F.col
+    boxes = places.groupBy(*keys).agg(
+        F.min("__px").alias("__x0"), F.min("__py").alias("__y0"),
+        F.greatest(F.max("__px") - F.min("__px"), F.max("__py") - F.min("__py")).alias("__span"),
+        F.count("*").alias("__n"),
+    )
+    level = F.when(c("__n") <= neighbours, 0).otherwise(
+        1 + F.ceil(F.log2(c("__n") / float(neighbours)) / 2)
+    )
+    side = F.when(c("__span") > 0, c("__span")).otherwise(1.0)
+    return boxes.select(*keys, "__x0", "__y0", side.alias("__side"), level.cast("int").alias("__level"))
+
+
+_FINER, _RING = 4, 3
+
+
+def _nearest(places: DataFrame, frames: DataFrame, keys: Sequence[str], neighbours: int) -> DataFrame:
+    """The ``neighbours`` places nearest to the centre of every tile, ties by position.
+
+    Places are counted in cells of every level, down to a few levels below the tiles. The finest level at which the
+    three by three cells around a tile's centre hold enough places bounds how far the nearest can be: twice the
+    diagonal of such a cell, so that they lie within three cells. A tile meets those cells alone.
+    """
+    c, keys = F.col, list(keys)
+    framed = keyed_join(places, frames, keys)
+    levels = F.sequence(F.lit(0), c("__level") + _FINER)
+    deep = framed.select("*", F.explode(levels).alias("__l"))
+    cx, cy = _tiled(deep, "__px", "__py", c("__l"))
+    counts = deep.groupBy(*keys, "__l", cx.alias("__cx"), cy.alias("__cy")).agg(F.count("*").alias("__in"))
+    span = F.sequence(F.lit(0).cast("long"), F.pow(F.lit(2.0), c("__level")).cast("long") - 1)
+    tiles = frames.withColumn("__tx", F.explode(span)).withColumn("__ty", F.explode(span))
+    width = c("__side") / F.pow(F.lit(2.0), c("__level"))
+    tiles = tiles.withColumns({
+        "__mx": c("__x0") + (c("__tx") + 0.5) * width, "__my": c("__y0") + (c("__ty") + 0.5) * width
+    })
+    tile = [*keys, "__tx", "__ty"]
+    mx, my = _tiled(tiles, "__mx", "__my", c("__l"))
+    around = lambda r: F.sequence(F.lit(-r), F.lit(r))
+
+    def cells(table: DataFrame, ring: int) -> DataFrame:
+        held = table.select("*", mx.alias("__ax"), my.alias("__ay"))
+        held = held.withColumn("__i", F.explode(around(ring))).withColumn("__j", F.explode(around(ring)))
+        held = held.withColumns({"__cx": c("__ax") + c("__i"), "__cy": c("__ay") + c("__j")})
+        return held.drop("__ax", "__ay", "__i", "__j")
+
+    tried = cells(tiles.select("*", F.explode(levels).alias("__l")), 1)
+    near = keyed_join(tried.select(*tile, "__l", "__cx", "__cy"), counts, [*keys, "__l", "__cx", "__cy"])
+    enough = near.groupBy(*tile, "__l").agg(F.sum("__in").alias("__in"))
+    enough = enough.filter(c("__in") >= neighbours).groupBy(*tile).agg(F.max("__l").alias("__l"))
+    # too few places anywhere around: all of the group's, in the one cell of level 0
+    found = keyed_join(tiles, enough, tile, "left").withColumn("__l", F.coalesce("__l", F.lit(0)))
+    used = found.groupBy(*keys).agg(F.collect_set("__l").alias("__used"))
+    laid = keyed_join(framed, used, keys).select("*", F.explode("__used").alias("__l")).drop("__used")
+    px, py = _tiled(laid, "__px", "__py", c("__l"))
+    laid = laid.select(*keys, "__l", px.alias("__cx"), py.alias("__cy"), "__px", "__py", "__pz")
+    met = keyed_join(
+        cells(found, _RING).select(*tile, "__l", "__cx", "__cy", "__mx", "__my"), laid,
+        [*keys, "__l", "__cx", "__cy"],
+    )
+    far = F.pow(c("__px") - c("__mx"), 2) + F.pow(c("__py") - c("__my"), 2)
+    nearest = top_rows(met.withColumn("__far", far), tile, ["__far", "__px", "__py"], neighbours)
+    return nearest.select(*tile, "__px", "__py", "__pz")
+
+
 def krige_weights(
-    samples: DataFrame, keys: Sequence[str], x: str, y: str, z: str, model: DataFrame
+    samples: DataFrame,
+    keys: Sequence[str],
+    x: str,
+    y: str,
+    z: str,
+    model: DataFrame,
+    neighbours: int = 256,
 ) -> DataFrame:
-    """Dual kriging weights per group: one small solve, one row ``(status, mean, nodes)``.
+    """Dual kriging weights per group and tile: ``(status, mean, nodes)`` and where the tile lies.
 
-    A group that cannot be solved comes back with the reason in ``status`` and no nodes, so one
-    bad group never stops the others.
+    The system of a tile takes the ``neighbours`` samples nearest to its centre (samples at one
+    place count as their mean), so a group of at most so many is one dense system, and a larger
+    one has as many small systems as it has tiles. No system grows with its group, and the systems of a group
+    are spread over tasks by tile. A group or tile that cannot be solved comes back with
+    the reason in ``status`` and no nodes, so one bad group never stops the others.
     """
     keys = list(keys)
-    rows = samples.dropna(subset=[x, y, z]).groupBy(*keys, x, y).agg(F.avg(z).alias(z))
-    packed = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    sized = keyed_join(rows, packed, keys)
-    solvable = keyed_join(sized.filter(F.col("n") <= MAX_SAMPLES), model, keys)
+    c = F.col
+    places = samples.dropna(subset=[x, y, z]).groupBy(
+        *keys, c(x).cast("double").alias("__px"), c(y).cast("double").alias("__py")
+    ).agg(F.avg(z).alias("__pz"))
+    places = cut_lineage(places)
+    frames = cut_lineage(_frames(places, keys, neighbours))
+    near = keyed_join(_nearest(places, frames, keys, neighbours), model, keys)
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in samples.select(*keys).schema]
     node = "array<struct<x: double, y: double, w: double>>"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        head = pdf.iloc[0]
-        out = {k: [head[k]] for k in keys} | {"status": ["ok"], "mean": [None], "nodes": [None]}
+        head, pdf = pdf.iloc[0], pdf.sort_values(["__px", "__py"])
+        out = {k: [head[k]] for k in [*keys, "__tx", "__ty"]}
+        out |= {"status": ["ok"], "mean": [None], "nodes": [None]}
         try:
             nugget, reach, sill = (float(head[p]) for p in ("nugget", "range", "sill"))
-            px, py, pz = (pdf[c].to_numpy(dtype=float) for c in (x, y, z))
+            px, py, pz = (pdf[v].to_numpy(dtype=float) for v in ("__px", "__py", "__pz"))
             if not np.all(np.isfinite([nugget, reach, sill])) or reach <= 0:
                 raise ValueError("no variogram model")
             d = np.hypot(px[:, None] - px[None, :], py[:, None] - py[None, :])
@@ -204,34 +295,42 @@ def krige_weights(
             system[:-1, :-1], system[-1, -1] = gamma, 0.0
             w = np.linalg.solve(system, np.append(pz, 0.0))
             out["mean"] = [float(w[-1])]
-            out["nodes"] = [[{"x": a, "y": b, "w": c} for a, b, c in zip(px, py, w[:-1])]]
+            out["nodes"] = [[{"x": a, "y": b, "w": v} for a, b, v in zip(px, py, w[:-1])]]
         except (ValueError, np.linalg.LinAlgError) as problem:
             out["status"] = [str(problem)]
         return pd.DataFrame(out)
 
-    schema = ", ".join([*kinds, "status string", "mean double", f"nodes {node}"])
-    solved = spread(solvable, keys).groupBy(*keys).applyInPandas(solve, schema)
-    every = keyed_join(samples.select(*keys).distinct(), packed, keys, "left")
-    reason = (
-        F.when(F.col("n") > MAX_SAMPLES, "too many samples for one solve")
-        .when(F.col("n") > 0, "no variogram model").otherwise("no samples")
-    )
-    rest = natural_join(every, solved.select(*keys), "left_anti").select(
-        *keys, reason.alias("status"), F.lit(None).cast("double").alias("mean"),
-        F.lit(None).cast(node).alias("nodes"),
+    tile = [*keys, "__tx", "__ty"]
+    schema = ", ".join([*kinds, "__tx long, __ty long, status string, mean double", f"nodes {node}"])
+    solved = spread(near, tile).groupBy(*tile).applyInPandas(solve, schema)
+    solved = cut_lineage(keyed_join(solved, frames, keys))
+    every = keyed_join(
+        samples.select(*keys).distinct(), frames.withColumn("__some", F.lit(True)), keys, "left"
+    )
+    reason = F.when(c("__some"), "no variogram model").otherwise("no samples")
+    rest = natural_join(every, solved.select(*keys).distinct(), "left_anti").select(
+        *keys, F.lit(0).cast("long").alias("__tx"), F.lit(0).cast("long").alias("__ty"),
+        reason.alias("status"), F.lit(None).cast("double").alias("mean"),
+        F.lit(None).cast(node).alias("nodes"), "__x0", "__y0", "__side", "__level",
     )
     return solved.unionByName(rest)
 
 
 def krige(grid: DataFrame, weights: DataFrame, model: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Prediction at every grid point: the group's weights times the variogram to its samples.
+    """Prediction at every grid point: its tile's weights times the variogram to the tile's samples.
 
-    The samples of a group travel as one array beside the point, so the grid is neither shuffled
-    by sample nor multiplied by the number of samples.
+    The samples of a tile travel as one array beside the point, so the grid is neither shuffled
+    by sample nor multiplied by the number of samples. A point outside all tiles takes the nearest one.
     """
     c, keys = F.col, list(keys)
-    ready = keyed_join(weights.filter("status = 'ok'"), model, keys)
-    cells = keyed_join(grid, ready, keys)
+    solved = weights.filter("status = 'ok'")
+    frames = solved.select(*keys, "__x0", "__y0", "__side", "__level").distinct()
+    ready = keyed_join(solved.select(*keys, "__tx", "__ty", "mean", "nodes"), model, keys)
+    framed = keyed_join(grid, frames, keys)
+    tx, ty = _tiled(framed, "x", "y", c("__level"))
+    cells = keyed_join(
+        framed.select(*keys, "x", "y", tx.alias("__tx"), ty.alias("__ty")), ready, [*keys, "__tx", "__ty"]
+    )
 
     def term(acc: Column, node: Column) -> Column:
         dx, dy = node["x"] - c("x"), node["y"] - c("y")
