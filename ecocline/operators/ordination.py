@@ -6,15 +6,15 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ecocline.operators.blocks import block_reduce
+from ecocline.operators.monotone import monotone_fit
+from ecocline.operators.scaling import principal_axes  # noqa: F401
 from ecocline.operators.summaries import attach
 from ecocline.sources.storage import cut_lineage
 
-MAX_SITES = 6000
-
 
 def standardise(
     cover: DataFrame, site: str, taxon: str, value: str, root: bool = True
@@ -29,12 +29,51 @@ def standardise(
     return scaled.select(site, taxon, value)
 
 
-def all_pairs(sites: DataFrame, site: str) -> DataFrame:
-    """Every unordered pair ``(site_a, site_b)`` of a site list, the lesser one first."""
-    listed = sites.select(site).distinct()
-    others = listed.agg(F.collect_list(site)).scalar()
-    both = listed.select(F.col(site).alias("site_a"), F.explode(others).alias("site_b"))
-    return both.filter("site_a < site_b")
+def all_pairs(sites: DataFrame, site: str, block: int = 256) -> DataFrame:
+    """Every unordered pair ``(site_a, site_b)`` of a site list, the lesser one first.
+
+    Sites are hashed into blocks of about ``block``, and blocks are joined with blocks.
+    """
+    listed = cut_lineage(sites.select(F.col(site).alias("s")).distinct())
+    blocks = max(1, -(-listed.count() // block))
+    packed = listed.groupBy(F.pmod(F.xxhash64("s"), F.lit(blocks)).cast("int").alias("own")).agg(
+        F.collect_list("s").alias("members")
+    )
+    left = packed.select(
+        F.explode(F.sequence("own", F.lit(blocks - 1))).alias("other"), "own", F.col("members").alias("l")
+    )
+    right = packed.select(F.col("own").alias("other"), F.col("members").alias("r"))
+    met = left.join(right, "other").select("own", "other", F.explode("l").alias("a"), "r")
+    met = met.select("own", "other", "a", F.explode("r").alias("b"))
+    met = met.filter((F.col("own") != F.col("other")) | (F.col("a") < F.col("b")))
+    return met.select(F.least("a", "b").alias("site_a"), F.greatest("a", "b").alias("site_b"))
+
+
+def _shared(left: pd.DataFrame, right: pd.DataFrame, slab: int = 512) -> np.ndarray:
+    """Sum over taxa of the lesser value, for every site of two blocks; taxa a slab at a time."""
+    taxa = np.intersect1d(
+        *(np.unique(np.concatenate([np.asarray(t, dtype=object) for t in side["taxa"]])) for side in (left, right))
+    )
+    out = np.zeros((len(left), len(right)))
+    at = {t: i for i, t in enumerate(taxa)}
+
+    def cells(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        row = np.repeat(np.arange(len(side)), [len(t) for t in side["taxa"]])
+        column = np.array([at.get(t, -1) for ts in side["taxa"] for t in ts], dtype=np.int64)
+        return row, column, np.concatenate([np.asarray(v, dtype=float) for v in side["values"]])
+
+    (lr, lc, lv), (rr, rc, rv) = cells(left), cells(right)
+    for low in range(0, len(taxa), slab):
+        width = min(slab, len(taxa) - low)
+        held = []
+        for n, r, c, v in ((len(left), lr, lc, lv), (len(right), rr, rc, rv)):
+            use = (c >= low) & (c < low + width)
+            dense = np.zeros((n, width))
+            dense[r[use], c[use] - low] = v[use]
+            held.append(dense)
+        for i, row in enumerate(held[0]):
+            out[i] += np.minimum(row, held[1]).sum(axis=1)
+    return out
 
 
 def bray_curtis(
@@ -42,75 +81,33 @@ def bray_curtis(
 ) -> DataFrame:
     """Bray-Curtis dissimilarity ``(site_a, site_b, dissimilarity)`` of every two sites.
 
-    Two sites that share no taxon are at 1. Each taxon's sites are packed into arrays of about
-    ``block`` entries and joined array to array by taxon and block, so a taxon found everywhere is
-    spread over tasks; shared minima are summed before the shuffle.
+    Two sites that share no taxon are at 1. A site is one row with its taxa and values; sites are hashed into
+    blocks of about ``block``, and each pair of blocks is compared in one task, its taxa a slab at a time.
     """
-    present = cover.filter(F.col(value) > 0).groupBy(site, taxon).agg(F.sum(value).alias("v"))
-    totals = present.groupBy(site).agg(F.sum("v").alias("total"))
-    blocks = totals.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int")).scalar()
-    packed = (
-        present.withColumn("blocks", blocks)
-        .withColumn("own", F.pmod(F.xxhash64(site), F.col("blocks")).cast("int"))
-        .groupBy(taxon, "own", "blocks")
-        .agg(F.collect_list(F.struct(F.col(site).alias("s"), "v")).alias("members"))
+    kind = cover.schema[site].dataType.simpleString()
+    present = cover.filter(F.col(value) > 0).groupBy(site, taxon).agg(F.sum(value).cast("double").alias("v"))
+    rows = present.groupBy(site).agg(
+        F.collect_list(F.struct(F.col(taxon).alias("t"), "v")).alias("c"), F.sum("v").alias("total")
     )
-    left = packed.select(
-        taxon, "own", F.explode(F.sequence("own", F.col("blocks") - 1)).alias("other"),
-        F.col("members").alias("l"),
+    rows = rows.select(site, F.col("c.t").alias("taxa"), F.col("c.v").alias("values"), "total")
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        if not len(left) or not len(right):  # a block that no site fell into
+            return pd.DataFrame({"site_a": left[site], "site_b": left[site], "dissimilarity": left["total"]}).iloc[:0]
+        total = left["total"].to_numpy()[:, None] + right["total"].to_numpy()[None, :]
+        d = 1 - 2 * _shared(left, right) / total
+        a, b = left[site].to_numpy(), right[site].to_numpy()
+        i, j = np.nonzero(a[:, None] < b[None, :]) if same else map(np.ravel, np.indices(d.shape))
+        swap = a[i] > b[j]
+        return pd.DataFrame({
+            "site_a": np.where(swap, b[j], a[i]), "site_b": np.where(swap, a[i], b[j]),
+            "dissimilarity": d[i, j],
+        })
+
+    return block_reduce(
+        rows, [], site, ["taxa", "values", "total"], compare,
+        f"site_a {kind}, site_b {kind}, dissimilarity double", block,
     )
-    right = packed.select(taxon, F.col("own").alias("other"), F.col("members").alias("r"))
-    joined = left.join(right, [taxon, "other"])
-    met = joined.select("own", "other", F.explode("l").alias("a"), "r")
-    met = met.select("own", "other", "a", F.explode("r").alias("b"))
-    met = met.filter((F.col("own") != F.col("other")) | (F.col("a.s") < F.col("b.s")))
-    shared = met.groupBy(
-        F.least("a.s", "b.s").alias("site_a"), F.greatest("a.s", "b.s").alias("site_b")
-    ).agg(F.sum(F.least("a.v", "b.v")).alias("shared"))
-    side = lambda s, t: totals.select(F.col(site).alias(s), F.col("total").alias(t))
-    out = all_pairs(totals, site).join(shared, ["site_a", "site_b"], "left")
-    out = out.join(side("site_a", "ta"), "site_a").join(side("site_b", "tb"), "site_b")
-    d = 1 - 2 * F.coalesce("shared", F.lit(0.0)) / (F.col("ta") + F.col("tb"))
-    return out.select("site_a", "site_b", d.alias("dissimilarity"))
-
-
-def principal_axes(
-    sites: DataFrame, site: str, pairs: DataFrame, distance: str, k: int = 2
-) -> DataFrame:
-    """Classical scaling of a sparse pair table: ``(site, axis1..axisk)``; an absent pair is at 1.
-
-    ``sites`` is the survey's site list. The dense solve holds the square of its length, and says
-    so when that no longer fits a task.
-    """
-    kind = sites.schema[site].dataType.simpleString()
-    nodes = sites.select(F.col(site).alias("a"), F.col(site).alias("b"), F.lit(0.0).alias("d"))
-    cells = pairs.select(
-        F.col("site_a").alias("a"), F.col("site_b").alias("b"), F.col(distance).alias("d")
-    ).unionByName(nodes)
-    names = [f"axis{i + 1}" for i in range(k)]
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = np.sort(pdf.loc[pdf["a"] == pdf["b"], "a"].to_numpy())
-        if len(ids) > MAX_SITES:
-            raise ValueError(f"{len(ids)} sites; a dense solve takes {MAX_SITES}")
-        at = {s: i for i, s in enumerate(ids)}
-        i, j = pdf["a"].map(at).to_numpy(), pdf["b"].map(at).to_numpy()
-        d = np.ones((len(ids), len(ids)))
-        d[i, j] = d[j, i] = pdf["d"]
-        sq = d * d
-        b = -0.5 * (sq - sq.mean(axis=0) - sq.mean(axis=1)[:, None] + sq.mean())
-        roots, vectors = np.linalg.eigh(b)
-        order = np.argsort(-roots)[:k]
-        out = np.zeros((len(ids), k))
-        for n, o in enumerate(order):
-            axis = vectors[:, o] * np.sqrt(max(roots[o], 0.0))
-            out[:, n] = axis * (1 if axis[np.argmax(np.abs(np.round(axis, 9)))] >= 0 else -1)
-        table = pd.DataFrame(out, columns=names)
-        table.insert(0, site, ids)
-        return table
-
-    schema = f"`{site}` {kind}, " + ", ".join(f"{n} double" for n in names)
-    return cells.groupBy().applyInPandas(solve, schema)
 
 
 def pair_distances(
@@ -127,18 +124,8 @@ def pair_distances(
 
 
 def shepard_fit(pairs: DataFrame, dissimilarity: str, distance: str) -> DataFrame:
-    """Pairs with the monotone regression of ordination distance on dissimilarity.
-
-    The fit passes over the pairs several times, so they are checkpointed first. Its pools are at
-    most the pairs of the site list.
-    """
-    rows = cut_lineage(pairs.withColumns({
-        "__x": F.col(dissimilarity).cast("double"), "__y": F.col(distance).cast("double")
-    }))
-    model = IsotonicRegression(
-        featuresCol="__x", labelCol="__y", predictionCol="fitted"
-    ).fit(rows)
-    return model.transform(rows).drop("__x", "__y")
+    """Pairs with the monotone regression of ordination distance on dissimilarity."""
+    return monotone_fit(pairs, dissimilarity, distance)
 
 
 def stress(fit: DataFrame, distance: str) -> DataFrame:

@@ -425,7 +425,66 @@ def _ordination(spark, sf):
     return pairs, ordination.principal_axes(sites, "nation", pairs, "dissimilarity")
 
 
-@query("site_ordination")
+def _squared(name: str, times: int = 15) -> str:
+    """CTEs that square the matrix (i, j, b) ``name`` again and again; ``name_top`` is its first axis.
+
+    A high power of a matrix is its dominant root's projection; the column with the largest diagonal
+    is that root's axis. Values are scaled to norm 1 at every step.
+    """
+    steps = [f"{name}_0 AS MATERIALIZED (SELECT i, j, b / (SELECT sqrt(sum(b * b)) FROM {name}) AS b FROM {name})"]
+    for t in range(times):
+        steps.append(
+            f"{name}_p{t} AS MATERIALIZED (SELECT x.i, y.j, sum(x.b * y.b) AS b FROM {name}_{t} x "
+            f"JOIN {name}_{t} y ON x.j = y.i GROUP BY ALL)"
+        )
+        steps.append(
+            f"{name}_{t + 1} AS MATERIALIZED (SELECT i, j, b / (SELECT sqrt(sum(b * b)) FROM {name}_p{t}) AS b "
+            f"FROM {name}_p{t})"
+        )
+    last = f"{name}_{times}"
+    steps.append(
+        f"{name}_v AS MATERIALIZED (SELECT i, b / sqrt(sum(b * b) OVER ()) AS v FROM {last} "
+        f"WHERE j = (SELECT arg_max(i, b) FROM {last} WHERE i = j))"
+    )
+    steps.append(
+        f"{name}_root AS MATERIALIZED (SELECT sum(x.v * b * y.v) AS root FROM {name} JOIN {name}_v x USING (i) "
+        f"JOIN {name}_v y ON y.i = j)"
+    )
+    steps.append(
+        f"{name}_top AS MATERIALIZED (SELECT i, v * sqrt(greatest(root, 0)) * (SELECT sign(arg_min(v, i)) "
+        f"FROM {name}_v WHERE round(abs(v), 9) = (SELECT max(round(abs(v), 9)) FROM {name}_v)) AS axis "
+        f"FROM {name}_v, {name}_root)"
+    )
+    return ",\n".join(steps)
+
+
+_ORDINATION = f"""{_REGION_COVER},
+oa AS (SELECT nation, taxon, sqrt(v) / max(sqrt(v)) OVER (PARTITION BY taxon) AS v FROM rc WHERE v > 0),
+ob AS MATERIALIZED (SELECT nation, taxon, v / sum(v) OVER (PARTITION BY nation) AS v FROM oa),
+ot AS (SELECT nation, sum(v) AS total FROM ob GROUP BY nation),
+os AS (SELECT a.nation AS i, b.nation AS j, sum(least(a.v, b.v)) AS shared
+  FROM ob a JOIN ob b ON a.taxon = b.taxon GROUP BY ALL),
+od AS MATERIALIZED (SELECT a.nation AS i, b.nation AS j, CASE WHEN a.nation = b.nation THEN 0.0::DOUBLE
+  ELSE 1 - 2 * coalesce(shared, 0) / (a.total + b.total) END AS d
+  FROM ot a CROSS JOIN ot b LEFT JOIN os ON i = a.nation AND j = b.nation),
+om AS (SELECT i, avg(d * d) AS m FROM od GROUP BY i),
+one AS MATERIALIZED (SELECT od.i, od.j, -0.5 * (d * d - x.m - y.m + (SELECT avg(d * d) FROM od)) AS b
+  FROM od JOIN om x ON x.i = od.i JOIN om y ON y.i = od.j),
+{_squared("one")},
+two AS MATERIALIZED (SELECT one.i, one.j, one.b - root * x.v * y.v AS b
+  FROM one JOIN one_v x ON x.i = one.i JOIN one_v y ON y.i = one.j, one_root),
+{_squared("two")},
+axes AS MATERIALIZED (SELECT i AS nation, a.axis AS axis1, b.axis AS axis2
+  FROM one_top a JOIN two_top b USING (i))"""
+
+
+@query(
+    "site_ordination",
+    f"""WITH {_ORDINATION}, {REGIONS}
+SELECT nation, round(axis1, 6) + 0.0 AS axis1, round(axis2, 6) + 0.0 AS axis2,
+  round(price_cv, 6) AS price_cv, round(tax_cv, 6) AS tax_cv
+FROM axes LEFT JOIN regions USING (nation)""",
+)
 def site_ordination(spark, sf):
     """Nations on two ordination axes, with their environment."""
     _, scores = _ordination(spark, sf)
@@ -435,7 +494,21 @@ def site_ordination(spark, sf):
     return rounded(table)
 
 
-@query("ordination_stress")
+@query(
+    "ordination_stress",
+    f"""WITH {_ORDINATION},
+pp AS (SELECT d AS x, sqrt(pow(a.axis1 - b.axis1, 2) + pow(a.axis2 - b.axis2, 2)) AS y
+  FROM od JOIN axes a ON a.nation = i JOIN axes b ON b.nation = j WHERE i < j),
+pk AS MATERIALIZED (SELECT row_number() OVER (ORDER BY x) AS k, x, n, sum(s) OVER (ORDER BY x) AS cs,
+  sum(n) OVER (ORDER BY x) AS cn, s FROM (SELECT x, count(*) AS n, sum(y) AS s FROM pp GROUP BY x)),
+pm AS MATERIALIZED (SELECT a.k AS a, b.k AS b, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m
+  FROM pk a JOIN pk b ON a.k <= b.k),
+pl AS MATERIALIZED (SELECT i.k, m.a, min(m.m) AS low FROM pk i JOIN pm m ON m.a <= i.k AND m.b >= i.k
+  GROUP BY ALL),
+pf AS (SELECT k, max(low) AS fitted FROM pl GROUP BY k)
+SELECT round(sqrt(sum(pow(y - fitted, 2)) / sum(y * y)), 6) AS stress
+FROM pp JOIN pk USING (x) JOIN pf USING (k)""",
+)
 def ordination_stress(spark, sf):
     """Stress of the two-axis ordination against a monotone fit."""
     pairs, scores = _ordination(spark, sf)
