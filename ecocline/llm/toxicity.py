@@ -47,6 +47,7 @@ _HIDDEN = re.compile(
 _MARKS = ".,;:?\"'()[]{}<>#%&*=/\\`~^-_"
 _PREFIXES = (4, 5, 6, 8)
 _MEMO = 100_000
+_DULL = 1_000_000  # tokens without any bearing that a task remembers
 _ERRORS = 2.3  # standard errors taken off a weight
 #: What may stand between the parts of a word besides blanks.
 _APART = re.compile(rf"[^\w{_SIGNS}]+|_+")
@@ -158,11 +159,12 @@ class Restorer:
         """The word of a token, and its decoded words if it hides one."""
         found = self.memo.get(token)
         if found is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
             plain = token.strip(_MARKS).lower()
-            hides = _HIDDEN.search(plain)
-            found = self.memo[token] = (plain, *decode(plain, self.model).split()) if hides else (plain,)
+            if not _HIDDEN.search(plain):
+                return (plain,)
+            found = (plain, *decode(plain, self.model).split())
+            if len(self.memo) < _MEMO:
+                self.memo[token] = found
         return found
 
     def run(self, tokens: list[str]) -> set[str]:
@@ -174,10 +176,8 @@ class Restorer:
         key = " ".join([first[start:], *tokens[1:-1], last[:end]])
         found = self.runs.get(key)
         if found is None:
-            if len(self.runs) > _MEMO:
-                self.runs.clear()
             found = decode(key, self.model)
-            if len(key) <= 256:
+            if len(key) <= 256 and len(self.runs) < _MEMO:
                 self.runs[key] = found
         return {w.strip(_MARKS) for w in (first[:start] + found + last[end:]).split()}
 
@@ -247,7 +247,6 @@ class Finder:
         long = {w for w in words if len(w) > 2}
         self.goals = frozenset((w, True) for w in long)
         self.begun = {w[:n] for w in long for n in range(1, len(w) + 1)}
-        self.starts: dict[str, tuple | None] = {}
         self.steps: dict[tuple, frozenset] = {}
 
     def onward(self, states: frozenset, part: str, last: str) -> frozenset:
@@ -255,9 +254,9 @@ class Finder:
         key = (states, part[:3], last)
         found = self.steps.get(key)
         if found is None:
-            if len(self.steps) > _MEMO:
-                self.steps.clear()
-            found = self.steps[key] = self.walk(states, part[:3], last)
+            found = self.walk(states, part[:3], last)
+            if len(self.steps) < _MEMO:
+                self.steps[key] = found
         return self.walk(found, part[3:], part[2]) if found and len(part) > 3 else found
 
     def walk(self, states: frozenset, part: str, last: str) -> frozenset:
@@ -272,40 +271,38 @@ class Finder:
                 break
         return frozenset(states)
 
-    def parts(self, token: str) -> tuple | None:
-        """A token's parts, each with the beginnings it leaves open when a word starts with it.
-
-        None for a token of one part that leaves none.
-        """
+    def parts(self, token: str) -> tuple:
+        """A token's parts, each with the beginnings it leaves open when a word starts with it."""
         low = token.lower()
         if low not in self.begun and low.isalpha() and not _TWICE.search(low):
-            return None  # every letter can only stand for itself
+            return ((low, _NONE),)  # every letter can only stand for itself
         parts = [low] if low.isalpha() else [p for p in _APART.split(low) if p]
-        begun = tuple((p, self.onward(_ROOT, p, "")) for p in parts)
-        return None if len(begun) == 1 and parts[0] == low and not begun[0][1] else begun
+        return tuple((p, self.onward(_ROOT, p, "")) for p in parts)
 
-    def __call__(self, tokens: list[str]) -> set[str]:
+    def __call__(self, tokens: list[str], opening: dict[str, tuple]) -> set[str]:
+        """``opening`` has the parts of the tokens that leave beginnings open: words start there alone."""
         found: set[str] = set()
-        starts, goals = self.starts, self.goals
-        if len(starts) > _MEMO:
-            starts.clear()
-        for t in set(tokens):
-            if t not in starts:
-                starts[t] = self.parts(t)
-        states, last = _NONE, ""
-        for token, parts in zip(tokens, map(starts.__getitem__, tokens), strict=True):
-            if parts is None:
+        goals, done = self.goals, -1
+        for start in [i for i, t in enumerate(tokens) if t in opening]:
+            if start <= done:
+                continue
+            states, last = _NONE, ""
+            for done in range(start, len(tokens)):
+                token = tokens[done]
+                parts = opening.get(token)
+                if parts is None:  # it opens nothing, and only goes on with what is open
+                    low = token.lower()
+                    parts = ((low, _NONE),) if low.isalpha() else self.parts(token)
+                for part, begun in parts:
+                    if states and (on := self.onward(states, part, last)):
+                        states = begun | on if begun else on
+                    else:
+                        states = begun
+                    if not goals.isdisjoint(states):
+                        found.update(s for s, _ in goals & states)
+                    last = part[-1]
                 if not states:
-                    continue
-                parts = ((token.lower(), _NONE),)
-            for part, begun in parts:
-                if states and (on := self.onward(states, part, last)):
-                    states = begun | on if begun else on
-                else:
-                    states = begun
-                if not goals.isdisjoint(states):
-                    found.update(s for s, _ in goals & states)
-                last = part[-1]
+                    break
         return found
 
 
@@ -315,30 +312,53 @@ class Scorer:
     def __init__(self, model: np.ndarray, weights: dict[str, float], fit: np.ndarray | None):
         self.restorer, self.weights, self.fit = Restorer(model), weights, fit
         self.finder = Finder({f for f in weights if not f.endswith("*")})
-        self.memo: dict[str, float] = {}
-
-    def weight(self, token: str) -> float:
-        """The strongest weight among the features of a token's words."""
-        found = self.memo.get(token)
-        if found is None:
-            if len(self.memo) > _MEMO:
-                self.memo.clear()
-            words = self.restorer.token(token)
-            found = self.memo[token] = max(self.known(w) for w in words)
-        return found
+        #: Tokens without a weight or an open beginning, and of others the weight and what they open.
+        self.dull: set[str] = set()
+        self.weighed: dict[str, float] = {}
+        self.opening: dict[str, tuple] = {}
+
+    def learnt(self, token: str) -> float:
+        """The strongest weight among the features of a token's words; the token is filed."""
+        plain = token.strip(_MARKS).lower()
+        if plain.isalpha() and plain not in self.finder.begun and not _TWICE.search(plain):
+            weight, parts = self.known(plain), ()  # nothing is hidden, and no word begins like it
+        else:
+            weight = max(map(self.known, self.restorer.token(token)))
+            parts = self.finder.parts(token)
+        if any(begun for _, begun in parts):
+            self.opening[token] = parts
+        elif not weight:
+            if len(self.dull) < _DULL:  # beyond, rare tokens are looked at again each time
+                self.dull.add(token)
+            return weight
+        self.weighed[token] = weight
+        return weight
 
     def known(self, word: str) -> float:
         return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
 
-    def apart(self, tokens: list[str]) -> set[str]:
-        """Words that tokens hold together or beside others, without those of single tokens."""
-        found = self.restorer.spaced(tokens) | self.finder(tokens)
-        return found.difference(*map(self.restorer.token, set(tokens))) if found else found
+    def apart(self, tokens: list[str], lively: list[str]) -> list[float]:
+        """Weights of words that tokens hold together or beside others, without those of single tokens.
+
+        A token that holds a word with a weight has one itself, so that only ``lively`` ones are compared.
+        """
+        found = self.restorer.spaced(tokens) | self.finder(tokens, self.opening)
+        weights = {w: weight for w in found if (weight := self.known(w))}
+        if weights:
+            for word in {w for t in lively for w in self.restorer.token(t)}.intersection(weights):
+                del weights[word]
+        return list(weights.values())
 
     def inputs(self, text: str | None) -> tuple[float, float, float]:
         """1 and the two strongest weights: sums would grow with the length of a clean text."""
         tokens = (text or "").split()
-        found = [*map(self.weight, set(tokens)), *map(self.known, self.apart(tokens))]
+        weighed = self.weighed
+        if len(weighed) > _MEMO:  # tokens that open a word or have a weight: few, but not bounded
+            weighed = self.weighed = {}
+            self.opening = {}
+        held = {t: weighed[t] if t in weighed else self.learnt(t) for t in set(tokens).difference(self.dull)}
+        lively = [t for t, weight in held.items() if weight]
+        found = [held[t] for t in lively] + self.apart(tokens, lively)
         one, two = sorted([0.0, 0.0, *found], reverse=True)[:2]
         return 1.0, one, two
 
@@ -408,8 +428,10 @@ def learn(
     chosen = spark.createDataFrame(rows, "doc_id long, toxic int").withColumn(
         "half", (F.shiftright(F.xxhash64("doc_id"), 20) % 2 == 0).cast("int")
     )
-    texts = documents.join(F.broadcast(chosen), "doc_id").select("text", "half", "toxic")
-    texts = materialise(texts.dropDuplicates(["text"]), "sample")  # a copy tells nothing new
+    texts = documents.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "half", "toxic")
+    # A copy tells nothing new: a text stands once, toxic if any copy is, in the half of its smallest id.
+    texts = texts.groupBy("text").agg(F.min_by("half", "doc_id").alias("half"), F.max("toxic").alias("toxic"))
+    texts = materialise(texts, "sample")
     counted = (
         texts.mapInArrow(_sample_words(model), "feature string, kind int, n long")
         .groupBy("feature").pivot("kind", [0, 1, 2, 3]).agg(F.sum("n")).na.fill(0)
@@ -439,8 +461,8 @@ def learn(
     fitted = texts.mapInArrow(
         _sample_inputs(model, halves), "a double, b double, toxic int"
     ).collect()  # bounded by ``sample``
-    y = np.array([r.toxic for r in fitted], dtype=float)
-    return weights, fit_logistic(np.array([(1.0, r.a, r.b) for r in fitted]), y)
+    fitted = np.array(sorted((r.a, r.b, r.toxic) for r in fitted))  # sums in one order
+    return weights, fit_logistic(np.column_stack([np.ones(len(fitted)), fitted[:, :2]]), fitted[:, 2])
 
 
 def score_toxicity(
