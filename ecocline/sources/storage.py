@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: list[str] = []
@@ -66,12 +69,49 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def collected() -> Iterator[list[str]]:
+    """The paths that are written inside the ``with`` block, for ``release``."""
+    paths: list[str] = []
+    before = len(_WRITTEN)
+    try:
+        yield paths
+    finally:
+        paths.extend(_WRITTEN[before:])
+
+
+def _roots(df: DataFrame) -> str:
+    """Paths of the tables that a plan reads, also where their rows are cached."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    found = []
+    for i in range(leaves.size()):
+        try:
+            found.append(leaves.apply(i).relation().location().rootPaths().mkString(" "))
+        except (Py4JError, TypeError):  # not a table in files
+            continue
+    return " ".join(found)
+
+
+def release(spark: SparkSession, paths: list[str], *readers: DataFrame) -> list[str]:
+    """Delete stored tables at once, but for those that one of ``readers`` still reads; returns these."""
+    read = " ".join(_roots(df) for df in readers)
+    kept = [p for p in paths if p.rsplit("/", 1)[-1] in read]
+    _delete(spark, [p for p in paths if p not in kept])
+    return kept
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in paths:
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(conf).delete(path, True)
+        if name in _WRITTEN:
+            _WRITTEN.remove(name)
+
+
 def remove_written() -> None:
     """Delete the tables this session wrote under ``new_path``, while the session still lives."""
     spark = SparkSession.getActiveSession()
     if spark is None or spark.sparkContext._jsc is None:
         return
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+    _delete(spark, list(_WRITTEN))
