@@ -16,7 +16,7 @@ that holds most rows is spread like any other. Only DataFrame functions are used
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecocline.sources.storage import materialise
@@ -52,6 +52,12 @@ def source_targets(
     )
 
 
+def place_of(id_column: str, text_column: str) -> Column:
+    """A row's place in its source's order: a 128-bit hash of id and text."""
+    text = F.coalesce(F.col(text_column), F.lit(""))
+    return F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.md5(text)))
+
+
 def mix(
     documents: DataFrame,
     *,
@@ -62,25 +68,25 @@ def mix(
     share: float = 1.5,
     repeats: int = 2,
     tilts: tuple[float, ...] = (0.5, 0.0, -0.5),
-    with_rows: bool = False,
+    with_place: bool = False,
 ) -> DataFrame:
     """Take words from every source up to its target and give each take its training position.
 
     Returns id_column, size (words), source_size, target, taken (words taken, repeats counted),
     position (of the first take; NULL if nothing is taken) and positions (of every take), in the
-    order of position. With ``with_rows`` the input row, passes (whole takes) and part (words of the
-    last take, 0 without one) come along, and the order is left to the caller.
+    order of position. With ``with_place`` the row's ``place_of``, passes (whole takes) and part (words of
+    the last take, 0 without one) come along, and the order is left to the caller: rows are ranked and
+    placed without their texts.
 
     A NULL or empty text has size 0 and nothing is taken of it; a NULL source is a source of its
     own. Rows that are alike in every used column are taken one by one; which of them comes first
     does not show. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     text = F.coalesce(F.col(text_column), F.lit(""))
-    place = F.md5(F.concat_ws(":", F.col(id_column).cast("string"), F.md5(text)))
     sized = documents.select(
         F.col(id_column).alias("id"), F.col(source_column).alias("source"),
-        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), place.alias("place"),
-        *([F.struct(*documents.columns).alias("row")] if with_rows else []),
+        F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
+        place_of(id_column, text_column).alias("place"),
     )
     sized = materialise(sized, "sizes")
     rows = sized.count()
@@ -129,6 +135,6 @@ def mix(
         c("id").alias(id_column), "size", "source_size", "target",
         (c("passes") * c("size") + c("part")).alias("taken"),
         F.try_element_at("positions", F.lit(1)).alias("position"), "positions",
-        *(["row", "part", "passes"] if with_rows else []),
+        *(["place", "part", "passes"] if with_place else []),
     )
-    return out if with_rows else out.orderBy(F.asc_nulls_last("position"), id_column)
+    return out if with_place else out.orderBy(F.asc_nulls_last("position"), id_column)

@@ -240,7 +240,7 @@ def test_finder_equals_every_way_to_join():
         joined = {"".join(tokens[i:j]) for i in range(20) for j in range(i + 1, 21)}
         spelt = {w for t in joined for w in words if w == t}
         finder = toxicity.Finder(words)
-        opening = {t: p for t in tokens if any(b for _, b in (p := finder.parts(t)))}
+        opening = {t: finder.parts(t) for t in tokens if any(b for _, b in finder.parts(t))}
         found = finder(tokens, opening)
         assert spelt <= found
         # A repeated letter may stand for nothing: no other way leads to a word.
@@ -309,3 +309,44 @@ def test_pipeline_keeps_every_token_of_what_it_keeps(spark, library):
     want = sum(len(library.encode(r.text or "", add_special_tokens=False).ids) + 1 for r in kept.collect())
     pieces = corpus_pipeline.STAGES[-1][1](spark, kept, FOLDER)
     assert sum(r.length for r in pieces.collect()) == want
+
+
+def test_near_duplicates_tell_rows_of_one_id_apart(spark):
+    """A follower goes, unrelated texts of its id stay; of equal rows one stays."""
+    rnd = random.Random(12)
+    text = lambda n: " ".join(rnd.choice("abcdefghij") * rnd.randrange(1, 9) for _ in range(n))
+    a, t, unrelated, other = text(200), text(90), text(120), text(150)
+    rows = [(1, a, "s"), (5, a + " more", "s"), (5, unrelated, "t"), (9, t, "s"), (9, t, "s"), (None, a, "s"),
+            (12, other, "s"), (3, None, "s"), (4, "", None)]
+    frame = documents(spark, rows)
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    kept = stage(spark, frame, FOLDER)
+    assert kept.columns == frame.columns
+    want = [(1, a), (5, unrelated), (9, t), (None, a), (12, other), (3, None), (4, "")]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, want))
+
+
+def test_mixing_stage_takes_repeated_rows_one_by_one(spark):
+    rnd = random.Random(13)
+    rows = [(i, " ".join(f"w{rnd.randrange(99)}" for _ in range(rnd.randrange(1, 60))), rnd.choice("abc"))
+            for i in range(120)] + [(7, "again and again it comes", "a")] * 5 + [(200, None, "b"), (201, "", None)]
+    frame = documents(spark, rows)
+    takes = mixing.mix(frame).collect()
+    got = dict(corpus_pipeline.STAGES)["mixing"](spark, frame, FOLDER).collect()
+    assert sum(len(r.text.split()) for r in got) == sum(r.taken for r in takes)
+    per_id = defaultdict(int)
+    for r in takes:
+        per_id[r.doc_id] += r.taken
+    for r in got:
+        per_id[r.doc_id] -= len(r.text.split())
+    assert not any(per_id.values())
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark):
+    for frame in (documents(spark, ODD), documents(spark, ODD).limit(0)):
+        docs = frame
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, FOLDER)
+            assert name == "packing" or out.columns == frame.columns
+            docs = spark.createDataFrame(out.collect(), out.schema)
+        assert docs.count() or not frame.count()
