@@ -8,7 +8,9 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ecocline.functions.scalar import quote
 from ecocline.operators.relations import keyed_join
+from ecocline.sources.storage import cut_lineage
 
 
 def level_order(c: Column, levels: Sequence[str]) -> Column:
@@ -16,37 +18,57 @@ def level_order(c: Column, levels: Sequence[str]) -> Column:
     return F.create_map(*chain.from_iterable((F.lit(v), F.lit(i)) for i, v in enumerate(levels)))[c]
 
 
-def order_index(df: DataFrame, metric: str, name: str = "ord", levels: int = 8) -> DataFrame:
+def _ranged(
+    df: DataFrame, order: Sequence[str], extra: Sequence[Column] = (), ranges: int | None = None
+) -> DataFrame:
+    """Rows dealt by range of ``order``, with the number of their range in ``__part``.
+
+    Spark cuts the ranges and, without ``ranges``, settles their number by the data; ``extra`` breaks ties.
+    """
+    by = [*[F.col(c) for c in order], *extra]
+    dealt = df.repartitionByRange(*by) if ranges is None else df.repartitionByRange(ranges, *by)
+    return dealt.withColumn("__part", F.spark_partition_id())
+
+
+def positions(df: DataFrame, order: Sequence[str], name: str = "pos") -> DataFrame:
+    """Place of every row, from 0 without gaps, in the order of the columns ``order`` (NULL first).
+
+    Rows are sorted inside ranges and shifted by the sizes of the ranges before; only one row a range
+    meets in one task. Rows that tie in all of ``order`` lie in one range, in no set order.
+    """
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
+    placed = cut_lineage(_ranged(df, order).withColumn("__at", within))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    shifted = placed.join(sizes.select("__part", before.alias("__before")), "__part")
+    place = (F.col("__before") + F.col("__at") - 1).alias(name)
+    return shifted.select(*[quote(c) for c in df.columns], place)
+
+
+def order_index(df: DataFrame, metric: str, name: str = "ord", levels: int | None = None) -> DataFrame:
     """Dense rank of every row by ``metric`` over the whole table (NULL metric, NULL rank).
 
-    Distinct values are cut into ``2 ** levels`` ranges at approximate quantiles, ranked inside
-    each range, and shifted by the sizes of the ranges before. A value finds its range by binary
-    search; the cut points and range sizes are one short array, and no window spans more than one
-    range.
+    Rows keep all their columns: they are dealt by range of the metric, ties spread at random, and
+    ranked inside each range. A range is shifted by the ranks of those before it, less one wherever a
+    range begins with the value at which the one before it ends. Only one row a range meets in one task.
+    The number of ranges follows the data, or is ``2 ** levels``.
     """
-    values = df.select(F.col(metric).alias("v")).filter("v IS NOT NULL").distinct()
-    cuts = 2**levels
-    points = [i / cuts for i in range(1, cuts)]
-    edges = values.agg(F.percentile_approx("v", points, 10 * cuts)).scalar()
-    ranged = values.withColumns({"e": edges, "r": F.lit(0)})
-    for level in reversed(range(levels)):
-        step = 2**level
-        beyond = F.get("e", F.col("r") + (step - 1)) < F.col("v")
-        ranged = ranged.withColumn("r", F.col("r") + F.when(beyond, step).otherwise(0))
-    ranged = ranged.select("v", "r")
-    sizes = ranged.groupBy("r").agg(F.count("*").alias("n"))
-    sizes = sizes.agg(F.collect_list(F.struct("r", "n"))).scalar()
-    starts = F.map_from_entries(F.transform("s", lambda a: F.struct(
-        a["r"],
-        F.aggregate(
-            "s", F.lit(0).cast("long"),
-            lambda total, b: total + F.when(b["r"] < a["r"], b["n"]).otherwise(0),
-        ),
-    )))
-    offsets = df.sparkSession.range(1).withColumn("s", sizes).select(F.explode(starts).alias("r", "o"))
-    within = F.row_number().over(Window.partitionBy("r").orderBy("v"))
-    ranks = ranged.join(offsets, "r").select("v", (F.col("o") + within).alias(name))
-    return df.join(ranks, df[metric] == ranks["v"], "left").drop("v")
+    c = F.col
+    known = df.filter(c(metric).isNotNull())
+    within = F.dense_rank().over(Window.partitionBy("__part").orderBy(metric))
+    ranked = cut_lineage(_ranged(known, [metric], [F.rand(7)], levels and 2**levels).withColumn("__at", within))
+    parts = ranked.groupBy("__part").agg(
+        F.max("__at").alias("__n"), F.min(metric).alias("__low"), F.max(metric).alias("__high")
+    )
+    order = Window.orderBy("__part")
+    again = F.when(c("__low") == F.lag("__high").over(order), 1).otherwise(0)
+    parts = parts.withColumn("__again", again)
+    before = F.sum(c("__n") - c("__again")).over(order) - c("__n")
+    joined = ranked.join(parts.select("__part", before.alias("__before")), "__part")
+    columns = [c(quote(x)) for x in df.columns]
+    ranks = joined.select(*columns, (c("__before") + c("__at")).alias(name))
+    unknown = df.filter(c(metric).isNull()).select(*columns, F.lit(None).cast("long").alias(name))
+    return ranks.unionByName(unknown)
 
 
 def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int) -> DataFrame:

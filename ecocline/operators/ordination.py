@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ecocline.operators.blocks import block_reduce
+from ecocline.operators.blocks import block_reduce, spread
 from ecocline.operators.monotone import monotone_fit
+from ecocline.operators.ordering import positions
 from ecocline.operators.scaling import principal_axes  # noqa: F401
 from ecocline.operators.summaries import attach
 from ecocline.sources.storage import cut_lineage
@@ -151,6 +153,36 @@ def _two_axis_fit(szz: Column, s1: Column, s2: Column) -> dict[str, Column]:
     return {"b1": b1, "b2": b2, "r2": F.try_divide(b1 * s1 + b2 * s2, szz)}
 
 
+_ROUNDS, _PRIME, _AT_ONCE = 40, 2147483647, 64
+
+
+def permuted(seed: int):
+    """A function of columns (k, n, perm): the image of ``k`` under permutation ``perm`` of 0 to ``n`` - 1.
+
+    A swap-or-not shuffle: a round pairs every x with key - x modulo n and swaps the two where a hash of the
+    greater says so, which is one to one at any n. The hash is a squared linear form modulo a prime; its
+    numbers and the key are cut from the MD5 of seed, permutation and round.
+    """
+
+    def keys(perm: int) -> list[tuple[int, ...]]:
+        digests = [hashlib.md5(f"{seed}:{perm}:{r}".encode()).hexdigest() for r in range(1, _ROUNDS + 1)]
+        cuts = ((0, 14), (14, 20), (20, 26), (26, 32))
+        return [tuple(int(d[low:high], 16) for low, high in cuts) for d in digests]
+
+    def image(k: pd.Series, n: pd.Series, perm: pd.Series) -> pd.Series:
+        listed, at = np.unique(perm.to_numpy(), return_inverse=True)
+        table = np.array([keys(int(p)) for p in listed], dtype=np.int64).reshape(-1, _ROUNDS, 4)
+        x, n = k.to_numpy().astype(np.int64), n.to_numpy().astype(np.int64)
+        for r in range(_ROUNDS):
+            key, a, b, c = table[at, r].T
+            other = (key - x) % n
+            line = (np.maximum(x, other) % _PRIME * (a + 1) + b) % _PRIME
+            x = np.where(((line * line + c) % _PRIME >> 16) & 1, other, x)
+        return pd.Series(x)
+
+    return F.pandas_udf(image, "long")
+
+
 def vector_fit(
     table: DataFrame,
     site: str,
@@ -162,15 +194,16 @@ def vector_fit(
 ) -> DataFrame:
     """Direction and R2 of each parameter on two ordination axes, with a permutation p-value.
 
-    Every permutation pairs sites, in order of their id, with values in order of a seeded hash, so
-    reruns give the same shuffles. The rows are sites x parameters x permutations; each window
-    holds one permutation of one parameter. Arrow coordinates are direction times root R2, scaled
-    by a common ``multiplier``.
+    The sites of a parameter are numbered in order of their id. A permutation is arithmetic on that
+    number (``permuted``), under keys that come from ``seed``, so reruns give the same shuffles and no
+    permutation is sorted. The rows are sites x parameters x permutations; they meet the values on the
+    permuted number and are summed by permutation. Arrow coordinates are direction times root R2,
+    scaled by a common ``multiplier``.
     """
     c = F.col
     table = attach(table, table.agg(*[F.avg(a).alias(a) for a in axes]), "__mean")
     mean = c("__mean")
-    long = table.select(
+    long = cut_lineage(table.select(
         c(site).alias("site"),
         (c(axes[0]) - mean[axes[0]]).alias("a1"),
         (c(axes[1]) - mean[axes[1]]).alias("a2"),
@@ -178,7 +211,7 @@ def vector_fit(
             F.struct(F.lit(p).alias("parameter"), c(p).cast("double").alias("z"))
             for p in parameters
         ])),
-    ).filter("z IS NOT NULL AND a1 IS NOT NULL AND a2 IS NOT NULL")
+    ).filter("z IS NOT NULL AND a1 IS NOT NULL AND a2 IS NOT NULL"))
     fixed = long.groupBy("parameter").agg(
         F.count("*").alias("n"), F.avg("z").alias("zm"),
         F.sum("a1").alias("t1"), F.sum("a2").alias("t2"),
@@ -187,15 +220,18 @@ def vector_fit(
         (F.sum(c("a2") * c("a2")) - F.sum("a2") * F.avg("a2")).alias("u22"),
         (F.var_pop("z") * F.count("z")).alias("szz"),
     )
-    by_id = F.row_number().over(Window.partitionBy("parameter").orderBy("site"))
-    seats = long.select("parameter", "a1", "a2", "z", by_id.alias("k"))
-    draws = long.select("parameter", "site", "z").withColumn(
-        "perm", F.explode(F.sequence(F.lit(1), F.lit(permutations)))
+    numbered = positions(long, ["parameter", "site"], "pos")
+    firsts = numbered.groupBy("parameter").agg(F.min("pos").alias("first"))
+    seats = numbered.join(firsts, "parameter").select(
+        "parameter", "a1", "a2", "z", (c("pos") - c("first")).alias("k")
+    )
+    draws = seats.drop("z").join(fixed.select("parameter", "n"), "parameter").withColumn(
+        "low", F.explode(F.sequence(F.lit(1), F.lit(permutations), F.lit(_AT_ONCE)))
     )
-    key = F.md5(F.concat_ws(":", c("site").cast("string"), c("perm").cast("string"), F.lit(str(seed))))
-    shuffled = F.row_number().over(Window.partitionBy("parameter", "perm").orderBy(key, "site"))
-    draws = draws.select("parameter", "perm", "z", shuffled.alias("k"))
-    drawn = draws.join(seats.drop("z"), ["parameter", "k"]).select("parameter", "perm", "a1", "a2", "z")
+    last = F.least(c("low") + (_AT_ONCE - 1), F.lit(permutations))
+    draws = spread(draws, ["parameter", "k", "low"]).withColumn("perm", F.explode(F.sequence("low", last)))
+    draws = draws.select("parameter", "perm", "a1", "a2", permuted(seed)("k", "n", "perm").alias("k"))
+    drawn = draws.join(seats.select("parameter", "k", "z"), ["parameter", "k"]).drop("k")
     actual = seats.select("parameter", F.lit(0).alias("perm"), "a1", "a2", "z")
     sums = drawn.unionByName(actual).groupBy("parameter", "perm").agg(
         F.sum(c("a1") * c("z")).alias("s1"), F.sum(c("a2") * c("z")).alias("s2")

@@ -6,10 +6,10 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ecocline.functions.scalar import haversine_m
+from ecocline.functions.scalar import haversine_m, quote
 from ecocline.operators.blocks import block_reduce, spread
 from ecocline.operators.ordering import exact_median, order_index, top_rows
 from ecocline.operators.relations import keyed_join, natural_join
@@ -50,11 +50,12 @@ def polygon_rings(
     """One row per polygon with the edges of its closed rings, each in vertex order.
 
     A polygon has one ring, or with ``ring_id`` as many as there are ids: an outer boundary and
-    its holes, or several areas. ``poly`` must tell polygons apart; equal names are one polygon.
+    its holes, or several areas. ``poly`` must tell polygons apart; equal names are one polygon. A vertex without a coordinate is left out.
     """
     own = [poly] if ring_id is None else [poly, ring_id]
     corner = F.struct("seq", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
     ring = F.array_sort(F.collect_list(corner))
+    vertices = vertices.dropna(subset=[x, y])
     closed = F.concat(F.slice("__ring", 2, F.size("__ring")), F.slice("__ring", 1, 1))
     rings = vertices.groupBy(*own).agg(ring.alias("__ring"))
     edges = F.zip_with("__ring", closed, lambda a, b: F.struct(
@@ -77,18 +78,89 @@ def inside(edges: Column, x: Column, y: Column) -> Column:
     return F.size(F.filter(edges, crossed)) % 2 == 1
 
 
+_EDGE = "struct<x1:double,y1:double,x2:double,y2:double,__x1:bigint,__y1:bigint,__x2:bigint,__y2:bigint>"
+
+
+def _cell(at: Column, low: Column, side: Column) -> Column:
+    return F.floor(F.try_divide(at - low, side)).cast("long")
+
+
+def _edge_cells(edges: DataFrame, own: Sequence[str]) -> DataFrame:
+    """Cells ``(own..., i, j)`` of each polygon's grid, with the edges that reach into them.
+
+    ``edges`` has the polygon, its frame (``__x0 __y0 __w __h``) and one edge a row. An edge is listed in the
+    cells of its bounding box. ``__odd`` tells whether the edges wholly to the right of a cell are crossed
+    an odd number of times as far as that is the same for every point of the cell: each crosses the lines
+    that lie between its ends, which holds for all cells to the left of it in the rows below its upper
+    end, so that the parity is carried along a row from right to left. What is left to a point's own
+    height are ends of edges in its row of cells; rings are closed, so such an end either belongs to two
+    edges to the right, which cancel out, or to an edge of the cell, which counts it (``_crossings``).
+    """
+    c = F.col
+    place = edges.withColumns({
+        f"__{v}{k}": _cell(c(f"{v}{k}"), c(f"__{v}0"), c(f"__{s}")) for v, s in (("x", "w"), ("y", "h")) for k in (1, 2)
+    })
+    low, high = (lambda v: F.least(f"__{v}1", f"__{v}2")), (lambda v: F.greatest(f"__{v}1", f"__{v}2"))
+    edge = F.struct("x1", "y1", "x2", "y2", "__x1", "__y1", "__x2", "__y2").alias("edge")
+    listed = place.select(
+        *own, edge, low("x").alias("l"), high("x").alias("h"),
+        F.explode(F.sequence(low("y"), high("y"))).alias("j"), high("y").alias("top"),
+    )
+    cells = listed.withColumn("i", F.explode(F.sequence("l", "h")))
+    cells = cells.groupBy(*own, "i", "j").agg(F.collect_list("edge").alias("edges"))
+    flips = listed.groupBy(*own, "j", c("l").alias("i")).agg((F.count_if(c("j") < c("top")) % 2).alias("flip"))
+    rows = place.groupBy(*own).agg(F.min(low("x")).alias("l"), F.max(high("x")).alias("h"),
+                                   F.min(low("y")).alias("b"), F.max(high("y")).alias("t"))
+    grid = rows.withColumn("j", F.explode(F.sequence("b", "t"))).withColumn("i", F.explode(F.sequence("l", "h")))
+    grid = keyed_join(grid.select(*own, "i", "j"), flips, [*own, "i", "j"], "left")
+    right = Window.partitionBy(*own, "j").orderBy(c("i").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    grid = grid.withColumn("__odd", F.coalesce(F.sum("flip").over(right) % 2, F.lit(0)) == 1).drop("flip")
+    return keyed_join(grid, cells, [*own, "i", "j"], "left").filter("__odd OR edges IS NOT NULL")
+
+
+def _crossings(edges: Column, i: Column, j: Column, x: Column, y: Column) -> Column:
+    """Is a point of cell (i, j) inside, but for the parity that the cell carries?"""
+
+    def odd(e: Column) -> Column:
+        spans = (e["y1"] > y) != (e["y2"] > y)
+        at = e["x1"] + F.try_divide((y - e["y1"]) * (e["x2"] - e["x1"]), e["y2"] - e["y1"])
+        ends = [(e[f"__y{k}"] == j) & (e[f"__x{k}"] > i) & (e[f"y{k}"] > y) for k in (1, 2)]
+        return (spans & F.coalesce(x < at, F.lit(False))) != (ends[0] != ends[1])
+
+    return F.size(F.filter(edges, odd)) % 2 == 1
+
+
 def clip(points: DataFrame, rings: DataFrame, x: str, y: str, on: str | None = None) -> DataFrame:
     """Points inside their polygon: the one with the same ``on`` value, or without ``on`` any of them.
 
-    Each point meets one row holding the rings, so the points are not multiplied by their edges. A
-    point of a hole is outside, one that several polygons cover is kept once.
+    The edges are cut into a grid, of as many cells as there are edges: with ``on`` a grid for each
+    polygon, without it one for all. A point meets its own cell alone, which holds the few edges around it
+    and the parity of those to its right. Long edges are listed in every cell of their bounding box.
+    A point of a hole is outside, one that several polygons cover is kept once; a point on an edge
+    is inside at the lower and left edges. Points without a coordinate are outside.
     """
-    if on is None:
-        near = points.withColumn("__rings", rings.agg(F.collect_list("edges")).scalar())
-        held = F.exists("__rings", lambda edges: inside(edges, F.col(x), F.col(y)))
-        return near.filter(held).drop("__rings")
-    joined = keyed_join(points, rings.select(on, "edges"), [on])
-    return joined.filter(inside(F.col("edges"), F.col(x), F.col(y))).drop("edges")
+    c = F.col
+    poly = on or next(n for n in rings.columns if n != "edges")
+    frame_by = [on] if on else []
+    edges = rings.select(c(poly).alias(poly), F.inline("edges")).dropna(subset=["x1", "y1", "x2", "y2"])
+    side = F.greatest(F.ceil(F.sqrt(F.count("*"))), F.lit(1))
+    span = lambda v: F.max(F.greatest(f"{v}1", f"{v}2")) - F.min(F.least(f"{v}1", f"{v}2"))
+    step = lambda v: F.when(span(v) > 0, span(v) / side).otherwise(1.0)
+    frames = edges.groupBy(*frame_by).agg(
+        F.min(F.least("x1", "x2")).alias("__x0"), step("x").alias("__w"),
+        F.min(F.least("y1", "y2")).alias("__y0"), step("y").alias("__h"),
+    )
+    cells = _edge_cells(keyed_join(edges, frames, frame_by), [poly])
+    part = F.struct("__odd", F.coalesce("edges", F.array().cast("array<" + _EDGE + ">")).alias("edges"))
+    cells = cells.groupBy(*frame_by, c("i").alias("__i"), c("j").alias("__j")).agg(
+        # a cell that some polygon covers whole needs no edges of others
+        F.max(c("edges").isNull()).alias("__whole"), F.collect_list(part).alias("__parts")
+    )
+    placed = keyed_join(points, frames, frame_by)
+    placed = placed.withColumns({"__i": _cell(c(x), c("__x0"), c("__w")), "__j": _cell(c(y), c("__y0"), c("__h"))})
+    met = keyed_join(placed, cells, [*frame_by, "__i", "__j"])
+    held = F.exists("__parts", lambda p: p["__odd"] != _crossings(p["edges"], c("__i"), c("__j"), c(x), c(y)))
+    return met.filter(c("__whole") | held).select(*[c(quote(n)) for n in points.columns])
 
 
 def prediction_grid(

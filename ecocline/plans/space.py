@@ -534,18 +534,25 @@ _FITTED = ["quantity_cv", "price_cv", "tax_cv"]
 
 @query(
     "vector_fit",
-    f"""WITH {REGIONS},
+    f"""WITH RECURSIVE {REGIONS},
 long AS (
   SELECT nation AS site, lon - avg(lon) OVER () AS a1, lat - avg(lat) OVER () AS a2,
     unnest(['quantity_cv', 'price_cv', 'tax_cv']) AS parameter,
     unnest([quantity_cv, price_cv, tax_cv]) AS z FROM regions),
 c AS (SELECT site, parameter, z,
   a1 - avg(a1) OVER (PARTITION BY parameter) AS a1, a2 - avg(a2) OVER (PARTITION BY parameter) AS a2,
-  row_number() OVER (PARTITION BY parameter ORDER BY site) AS k
+  row_number() OVER (PARTITION BY parameter ORDER BY site) - 1 AS k, count(*) OVER (PARTITION BY parameter) AS n
   FROM long WHERE z IS NOT NULL),
-d AS (SELECT parameter, perm, z, row_number() OVER (PARTITION BY parameter, perm
-  ORDER BY md5(site || ':' || perm || ':1'), site) AS k
-  FROM (SELECT c.*, unnest(range(1, 1000)) AS perm FROM c)),
+keys AS (SELECT perm, r, ('0x' || h[1:14])::BIGINT AS kk, ('0x' || h[15:20])::BIGINT AS ka,
+  ('0x' || h[21:26])::BIGINT AS kb, ('0x' || h[27:32])::BIGINT AS kc
+  FROM (SELECT perm, r, md5('1:' || perm || ':' || r) AS h FROM range(1, 1000) p(perm), range(1, 41) q(r))),
+walk AS (SELECT DISTINCT n, perm, k::BIGINT AS k, k::BIGINT AS x, 0 AS r FROM c, range(1, 1000) p(perm)
+  UNION ALL SELECT n, perm, k, CASE WHEN (((line * line + kc) % 2147483647) >> 16) % 2 = 1 THEN y ELSE x END, r + 1
+  FROM (SELECT n, perm, k, x, y, r, kc, (greatest(x, y) * (ka + 1) + kb) % 2147483647 AS line
+    FROM (SELECT w.*, ka, kb, kc, (((kk - x) % n) + n) % n AS y
+      FROM walk w JOIN keys ON keys.perm = w.perm AND keys.r = w.r + 1 WHERE w.r < 40))),
+d AS (SELECT c.parameter, walk.perm, c.z, walk.k FROM c
+  JOIN walk ON walk.n = c.n AND walk.x = c.k AND walk.r = 40),
 e AS (SELECT parameter, 0 AS perm, a1, a2, z FROM c
   UNION ALL SELECT d.parameter, d.perm, c.a1, c.a2, d.z FROM d JOIN c ON c.parameter = d.parameter AND c.k = d.k),
 s AS (SELECT parameter, perm, sum(a1 * a1) AS u11, sum(a1 * a2) AS u12, sum(a2 * a2) AS u22,
