@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import ratio, recode, row_mean, unite
-from ecocline.operators.relations import keyed_join
+from ecocline.operators.relations import keyed_join, scenarios
 from ecocline.operators.reshape import wide_to_long
 from ecocline.operators.summaries import share_of_total
 
@@ -44,6 +44,37 @@ def richness(
     return per_site.withColumn(percent, ratio(F.col(n), pool) * 100)
 
 
+def scoped_richness(
+    present: DataFrame,
+    sites: DataFrame,
+    scopes: Mapping[str, Column | None],
+    site: str,
+    taxon: str,
+    entity: str,
+    name: str = "scope",
+) -> DataFrame:
+    """Taxon and entity richness of every site within every named scope, counts and shares (%).
+
+    A scope is a condition on the rows of ``present`` (None: all rows) with denominators of its own.
+    Each row of ``sites`` has a row in each scope: a site without organisms of a scope has richness 0
+    there, not a missing one. A scope that holds no taxon at all has shares that are NULL.
+    """
+    held = scenarios(present, scopes, name)
+    held = held.select(name, site, taxon, entity).distinct()
+    by_taxon = richness(held, site, taxon, "nb_sp", "__sp", [name])
+    by_entity = richness(held, site, entity, "nb_fes", "__fes", [name])
+    found = keyed_join(by_taxon.drop("__sp"), by_entity.drop("__fes"), [name, site], "full")
+    pools = held.groupBy(name).agg(
+        F.count_distinct(taxon).alias("__taxa"), F.count_distinct(entity).alias("__entities")
+    )
+    every = sites.withColumn(name, F.explode(F.array(*[F.lit(s) for s in scopes])))
+    out = keyed_join(keyed_join(every, found, [name, site], "left"), pools, [name], "left")
+    out = out.fillna(0, subset=["nb_sp", "nb_fes"])
+    return out.withColumns({
+        "nb_sp_p": ratio("nb_sp", "__taxa") * 100, "nb_fes_p": ratio("nb_fes", "__entities") * 100
+    }).drop("__taxa", "__entities")
+
+
 def functional_entities(
     traits: DataFrame, taxon: str, trait_columns: Sequence[str], name: str = "fe"
 ) -> DataFrame:

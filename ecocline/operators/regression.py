@@ -264,6 +264,28 @@ def with_residuals(
     }).drop("__fit")
 
 
+def chosen_residuals(
+    df: DataFrame,
+    responses: Mapping[str, str],
+    predictor: str,
+    bent: Mapping[str, Column],
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """Residuals as ``with_residuals``, from lines and quadratic curves side by side.
+
+    ``bent`` maps a response to the condition on a row (a subgroup, say) under which its residual is
+    the one from the curve; it is the one from the line elsewhere and where the condition is unknown.
+    """
+    out = with_residuals(df, responses, predictor, 1, by)
+    curves = {y: f"__bent_{responses[y]}" for y in bent}
+    if not curves:
+        return out
+    out = with_residuals(out, curves, predictor, 2, by)
+    return out.withColumns({
+        responses[y]: F.when(rule, F.col(curves[y])).otherwise(F.col(responses[y])) for y, rule in bent.items()
+    }).drop(*curves.values())
+
+
 def sequential_anova(df: DataFrame, response: str, predictor: str, by: Sequence[str] = ()):
     """Type I table of the orthogonal linear and quadratic terms: SS, F and p of each."""
     keys = [*by, "response", "predictor"]
@@ -411,6 +433,34 @@ def trait_regressions(
     )
 
 
+def entity_regressions(df: DataFrame, entity: str, response: str, predictor: str) -> DataFrame:
+    """Line and quadratic curve of every entity from the same sums, side by side.
+
+    ``form`` is the one with the smaller AICc (the line, if they tie or there is no curve), NULL where
+    there is no fit: too few places, or no spread in the predictor. ``pvalue`` is the p of its highest
+    term, ``r_squared`` its share of the variance.
+    """
+    c = F.col
+    sums = fit_sums(df, [response], [predictor], [entity])
+    line = linear_fits(sums).select(
+        entity, "n", "slope", c("aicc").alias("__a1"), c("r2").alias("r2_line"),
+        tails.t_two_sided(c("t_slope"), c("df")).alias("p_line"),
+    )
+    curve = quadratic_fits(sums).select(
+        entity, c("aicc").alias("__a2"), c("r2").alias("r2_curve"),
+        tails.t_two_sided(c("t_linear"), c("df")).alias("p_curve_linear"),
+        tails.t_two_sided(c("t_quadratic"), c("df")).alias("p_curve_quadratic"),
+    )
+    both = keyed_join(line, curve, [entity])
+    bends = c("__a2").isNotNull() & F.coalesce(c("__a2") < c("__a1"), F.lit(False))
+    form = F.when(bends, F.lit("Polynomial")).when(c("__a1").isNotNull(), F.lit("Linear"))
+    pick = lambda a, b: F.when(bends, c(a)).when(c("__a1").isNotNull(), c(b))
+    return both.withColumns({
+        "parameter": F.lit(predictor), "form": form,
+        "pvalue": pick("p_curve_quadratic", "p_line"), "r_squared": pick("r2_curve", "r2_line"),
+    }).drop("__a1", "__a2")
+
+
 def significant(tables: DataFrame, below: float = 0.07) -> DataFrame:
     return tables.filter((F.col("pvalue1") < below) | (F.col("pvalue2") < below))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import (
@@ -53,6 +53,43 @@ def model_report(
     )
 
 
+def report_tables(
+    models: DataFrame,
+    tables: Mapping[str, Mapping[str, str]],
+    parameter_names: Mapping[str, str],
+    by: Sequence[str] = (),
+    response: str = "response",
+    predictor: str = "predictor",
+) -> DataFrame:
+    """Model tables as they are published: one per group of ``by`` and title, packed into sections.
+
+    ``tables`` maps a title (raw, residuals) to its sections, and those map a response to its heading.
+    ``row`` counts the rows of a published table from 1, so that a section is its smallest to largest
+    row; a table holds two rows per response and predictor. Within a section rows go by rounded AICc
+    difference, then by published parameter order (the order of ``parameter_names``), then by form.
+    """
+    c = F.col
+    sections = {y: heading for held in tables.values() for y, heading in held.items()}
+    titles = {y: title for title, held in tables.items() for y in held}
+    rounded = models.filter(c(response).isin(*sections)).select(
+        *by,
+        recode(response, titles).alias("report"),
+        recode(response, sections).alias("section"),
+        level_order(c(response), list(sections)).alias("__section"),
+        level_order(c(predictor), list(parameter_names)).alias("__parameter"),
+        *separate(recode(predictor, parameter_names), " +", ["parameter"]),
+        c("reg_type").alias("regression"),
+        F.bround("aicc", 1).alias("aicc"),
+        round_r2("r2").alias("r2"),
+        signif("p", 2).alias("p"),
+        F.bround("del_aicc", 1).alias("delta_aicc"),
+    )
+    inside = Window.partitionBy(*by, "report").orderBy(
+        "__section", F.asc_nulls_last("delta_aicc"), F.asc_nulls_last("__parameter"), "parameter", "regression"
+    )
+    return rounded.withColumn("row", F.row_number().over(inside)).drop("__section", "__parameter")
+
+
 def gradient_table(
     variability: DataFrame, group: Column, parameter: str, value: str, names: Mapping[str, str]
 ) -> DataFrame:
