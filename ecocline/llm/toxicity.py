@@ -21,7 +21,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +48,7 @@ _MARKS = ".,;:?\"'()[]{}<>#%&*=/\\`~^-_"
 _PREFIXES = (4, 5, 6, 8)
 _MEMO = 100_000
 _DULL = 1_000_000  # tokens without any bearing that a task remembers
+_FILED = 200_000  # tokens with some that it remembers
 _ERRORS = 2.3  # standard errors taken off a weight
 #: What may stand between the parts of a word besides blanks.
 _APART = re.compile(rf"[^\w{_SIGNS}]+|_+")
@@ -243,15 +244,38 @@ class Finder:
     carried on to what follows, however long the run.
     """
 
-    def __init__(self, words: set[str]):
-        long = {w for w in words if len(w) > 2}
-        self.goals = frozenset((w, True) for w in long)
-        self.begun = {w[:n] for w in long for n in range(1, len(w) + 1)}
+    def __init__(self, words: Collection[str], weight: Callable[[str], float] = lambda word: 1.0):
+        long = sorted((weight(w), w) for w in words if len(w) > 2)
+        self.goals = frozenset((w, True) for _, w in long)
+        #: Beginnings of words, each with the largest weight of a word that begins so.
+        self.begun = {w[:n]: weight for weight, w in long for n in range(1, len(w) + 1)}
         self.steps: dict[tuple, frozenset] = {}
+        self.heads: dict[str, str] = {}
+
+    def head(self, token: str) -> str:
+        """Up to three letters at a token's front that only stand for themselves, or nothing."""
+        head = token.lower()[:3]
+        while head and not head.isalpha():
+            head = head[:-1]
+        if head and head[0] == head[1:2] or head[1:2] and head[1:2] == head[2:]:
+            head = ""
+        if len(self.heads) < _FILED:
+            self.heads[token] = head
+        return head
+
+    def promise(self, parts: tuple) -> float:
+        """The largest weight of a word that may start in one of the parts, 0 if none does."""
+        return max((self.begun[s] for _, open_ in parts for s, _ in open_), default=0.0)
 
     def onward(self, states: frozenset, part: str, last: str) -> frozenset:
         """``walk`` in two steps: few beginnings outlive the first signs, and these steps recur."""
-        key = (states, part[:3], last)
+        first = part[:3]
+        # Letters without a repetition only stand for themselves: most beginnings end here.
+        if first.isalpha() and first[0] != last and first[0] != first[1:2] != first[2:]:
+            begun = self.begun
+            if not any([s + first in begun for s, _ in states]):
+                return _NONE
+        key = (states, first, last)
         found = self.steps.get(key)
         if found is None:
             found = self.walk(states, part[:3], last)
@@ -279,13 +303,31 @@ class Finder:
         parts = [low] if low.isalpha() else [p for p in _APART.split(low) if p]
         return tuple((p, self.onward(_ROOT, p, "")) for p in parts)
 
-    def __call__(self, tokens: list[str], opening: dict[str, tuple]) -> set[str]:
-        """``opening`` has the parts of the tokens that leave beginnings open: words start there alone."""
+    def __call__(self, tokens: list[str], opening: dict[str, tuple], starts: set[str] | None = None) -> set[str]:
+        """``opening`` has the parts of the tokens that leave beginnings open: words start there alone.
+
+        Words that start elsewhere than at the tokens ``starts``, if given, may be left out.
+        """
         found: set[str] = set()
         goals, done = self.goals, -1
-        for start in [i for i, t in enumerate(tokens) if t in opening]:
+        starts = opening if starts is None else starts
+        begun_words, heads, ends = self.begun, self.heads, len(tokens) - 1
+        for start in [i for i, t in enumerate(tokens) if t in starts]:
             if start <= done:
                 continue
+            parts = opening[tokens[start]]
+            if len(parts) == 1 and start < ends:  # mostly no beginning goes on into the next token
+                part, states = parts[0]
+                after = tokens[start + 1]
+                head = heads[after] if after in heads else self.head(after)
+                if head and head[0] != part[-1]:
+                    for s, _ in states:
+                        if s + head in begun_words:
+                            break
+                    else:
+                        if not goals.isdisjoint(states):
+                            found.update(s for s, _ in goals & states)
+                        continue
             states, last = _NONE, ""
             for done in range(start, len(tokens)):
                 token = tokens[done]
@@ -311,55 +353,63 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], fit: np.ndarray | None):
         self.restorer, self.weights, self.fit = Restorer(model), weights, fit
-        self.finder = Finder({f for f in weights if not f.endswith("*")})
-        #: Tokens without a weight or an open beginning, and of others the weight and what they open.
+        #: How the features of a word of four and more letters begin.
+        self.stems = {f[:4] for f in weights}
+        self.finder = Finder([f for f in weights if not f.endswith("*")], self.known)
+        #: Tokens without a weight or an open beginning, and of others what ``learnt`` says.
         self.dull: set[str] = set()
-        self.weighed: dict[str, float] = {}
-        self.opening: dict[str, tuple] = {}
+        self.filed: dict[str, tuple[float, float, tuple, tuple]] = {}
 
-    def learnt(self, token: str) -> float:
-        """The strongest weight among the features of a token's words; the token is filed."""
+    def learnt(self, token: str) -> tuple[float, float, tuple, tuple]:
+        """The strongest weight among the features of a token's words, the strongest of the words that
+        may start in it, its parts where one may, and its words where one has a weight. The token is filed
+        while there is room: the frequent ones come first, and the others are looked at again each time."""
         plain = token.strip(_MARKS).lower()
         if plain.isalpha() and plain not in self.finder.begun and not _TWICE.search(plain):
-            weight, parts = self.known(plain), ()  # nothing is hidden, and no word begins like it
+            words, promise, parts = (plain,), 0.0, ()  # nothing is hidden, and no word begins like it
         else:
-            weight = max(map(self.known, self.restorer.token(token)))
+            words = self.restorer.token(token)
             parts = self.finder.parts(token)
-        if any(begun for _, begun in parts):
-            self.opening[token] = parts
-        elif not weight:
-            if len(self.dull) < _DULL:  # beyond, rare tokens are looked at again each time
-                self.dull.add(token)
-            return weight
-        self.weighed[token] = weight
-        return weight
+            promise = self.finder.promise(parts)
+        weight = max(map(self.known, words))
+        entry = weight, promise, parts if promise else (), words if weight else ()
+        if weight or promise:
+            if len(self.filed) < _FILED:
+                self.filed[token] = entry
+        elif len(self.dull) < _DULL:
+            self.dull.add(token)
+        return entry
 
     def known(self, word: str) -> float:
+        if len(word) >= 4 and word[:4] not in self.stems:
+            return 0.0
         return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
 
-    def apart(self, tokens: list[str], lively: list[str]) -> list[float]:
+    def apart(self, tokens: list[str], held: dict[str, tuple], second: float) -> list[float]:
         """Weights of words that tokens hold together or beside others, without those of single tokens.
 
-        A token that holds a word with a weight has one itself, so that only ``lively`` ones are compared.
+        Words with a weight of at most ``second`` may be left out. A token that holds a word with a
+        weight has one itself, so that only such ones are compared.
         """
-        found = self.restorer.spaced(tokens) | self.finder(tokens, self.opening)
-        weights = {w: weight for w in found if (weight := self.known(w))}
+        found = self.restorer.spaced(tokens)
+        starts = {t for t, entry in held.items() if entry[1] > second}
+        if starts:
+            opening = {t: entry[2] for t, entry in held.items() if entry[1]}
+            found |= self.finder(tokens, opening, starts)
+        weights = {w: weight for w in found if (weight := self.known(w)) > second}
         if weights:
-            for word in {w for t in lively for w in self.restorer.token(t)}.intersection(weights):
+            for word in {w for entry in held.values() for w in entry[3]}.intersection(weights):
                 del weights[word]
         return list(weights.values())
 
     def inputs(self, text: str | None) -> tuple[float, float, float]:
         """1 and the two strongest weights: sums would grow with the length of a clean text."""
         tokens = (text or "").split()
-        weighed = self.weighed
-        if len(weighed) > _MEMO:  # tokens that open a word or have a weight: few, but not bounded
-            weighed = self.weighed = {}
-            self.opening = {}
-        held = {t: weighed[t] if t in weighed else self.learnt(t) for t in set(tokens).difference(self.dull)}
-        lively = [t for t, weight in held.items() if weight]
-        found = [held[t] for t in lively] + self.apart(tokens, lively)
-        one, two = sorted([0.0, 0.0, *found], reverse=True)[:2]
+        filed = self.filed
+        held = {t: filed[t] if t in filed else self.learnt(t) for t in set(tokens).difference(self.dull)}
+        one, two = sorted([0.0, 0.0, *[entry[0] for entry in held.values()]])[:-3:-1]
+        # Only a word with more weight than the second strongest changes what is returned.
+        one, two = sorted([one, two, *self.apart(tokens, held, two)], reverse=True)[:2]
         return 1.0, one, two
 
     def __call__(self, text: str | None) -> float:

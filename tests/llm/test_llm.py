@@ -248,6 +248,24 @@ def test_finder_equals_every_way_to_join():
         assert found <= {w for w in words if w in once}
 
 
+def test_words_that_cannot_change_a_score_need_not_be_found():
+    """The two strongest weights, against those of all words that a text holds on any path."""
+    rnd = random.Random(11)
+    signs = "abc" * 4 + "@0.-"
+    for _ in range(300):
+        words = {"".join(rnd.choice("abco") for _ in range(rnd.randrange(3, 6))) for _ in range(12)}
+        weights = {w: rnd.choice([0.2, 0.5, 1.0, 2.0]) for w in words}
+        weights |= {f"{w[:4]}*": rnd.random() * 3 for w in sorted(words)[:3] if len(w) > 3}
+        scorer = toxicity.Scorer(np.zeros((28, 28, 28)), weights, None)
+        tokens = ["".join(rnd.choice(signs) for _ in range(rnd.randrange(1, 5))) for _ in range(25)]
+        held = {t: scorer.learnt(t) for t in set(tokens)}
+        own = {w for t in tokens for w in scorer.restorer.token(t) if scorer.known(w)}
+        opening = {t: scorer.finder.parts(t) for t in tokens}
+        beside = scorer.restorer.spaced(tokens) | scorer.finder(tokens, opening)
+        every = [e[0] for e in held.values()] + [scorer.known(w) for w in beside - own]
+        assert scorer.inputs(" ".join(tokens)) == (1.0, *sorted([0.0, 0.0, *every], reverse=True)[:2])
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):
