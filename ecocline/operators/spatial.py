@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ecocline.functions.scalar import haversine_m, quote
-from ecocline.operators.blocks import block_reduce, spread
+from ecocline.operators.blocks import near_reduce, spread
 from ecocline.operators.ordering import exact_median, order_index, top_rows
 from ecocline.operators.relations import keyed_join, natural_join
 from ecocline.operators.summaries import attach
@@ -190,19 +190,22 @@ def variogram(
     z: str,
     lags: int = 3,
     block: int = 1024,
+    reach: float | None = None,
 ) -> DataFrame:
     """Empirical semivariogram per group: mean distance and half mean squared difference by lag.
 
-    Pairs reach to a third of the bounding-box diagonal, cut into ``lags`` equal bins. Block pairs
-    return sums per bin, so the pairs of a large group are never rows.
+    Pairs reach to a third of the bounding-box diagonal, or to ``reach``, cut into ``lags`` equal bins.
+    Blocks of cells that lie within reach meet and return sums per bin, so the pairs of a large group
+    are never rows; with a ``reach`` that does not grow with the survey, the work grows with the samples.
     """
     c = F.col
     ready = samples.dropna(subset=[x, y, z])
     boxes = ready.groupBy(*keys).agg(
         F.max(x).alias("xh"), F.min(x).alias("xl"), F.max(y).alias("yh"), F.min(y).alias("yl")
     )
-    reach = F.sqrt(F.pow(c("xh") - c("xl"), 2) + F.pow(c("yh") - c("yl"), 2)) / 3
-    rows = keyed_join(ready, boxes.select(*keys, reach.alias("__reach")), keys)
+    third = F.sqrt(F.pow(c("xh") - c("xl"), 2) + F.pow(c("yh") - c("yl"), 2)) / 3
+    limit = third if reach is None else F.lit(float(reach))
+    rows = keyed_join(ready, boxes.select(*keys, limit.alias("__reach")), keys)
     rows = rows.select(*keys, row_id, c(x).cast("double").alias("__x"), c(y).cast("double").alias("__y"),
                        c(z).cast("double").alias("__z"), "__reach")
 
@@ -218,8 +221,8 @@ def variogram(
         table = pd.DataFrame({"lag": bin_, "__n": 1, "__d": d, "__g": g})
         return table.groupby("lag", as_index=False).sum()
 
-    parts = block_reduce(rows, keys, row_id, ["__x", "__y", "__z", "__reach"], compare,
-                         "lag int, __n long, __d double, __g double", block)
+    parts = near_reduce(rows, keys, row_id, "__x", "__y", "__reach", ["__z"], compare,
+                        "lag int, __n long, __d double, __g double", block)
     return parts.groupBy(*keys, "lag").agg(
         F.sum("__n").alias("n_pairs"),
         (F.sum("__d") / F.sum("__n")).alias("distance"),
