@@ -13,10 +13,11 @@ from math import comb
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecocline.operators.blocks import block_reduce
+from ecocline.operators.relations import exclude
 from ecocline.operators.summaries import attach, with_global
 
 MAX_FEATURES = 6000
@@ -199,13 +200,20 @@ def distance_sums(
     return sums.groupBy(entity).agg(F.sum("n").alias("n"), F.sum("d").alias("d"), F.sum("d2").alias("d2"))
 
 
-def dispersion(presence: DataFrame, sums: DataFrame, site: str, entity: str) -> DataFrame:
+def dispersion(
+    presence: DataFrame, sums: DataFrame, site: str, entity: str, without: Column | None = None
+) -> DataFrame:
     """Mean, sd and standard error of the distances from a site's entities to all entities.
 
+    Sites for which ``without`` is true are left out, also of the mean over sites; their entities still
+    count among all entities.
+
     Built from the per-entity sums, so each presence row meets one row, not a distance row. Also
     the deviation of each site's mean from the mean over sites.
     """
     c = F.col
+    if without is not None:
+        presence = exclude(presence, without)
     present = presence.select(site, entity).distinct().join(sums, entity)
     totals = present.groupBy(site).agg(*[F.sum(x).alias(x) for x in ("n", "d", "d2")])
     mean = c("d") / c("n")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ecocline.functions.scalar import short_name
 from ecocline.operators import diversity, hulls, ordering, ordination, regression, reshape, spatial, traits
+from ecocline.plans.community import _BROAD, _broad
 from ecocline.plans.registry import (
     ABIOTIC, COVER, PARAMETERS, REGIONS, SITE_TABLE, TAXA, TRAITS, cover_counts, query, regions,
     rounded, site_table, taxa,
@@ -153,12 +155,12 @@ def entity_distance_sums(spark, sf):
     return rounded(traits.distance_sums(_entity_points(spark, sf), "fe", AXES, block=64))
 
 
-def _dispersion(spark, sf):
+def _dispersion(spark, sf, without=None):
     present = cover_counts(spark, sf).select("site", "taxon").join(
         _taxa_entities(spark, sf).select("taxon", "fe"), "taxon"
     )
     sums = traits.distance_sums(_entity_points(spark, sf), "fe", AXES)
-    return traits.dispersion(present, sums, "site", "fe")
+    return traits.dispersion(present, sums, "site", "fe", without)
 
 
 _DISPERSION = f"""{_POINTS.replace('WITH ', '')},
@@ -183,6 +185,19 @@ def dispersion(spark, sf):
     return rounded(_dispersion(spark, sf))
 
 
+@query(
+    "dispersion_without_site",
+    f"""WITH {_DISPERSION}
+SELECT site, round(avg_dist, 6) AS avg_dist, round(sd_dist, 6) AS sd_dist,
+  round(avg(avg_dist) OVER (), 6) AS comm_mean,
+  round(avg_dist - avg(avg_dist) OVER (), 6) + 0.0 AS dev_from_mean FROM dev WHERE site <> 7""",
+)
+def dispersion_without_site(spark, sf):
+    """Dispersion with one site left out, also of the community mean."""
+    out = _dispersion(spark, sf, F.col("site") == 7)
+    return rounded(out.select("site", "avg_dist", "sd_dist", "comm_mean", "dev_from_mean"))
+
+
 @query(
     "dispersion_gradient",
     f"""WITH {_DISPERSION}, {SITE_TABLE}
@@ -529,6 +544,25 @@ def taxon_scores(spark, sf):
     return rounded(ordination.taxon_scores(cover, scores, "nation", "taxon", "count", ["lon", "lat"]))
 
 
+@query(
+    "taxon_score_table",
+    f"""WITH {_ORDINATION},
+sc AS (SELECT taxon, sum(v * axis1) / sum(v) AS axis1, sum(v * axis2) / sum(v) AS axis2
+  FROM rc JOIN axes USING (nation) GROUP BY taxon)
+SELECT taxon, round(axis1, 6) + 0.0 AS axis1, round(axis2, 6) + 0.0 AS axis2,
+  substr(taxon_name, 1, 1) || '.' || split_part(taxon_name, ' ', 2) AS name, taxon_group, morph,
+  {_BROAD} AS broad FROM sc JOIN taxa USING (taxon)""",
+)
+def taxon_score_table(spark, sf):
+    """Taxa on the ordination's axes, with their short name, traits and broad group."""
+    _, scores = _ordination(spark, sf)
+    axes = ["axis1", "axis2"]
+    placed = ordination.taxon_scores(_region_cover(spark, sf), scores, "nation", "taxon", "count", axes)
+    details = taxa(spark, sf).withColumns({"short": short_name("taxon_name"), "broad": _broad()})
+    shown = {"short": "name", "taxon_group": "taxon_group", "morph": "morph", "broad": "broad"}
+    return rounded(ordination.scores_with(placed, details, "taxon", shown))
+
+
 _FITTED = ["quantity_cv", "price_cv", "tax_cv"]
 
 
