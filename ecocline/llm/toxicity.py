@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
 
@@ -47,7 +48,7 @@ _HIDDEN = re.compile(
 _MARKS = ".,;:?\"'()[]{}<>#%&*=/\\`~^-_"
 _PREFIXES = (4, 5, 6, 8)
 _MEMO = 100_000
-_DULL = 1_000_000  # tokens without any bearing that a task remembers
+_DULL = 400_000  # tokens without any bearing that a task remembers
 _FILED = 200_000  # tokens with some that it remembers
 _ERRORS = 2.3  # standard errors taken off a weight
 #: What may stand between the parts of a word besides blanks.
@@ -260,7 +261,7 @@ class Finder:
         if head and head[0] == head[1:2] or head[1:2] and head[1:2] == head[2:]:
             head = ""
         if len(self.heads) < _FILED:
-            self.heads[token] = head
+            self.heads[token] = head = sys.intern(head)
         return head
 
     def promise(self, parts: tuple) -> float:
@@ -303,31 +304,37 @@ class Finder:
         parts = [low] if low.isalpha() else [p for p in _APART.split(low) if p]
         return tuple((p, self.onward(_ROOT, p, "")) for p in parts)
 
-    def __call__(self, tokens: list[str], opening: dict[str, tuple], starts: set[str] | None = None) -> set[str]:
+    def __call__(self, tokens: list[str], opening: dict[str, tuple | str], second: float = 0.0) -> set[str]:
         """``opening`` has the parts of the tokens that leave beginnings open: words start there alone.
 
-        Words that start elsewhere than at the tokens ``starts``, if given, may be left out.
+        A token of letters that only stand for themselves may come as these letters in place of its parts;
+        such a token alone is not reported. Words of at most ``second`` in weight may be left out.
         """
         found: set[str] = set()
         goals, done = self.goals, -1
-        starts = opening if starts is None else starts
-        begun_words, heads, ends = self.begun, self.heads, len(tokens) - 1
-        for start in [i for i, t in enumerate(tokens) if t in starts]:
+        weight_of, heads, ends = self.begun.get, self.heads, len(tokens) - 1
+        for start in [i for i, t in enumerate(tokens) if t in opening]:
             if start <= done:
                 continue
             parts = opening[tokens[start]]
-            if len(parts) == 1 and start < ends:  # mostly no beginning goes on into the next token
-                part, states = parts[0]
+            plain = parts.__class__ is str
+            if start < ends and (plain or len(parts) == 1):  # mostly no beginning goes on into the next token
                 after = tokens[start + 1]
                 head = heads[after] if after in heads else self.head(after)
-                if head and head[0] != part[-1]:
+                if plain:
+                    if head and head[0] != parts[-1] and weight_of(parts + head, 0.0) <= second:
+                        continue
+                elif head and head[0] != parts[0][0][-1]:
+                    states = parts[0][1]
                     for s, _ in states:
-                        if s + head in begun_words:
+                        if weight_of(s + head, 0.0) > second:
                             break
                     else:
                         if not goals.isdisjoint(states):
                             found.update(s for s, _ in goals & states)
                         continue
+            elif plain:
+                continue  # nothing follows
             states, last = _NONE, ""
             for done in range(start, len(tokens)):
                 token = tokens[done]
@@ -335,6 +342,8 @@ class Finder:
                 if parts is None:  # it opens nothing, and only goes on with what is open
                     low = token.lower()
                     parts = ((low, _NONE),) if low.isalpha() else self.parts(token)
+                elif parts.__class__ is str:
+                    parts = ((parts, frozenset([(parts, True)])),)
                 for part, begun in parts:
                     if states and (on := self.onward(states, part, last)):
                         states = begun | on if begun else on
@@ -342,6 +351,8 @@ class Finder:
                         states = begun
                     if not goals.isdisjoint(states):
                         found.update(s for s, _ in goals & states)
+                    if second and states:
+                        states = frozenset([x for x in states if weight_of(x[0]) > second])
                     last = part[-1]
                 if not states:
                     break
@@ -353,26 +364,32 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], fit: np.ndarray | None):
         self.restorer, self.weights, self.fit = Restorer(model), weights, fit
-        #: How the features of a word of four and more letters begin.
+        #: How the features of a word of four and more letters begin; the weights of beginnings.
         self.stems = {f[:4] for f in weights}
+        self.begins = {f[:-1]: weight for f, weight in weights.items() if f.endswith("*")}
         self.finder = Finder([f for f in weights if not f.endswith("*")], self.known)
         #: Tokens without a weight or an open beginning, and of others what ``learnt`` says.
         self.dull: set[str] = set()
-        self.filed: dict[str, tuple[float, float, tuple, tuple]] = {}
+        self.filed: dict[str, tuple[float, float, tuple | str, tuple | str]] = {}
 
-    def learnt(self, token: str) -> tuple[float, float, tuple, tuple]:
+    def learnt(self, token: str) -> tuple[float, float, tuple | str, tuple | str]:
         """The strongest weight among the features of a token's words, the strongest of the words that
-        may start in it, its parts where one may, and its words where one has a weight. The token is filed
-        while there is room: the frequent ones come first, and the others are looked at again each time."""
+        may start in it, its parts where one may, and its words where one has a weight. Where letters only
+        stand for themselves these are the parts and the word. The token is filed while there is room: the
+        frequent ones come first, and the others are looked at again each time."""
         plain = token.strip(_MARKS).lower()
-        if plain.isalpha() and plain not in self.finder.begun and not _TWICE.search(plain):
-            words, promise, parts = (plain,), 0.0, ()  # nothing is hidden, and no word begins like it
+        if plain.isalpha() and not _TWICE.search(plain) and "(" not in token:
+            # Nothing is hidden: the word, and the only beginning that the token may leave open.
+            weight, promise = self.known(plain), self.finder.begun.get(plain, 0.0)
+            if plain == token:
+                plain = token
+            entry = weight, promise, plain, plain if weight else ()
         else:
             words = self.restorer.token(token)
             parts = self.finder.parts(token)
             promise = self.finder.promise(parts)
-        weight = max(map(self.known, words))
-        entry = weight, promise, parts if promise else (), words if weight else ()
+            weight = max(map(self.known, words))
+            entry = weight, promise, parts if promise else (), words if weight else ()
         if weight or promise:
             if len(self.filed) < _FILED:
                 self.filed[token] = entry
@@ -381,9 +398,15 @@ class Scorer:
         return entry
 
     def known(self, word: str) -> float:
-        if len(word) >= 4 and word[:4] not in self.stems:
+        size = len(word)
+        if size >= 4 and word[:4] not in self.stems:
             return 0.0
-        return max((self.weights[f] for f in features(word) if f in self.weights), default=0.0)
+        weight = self.weights.get(word, 0.0)
+        for n in _PREFIXES:
+            if size < n:
+                break
+            weight = max(weight, self.begins.get(word[:n], 0.0))
+        return weight
 
     def apart(self, tokens: list[str], held: dict[str, tuple], second: float) -> list[float]:
         """Weights of words that tokens hold together or beside others, without those of single tokens.
@@ -392,21 +415,21 @@ class Scorer:
         weight has one itself, so that only such ones are compared.
         """
         found = self.restorer.spaced(tokens)
-        starts = {t for t, entry in held.items() if entry[1] > second}
-        if starts:
-            opening = {t: entry[2] for t, entry in held.items() if entry[1]}
-            found |= self.finder(tokens, opening, starts)
+        opening = {t: entry[2] for t, entry in held.items() if entry[1] > second}
+        if opening:
+            found |= self.finder(tokens, opening, second)
         weights = {w: weight for w in found if (weight := self.known(w)) > second}
         if weights:
-            for word in {w for entry in held.values() for w in entry[3]}.intersection(weights):
+            words = (entry[3] for entry in held.values() if entry[0] > second)
+            for word in {w for one in words for w in ((one,) if one.__class__ is str else one)}.intersection(weights):
                 del weights[word]
         return list(weights.values())
 
     def inputs(self, text: str | None) -> tuple[float, float, float]:
         """1 and the two strongest weights: sums would grow with the length of a clean text."""
         tokens = (text or "").split()
-        filed = self.filed
-        held = {t: filed[t] if t in filed else self.learnt(t) for t in set(tokens).difference(self.dull)}
+        filed, learnt = self.filed, self.learnt
+        held = {t: filed[t] if t in filed else learnt(t) for t in set(tokens).difference(self.dull)}
         one, two = sorted([0.0, 0.0, *[entry[0] for entry in held.values()]])[:-3:-1]
         # Only a word with more weight than the second strongest changes what is returned.
         one, two = sorted([one, two, *self.apart(tokens, held, two)], reverse=True)[:2]
@@ -417,14 +440,13 @@ class Scorer:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _sample_inputs(model: np.ndarray, of_half: list[dict[str, float]]):
-    """Inputs of the sampled texts, each under the weights of the other half."""
+def _sample_inputs(model: np.ndarray, weights: dict[str, float]):
+    """Inputs of sampled texts under the weights of the half they are not in."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorers = [Scorer(model, weights, None) for weights in of_half]
+        scorer = Scorer(model, weights, None)
         for batch in batches:
-            columns = (_values(batch, c) for c in ("text", "half"))
-            found = [scorers[1 - half].inputs(text) for text, half in zip(*columns, strict=True)]
+            found = [scorer.inputs(text) for text in _values(batch, "text")]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.float64()),
                  batch.column("toxic")],
@@ -508,9 +530,12 @@ def learn(
     c = F.col
     halves = [weights_of(c(f"toxic{h}"), c(f"clean{h}"), n[2 * h + 1], n[2 * h]) for h in (0, 1)]
     weights = weights_of(c("toxic0") + c("toxic1"), c("clean0") + c("clean1"), n1, n0)
-    fitted = texts.mapInArrow(
-        _sample_inputs(model, halves), "a double, b double, toxic int"
-    ).collect()  # bounded by ``sample``
+    # A task holds the words of one half at a time.
+    of = [
+        texts.filter(c("half") == h).mapInArrow(_sample_inputs(model, halves[1 - h]), "a double, b double, toxic int")
+        for h in (0, 1)
+    ]
+    fitted = of[0].union(of[1]).collect()  # bounded by ``sample``
     fitted = np.array(sorted((r.a, r.b, r.toxic) for r in fitted))  # sums in one order
     return weights, fit_logistic(np.column_stack([np.ones(len(fitted)), fitted[:, :2]]), fitted[:, 2])
 

@@ -266,6 +266,25 @@ def test_words_that_cannot_change_a_score_need_not_be_found():
         assert scorer.inputs(" ".join(tokens)) == (1.0, *sorted([0.0, 0.0, *every], reverse=True)[:2])
 
 
+def test_beginnings_of_weak_words_are_not_followed():
+    """What cannot beat the second strongest weight is dropped at the next token, and letters that only stand
+    for themselves are filed without states of the lattice."""
+    weights = {"loser": 2.0, "thesis": 0.3, "theme": 0.3, "pathetic": 5.0, "moron": 4.0, "idiot": 4.0}
+    scorer = toxicity.Scorer(np.zeros((28, 28, 28)), weights, None)
+    assert scorer.learnt("the")[2:] == ("the", ()) and scorer.learnt("Moron,")[2:] == ("moron", "moron")
+    assert scorer.learnt("l0")[2] == (("l0", frozenset({("lo", True)})),)
+    walked = []
+    walk = scorer.finder.walk
+    scorer.finder.walk = lambda states, part, last: walked.append(part) or walk(states, part, last)
+    opening = {"the": "the", "lo": "lo"}
+    assert scorer.finder(["the", "sis", "lo", "ser"], opening) == {"thesis", "loser"}
+    walked.clear()
+    scorer.finder.steps.clear()
+    assert scorer.finder(["the", "sis", "the", "me", "lo", "ser"], opening, 0.3) == {"loser"}
+    assert walked == ["ser"]
+    assert scorer.inputs("moron idiot lo ser pa the tic") == (1.0, 5.0, 4.0)
+
+
 def test_toxicity_on_the_held_out_fold(spark):
     folder = "/root/testdata/sf0.1"
     if not os.path.isdir(folder):
