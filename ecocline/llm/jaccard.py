@@ -14,7 +14,9 @@ two similar sets always share one. So no pair is lost.
 Meeting texts are never expanded into pairs of a group: every text is first checked against one
 text, of the first ones of its keys that with which it shares most keys; links become components,
 and only texts of one key that are still in different components, of fitting size and with a Hamming
-distance of their 256-bit parity sketches within the bound, are compared further. In both rounds
+distance of their 256-bit parity sketches within the bound, are compared further. Near texts share
+many keys, so that each carries its smallest ones: a pair that has one of them in common is listed
+at that key alone, and every pair at its smallest common key. In both rounds
 the long sketches, of a bit a shingle or more, are compared before any text is moved: 256 bits
 cannot tell texts of a thousand words apart, these can at any length.
 """
@@ -35,6 +37,7 @@ from ecocline.sources.storage import materialise
 _U = np.uint64
 _BAND_RATIO = 0.7
 _KEYS = "key long, id long, size int, sketch binary"
+_FIRST = 16  # a text's smallest open keys, by which a pair is told that met on another key
 
 
 def bands(percent: int, limit: int = 1 << 40) -> tuple[tuple[int, int, int, int], ...]:
@@ -295,15 +298,19 @@ def jaccard_join(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high").select("key")
     left = materialise(placed.join(open_keys, "key", "left_semi"), "open")
+    firsts = left.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FIRST).alias("firsts"))
+    left = left.join(firsts, "id")
     right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "key"])
     apart = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(4))
+    met_before = F.array_min(F.array_intersect("firsts", "firsts_b")) < F.col("key")
     meet = left.join(right, "key").filter(
         (F.col("id") < F.col("id_b"))
         & (F.col("component") != F.col("component_b"))
         & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
         & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("size_b")))
+        & ~F.coalesce(met_before, F.lit(False))
     )
-    rest = meet.select(F.col("id_b").alias("a"), F.col("id").alias("b")).distinct()
+    rest = _listed(meet)
     rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = _links(_plausible(rest, sketches, percent), texts, words, percent)
     groups = components(
@@ -322,6 +329,11 @@ def jaccard_join(
     return out.union(nameless)
 
 
+def _listed(meet: DataFrame) -> DataFrame:
+    """The pairs (a, b) of the second round's join, each once."""
+    return meet.select(F.col("id_b").alias("a"), F.col("id").alias("b")).distinct()
+
+
 def _by_rep(pairs: DataFrame, stands: DataFrame) -> DataFrame:
     """Pairs of first texts instead of their copies, with the keys they share.
 

@@ -109,6 +109,30 @@ def test_one_id_with_two_texts_links_through_both(spark):
     assert len(found) == len(rows) and {r.doc_id: r.component_id for r in found} == want
 
 
+def test_jaccard_join_lists_a_pair_once(spark, monkeypatch):
+    """Copies just below the limit share many keys; the second round's join makes one row a pair, not one a key."""
+    rnd = random.Random(5)
+    base = [f"w{i}" for i in range(400)]
+    rows = []
+    for i in range(24):
+        own = list(base)
+        for at in rnd.sample(range(400), 5):
+            own[at] = f"x{i}_{at}"
+        rows.append((i, " ".join(own), "s"))
+    made = []
+    listed = jaccard._listed
+    monkeypatch.setattr(jaccard, "_listed", lambda meet: made.append(meet) or listed(meet))
+    found = {r.doc_id: r.component_id for r in jaccard.jaccard_join(documents(spark, rows), words=4, percent=85).collect()}
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(397)} for _, t, _ in rows]
+    link = lambda a, b: 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])
+    root = list(range(24))
+    for _ in root:
+        root = [min(root[b] for b in range(24) if a == b or link(a, b)) for a in range(24)]
+    assert found == dict(enumerate(root)) and len(set(root)) > 12
+    rows_made, pairs = made[0].count(), listed(made[0]).count()
+    assert 100 < pairs <= rows_made < 1.5 * pairs
+
+
 def test_tokenizer_equals_library(library):
     rnd = random.Random(1)
     signs = [*"abstmdrevl'' \n\t\r.,!?013éñ中😀 　²_-", "<|endoftext|>", "''ll", "====", " the"]
