@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import math
 import re
-import sys
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
 
@@ -260,8 +259,8 @@ class Finder:
             head = head[:-1]
         if head and head[0] == head[1:2] or head[1:2] and head[1:2] == head[2:]:
             head = ""
-        if len(self.heads) < _FILED:
-            self.heads[token] = head = sys.intern(head)
+        if token[:3].isascii():  # what follows has no say in how these are lowered
+            self.heads[token[:3]] = head
         return head
 
     def promise(self, parts: tuple) -> float:
@@ -312,15 +311,16 @@ class Finder:
         """
         found: set[str] = set()
         goals, done = self.goals, -1
-        weight_of, heads, ends = self.begun.get, self.heads, len(tokens) - 1
+        weight_of, head_of, ends = self.begun.get, self.heads.get, len(tokens) - 1
         for start in [i for i, t in enumerate(tokens) if t in opening]:
             if start <= done:
                 continue
             parts = opening[tokens[start]]
             plain = parts.__class__ is str
             if start < ends and (plain or len(parts) == 1):  # mostly no beginning goes on into the next token
-                after = tokens[start + 1]
-                head = heads[after] if after in heads else self.head(after)
+                head = head_of(tokens[start + 1][:3])
+                if head is None:
+                    head = self.head(tokens[start + 1])
                 if plain:
                     if head and head[0] != parts[-1] and weight_of(parts + head, 0.0) <= second:
                         continue
@@ -378,12 +378,25 @@ class Scorer:
         stand for themselves these are the parts and the word. The token is filed while there is room: the
         frequent ones come first, and the others are looked at again each time."""
         plain = token.strip(_MARKS).lower()
-        if plain.isalpha() and not _TWICE.search(plain) and "(" not in token:
+        plainly = plain.isalpha() and "(" not in token
+        twice = _TWICE.search(plain) if plainly else None
+        begun = self.finder.begun
+        if plainly and twice is None:
             # Nothing is hidden: the word, and the only beginning that the token may leave open.
-            weight, promise = self.known(plain), self.finder.begun.get(plain, 0.0)
+            if len(plain) >= 4 and plain[:4] not in self.stems:
+                weight = promise = 0.0
+            else:
+                weight, promise = self.known(plain), begun.get(plain, 0.0)
             if plain == token:
                 plain = token
             entry = weight, promise, plain, plain if weight else ()
+        elif plainly and not _TWICE.search(plain, twice.start() + 1):
+            # One letter stands twice, and the second may stand for nothing.
+            at = twice.start()
+            either = [w for w in (plain, plain[:at] + plain[at + 1 :]) if w in begun]
+            weight, promise = self.known(plain), max([begun[w] for w in either], default=0.0)
+            parts = ((plain, frozenset([(w, True) for w in either])),) if promise else ()
+            entry = weight, promise, parts, plain if weight else ()
         else:
             words = self.restorer.token(token)
             parts = self.finder.parts(token)

@@ -297,6 +297,12 @@ def test_beginnings_of_weak_words_are_not_followed():
     scorer = toxicity.Scorer(np.zeros((28, 28, 28)), weights, None)
     assert scorer.learnt("the")[2:] == ("the", ()) and scorer.learnt("Moron,")[2:] == ("moron", "moron")
     assert scorer.learnt("l0")[2] == (("l0", frozenset({("lo", True)})),)
+    # Tokens of letters, one of them twice, are settled without the lattice, and as the lattice has it.
+    for token in ("losser", "patthetic", "Patt", "mmoron", "ll", "zz", "los"):
+        entry = toxicity.Scorer(np.zeros((28, 28, 28)), weights, None).learnt(token)
+        opens = scorer.finder.parts(token)
+        assert entry[1] == scorer.finder.promise(opens) and entry[0] == max(map(scorer.known, scorer.restorer.token(token)))
+        assert entry[2] == (opens if "los" != token else token) or not entry[1]
     walked = []
     walk = scorer.finder.walk
     scorer.finder.walk = lambda states, part, last: walked.append(part) or walk(states, part, last)
