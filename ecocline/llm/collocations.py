@@ -10,7 +10,9 @@ the chunk in which it starts before the closing trigger; as no phrase is longer
 one word more, every occurrence lies whole in exactly one chunk and is counted once.
 
 Only DataFrame functions are used. All counts are summed where the rows lie before they are shuffled,
-one phrase length at a time, so that no more than one length's counts are on disk at once.
+one phrase length at a time, so that no more than one length's counts are on disk at once. The phrases of
+one word less that are frequent enough are known by then: a bit map of them leaves out most places that
+cannot count, before anything is summed. What falls on a mark by chance is counted and found too rare.
 """
 
 from __future__ import annotations
@@ -24,16 +26,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PIECE = r"[.,;:!?\x0A-\x0D]"
 PERIOD = 8
 _SCALE = 1_000_000
-
-
-def _joined(words: Column, size: int) -> Column:
-    """All runs of ``size`` neighbouring words, in order, joined by a blank."""
-    runs = words
-    for k in range(1, size):
-        later = F.slice(words, k + 1, F.greatest(F.size(words), F.lit(1)))
-        runs = F.zip_with(runs, later, lambda a, b: F.concat(a, F.lit(" "), b))
-    # The shifted copies end early; a run that lacks a word is NULL and leaves at the end.
-    return F.slice(runs, 1, F.greatest(F.size(words) - (size - 1), F.lit(0)))
+_SLOTS = 1 << 27  # bits of a map of phrases at the most (16 MB)
 
 
 def parse(
@@ -76,11 +69,58 @@ def parse(
     return chunks.groupBy("lang", "chunk", "owned").agg(F.count("*").alias("freq"))
 
 
-def phrase_counts(dictionary: DataFrame, size: int, least: int) -> DataFrame:
-    """``lang``, ``phrase`` and ``f`` of all phrases of ``size`` words that occur ``least`` times."""
+def _slot(lang: Column, words: list[Column], slots: int) -> Column:
+    return F.pmod(F.xxhash64(lang, *words), F.lit(slots))
+
+
+def marks(counted: DataFrame, size: int, most: int = _SLOTS) -> tuple[DataFrame, int]:
+    """One row with a bit map of the phrases of ``size`` words in ``counted``, and its number of bits.
+
+    Every phrase of the table is marked. Others may fall on a mark, the more so the fuller the map is:
+    it has 16 bits a phrase, ``most`` at the most. Its longs lie in blocks of 1024.
+    """
+    slots = min(max(1 << 16, 1 << (16 * counted.count()).bit_length()), most)
+    words = F.split("phrase", " ")
+    slot = _slot(F.col("lang"), [F.get(words, F.lit(k)) for k in range(size)], slots)
+    bit = F.expr("shiftleft(1L, CAST(slot & 63 AS INT))")
+    held = counted.select(slot.alias("slot")).groupBy(F.expr("slot >> 6").alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = counted.sparkSession.range(slots >> 6).join(held, "id", "left").select(
+        "id", F.expr("id >> 10").alias("block"), F.coalesce("bits", F.lit(0)).alias("bits")
+    )
+    in_order = lambda at, what: F.sort_array(F.collect_list(F.struct(at, what))).getField(what)
+    blocks = every.groupBy("block").agg(in_order("id", "bits").alias("longs"))
+    return materialise(blocks.agg(in_order("block", "longs").alias("blocks")), "marks"), slots
+
+
+def places_of(dictionary: DataFrame, size: int, shorter: DataFrame | None = None, most: int = _SLOTS) -> DataFrame:
+    """``lang``, ``phrase`` and ``freq`` of the places of ``size`` words in the dictionary's chunks.
+
+    With ``shorter``, phrases of one word less, only places where both of these in it are marked.
+    """
     split = dictionary.select("lang", F.split("chunk", " ").alias("w"), "owned", "freq")
-    runs = F.slice(_joined(F.col("w"), size), 1, F.col("owned"))
-    found = split.select("lang", F.explode(runs).alias("phrase"), "freq")
+    # Shifted copies side by side; they end early, and a place that lacks a word has NULL there. No row
+    # but the chunk's own holds all of its words.
+    shifted = [F.slice("w", k + 1, F.col("owned")).alias(f"w{k}") for k in range(size)]
+    words = [F.col(f"w{k}") for k in range(size)]
+    places = split.select("lang", "freq", F.inline(F.arrays_zip(*shifted))).filter(words[-1].isNotNull())
+    if shorter is not None:
+        marked, slots = marks(shorter, size - 1, most)
+        map_ = marked.scalar()
+        for part in (words[:-1], words[1:]):
+            slot = _slot(F.col("lang"), part, slots)
+            block = F.get(map_, F.shiftright(slot, 16).cast("int"))
+            long = F.get(block, F.shiftright(slot, 6).bitwiseAND(1023).cast("int"))
+            places = places.filter(F.getbit(long, slot.bitwiseAND(63).cast("int")) == 1)
+    return places.select("lang", F.concat_ws(" ", *words).alias("phrase"), "freq")
+
+
+def phrase_counts(dictionary: DataFrame, size: int, least: int, shorter: DataFrame | None = None) -> DataFrame:
+    """``lang``, ``phrase`` and ``f`` of all phrases of ``size`` words that occur ``least`` times.
+
+    ``shorter``, if given, holds all phrases of one word less that occur ``least`` times: a phrase is no
+    more frequent than the two of these in it.
+    """
+    found = places_of(dictionary, size, shorter)
     return found.groupBy("lang", "phrase").agg(F.sum("freq").alias("f")).filter(F.col("f") >= least)
 
 
@@ -111,7 +151,10 @@ def mine_collocations(
         parse(documents, text_column=text_column, lang_column=lang_column, longest=longest, period=period),
         "chunks",
     )
-    counts = [materialise(phrase_counts(dictionary, k, least), f"phrases{k}") for k in range(1, longest + 1)]
+    counts: list[DataFrame] = []
+    for k in range(1, longest + 1):
+        shorter = counts[-1] if counts else None
+        counts.append(materialise(phrase_counts(dictionary, k, least, shorter), f"phrases{k}"))
     words = dictionary.groupBy("lang").agg(F.sum(F.col("freq") * F.col("owned")).alias("n"))
     parts, candidates = counts[0], counts[1].withColumn("size", F.lit(2))
     for k, table in enumerate(counts[1:], start=2):

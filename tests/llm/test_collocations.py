@@ -90,5 +90,41 @@ def test_equal_passages_share_chunks(spark):
     assert sum(r.freq * r.owned for r in dictionary) == 40 * 403
 
 
+def summed(places):
+    count = Counter()
+    for r in places:
+        count[r.lang, r.phrase] += r.freq
+    return count
+
+
+@pytest.mark.parametrize("most", [1 << 16, 1 << 27])
+def test_places_of_rare_parts_are_left_out(spark, most):
+    rnd = random.Random(3)
+    rows = [(" ".join(rnd.choice(["a", "b", "c", f"rare{rnd.randrange(10**6)}"]) for _ in range(50)), lang)
+            for lang in ("en", None) for _ in range(40)]
+    dictionary = collocations.parse(frame(spark, rows)).cache()
+    for size in (2, 3):
+        shorter = collocations.phrase_counts(dictionary, size - 1, 10)
+        every = collocations.places_of(dictionary, size).collect()
+        held = collocations.places_of(dictionary, size, shorter, most).collect()
+        frequent = {k: n for k, n in summed(every).items() if n >= 10}
+        assert frequent and {k: n for k, n in summed(held).items() if n >= 10} == frequent
+        # three words of four are frequent, so that most places of two and three hold a rare part
+        known = {(r.lang, r.phrase) for r in shorter.collect()}
+        parts = lambda p: (p.rsplit(" ", 1)[0], p.split(" ", 1)[1])
+        certain = [r for r in every if all((r.lang, x) in known for x in parts(r.phrase))]
+        assert len(certain) <= len(held) < 0.75 * len(every)
+        assert len(held) < 1.05 * len(certain) + 5
+
+
+@pytest.mark.parametrize("blocks", [1, 2])
+def test_marks_of_a_full_map(spark, blocks):
+    counted = spark.createDataFrame([("en", f"w{i} v{i}", 10) for i in range(5000)], "lang string, phrase string, f long")
+    marked, slots = collocations.marks(counted, 2, blocks << 16)
+    longs = [x for block in marked.first().blocks for x in block]
+    assert slots == blocks << 16 and len(longs) == slots >> 6
+    assert 0.9 * 5000 < sum(bin(x % 2**64).count("1") for x in longs) <= 5000
+
+
 def test_empty_table(spark):
     assert collocations.mine_collocations(frame(spark, corpus(1)).limit(0)).collect() == []
