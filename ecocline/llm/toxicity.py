@@ -22,6 +22,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ _HIDDEN = re.compile(
     rf"[^\W\d_][{_SIGNS}{re.escape(FILLERS)}]+[^\W\d_]|(\w)\1\1|^[{_SIGNS}][^\W\d_]{{2}}|[^\W\d_]{{2}}[{_SIGNS}]$"
 )
 _MARKS = ".,;:?\"'()[]{}<>#%&*=/\\`~^-_"
+_ENDS = ".,;:?&%#"  # marks that are no look-alikes
 _PREFIXES = (4, 5, 6, 8)
 _MEMO = 100_000
 _DULL = 400_000  # tokens without any bearing that a task remembers
@@ -52,7 +54,7 @@ _FILED = 200_000  # tokens with some that it remembers
 _ERRORS = 2.3  # standard errors taken off a weight
 #: What may stand between the parts of a word besides blanks.
 _APART = re.compile(rf"[^\w{_SIGNS}]+|_+")
-_TWICE = re.compile(r"(.)\1")
+_TWICE, _THRICE = re.compile(r"(.)\1"), re.compile(r"(.)\1\1")
 _RUN, _SINGLES = re.compile(b"\1(?:\0?\1)+"), re.compile(b"\1{3,}")
 
 
@@ -73,16 +75,16 @@ def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     table = np.full(256, _EDGE, dtype=np.int32)
     table[97:123] = np.arange(26)
     table[128:] = _OTHER  # bytes of other letters
+    table[255] = _LETTERS**3  # no byte of UTF-8: it stands between texts, and no trigram holds it
     totals = np.zeros(_LETTERS**3, dtype=np.int64)
     for batch in batches:
-        for text in _values(batch, "text"):
-            if not text:
-                continue
-            raw = np.frombuffer(text.encode("utf-8", "surrogatepass").lower(), dtype=np.uint8)
+        values = _values(batch, "text")
+        while texts := [(t or "").encode("utf-8", "surrogatepass").lower() for t in islice(values, 128)]:
+            raw = np.frombuffer(b"\xff".join(texts), dtype=np.uint8)
             for at in range(0, len(raw), 1 << 20):
                 codes = table[raw[max(at - 2, 0) : at + (1 << 20)]]
                 grams = (codes[:-2] * _LETTERS + codes[1:-1]) * _LETTERS + codes[2:]
-                totals += np.bincount(grams, minlength=len(totals))
+                totals += np.bincount(grams[grams < len(totals)], minlength=len(totals))
     held = np.flatnonzero(totals)
     yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(totals[held])], names=["gram", "n"])
 
@@ -161,7 +163,7 @@ class Restorer:
         found = self.memo.get(token)
         if found is None:
             plain = token.strip(_MARKS).lower()
-            if not _HIDDEN.search(plain):
+            if not (_THRICE if plain.isalpha() else _HIDDEN).search(plain):
                 return (plain,)
             found = (plain, *decode(plain, self.model).split())
             if len(self.memo) < _MEMO:
@@ -206,9 +208,15 @@ def features(word: str) -> list[str]:
     return [word, *(f"{word[:n]}*" for n in _PREFIXES if len(word) >= n)]
 
 
-def _counted(counts: Counter) -> pa.RecordBatch:
+def text_features(words: set[str]) -> set[str]:
+    """The features of all words of a text."""
+    words = words - {""}
+    return words.union(*({w[:n] + "*" for w in words if len(w) >= n} for n in _PREFIXES))
+
+
+def _counted(kind: int, counts: Counter) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.int32()),
+        [pa.array(counts.keys(), pa.string()), pa.array([kind] * len(counts), pa.int32()),
          pa.array(counts.values(), pa.int64())],
         names=["feature", "kind", "n"],
     )
@@ -219,22 +227,25 @@ def _sample_words(model: np.ndarray):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restorer = Restorer(model)
-        counts: Counter = Counter()
+        kinds: list[Counter] = [Counter() for _ in range(4)]  # by half and label
         for batch in batches:
             columns = (_values(batch, c) for c in ("text", "half", "toxic"))
             for text, half, toxic in zip(*columns, strict=True):
-                group = 2 * half + toxic
-                counts.update({(f, group) for w in restorer.words(text or "") if w for f in features(w)})
-                counts[("", group)] += 1
-                if len(counts) > _MEMO:  # partial counts; they are summed after the shuffle
-                    yield _counted(counts)
-                    counts.clear()
-        yield _counted(counts)
+                counts = kinds[2 * half + toxic]
+                counts.update(text_features(restorer.words(text or "")))
+                counts[""] += 1
+                if sum(map(len, kinds)) > _MEMO:  # partial counts; they are summed after the shuffle
+                    for kind, counts in enumerate(kinds):
+                        yield _counted(kind, counts)
+                        counts.clear()
+        for kind, counts in enumerate(kinds):
+            yield _counted(kind, counts)
 
     return rows
 
 
 _ROOT, _NONE = frozenset({("", False)}), frozenset()
+_DULLY = (0.0, 0.0, (), ())  # what is learnt of a token without any bearing
 
 
 class Finder:
@@ -249,6 +260,8 @@ class Finder:
         self.goals = frozenset((w, True) for _, w in long)
         #: Beginnings of words, each with the largest weight of a word that begins so.
         self.begun = {w[:n]: weight for weight, w in long for n in range(1, len(w) + 1)}
+        #: The same for words that go on.
+        self.beyond = {w[:n]: weight for weight, w in long for n in range(1, len(w))}
         self.steps: dict[tuple, frozenset] = {}
         self.heads: dict[str, str] = {}
 
@@ -307,43 +320,64 @@ class Finder:
         """``opening`` has the parts of the tokens that leave beginnings open: words start there alone.
 
         A token of letters that only stand for themselves may come as these letters in place of its parts;
-        such a token alone is not reported. Words of at most ``second`` in weight may be left out.
+        such a token alone is not reported, and it opens nothing if no longer word begins so. Words of at most ``second`` in weight may be left out.
         """
         found: set[str] = set()
         goals, done = self.goals, -1
-        weight_of, head_of, ends = self.begun.get, self.heads.get, len(tokens) - 1
-        for start in [i for i, t in enumerate(tokens) if t in opening]:
-            if start <= done:
-                continue
-            parts = opening[tokens[start]]
+        weight_of, beyond_of, head_of, ends = self.begun.get, self.beyond.get, self.heads.get, len(tokens) - 1
+        opened = list(map(opening.get, tokens))
+        starts = [
+            i for i, parts in enumerate(opened) if parts is not None and (
+                parts.__class__ is not str  # else mostly no beginning goes on into the next token
+                or i < ends and (
+                    not (head := head_of(tokens[i + 1][:3])) or head[0] == parts[-1]
+                    or weight_of(parts + head, 0.0) > second
+                )
+            )
+        ]
+        live = set()  # where a beginning outlives the next token; the others' own words are found here
+        for start in starts:
+            parts = opened[start]
             plain = parts.__class__ is str
-            if start < ends and (plain or len(parts) == 1):  # mostly no beginning goes on into the next token
-                head = head_of(tokens[start + 1][:3])
+            if start < ends and (plain or len(parts) == 1):
+                token = tokens[start + 1]
+                head = head_of(token[:3])
                 if head is None:
-                    head = self.head(tokens[start + 1])
+                    head = self.head(token)
+                # What of the next token only stands for itself: all of it, or up to a letter that stands twice.
+                after = token.lower().rstrip(_ENDS)
+                if after.isalpha():
+                    if twice := _TWICE.search(after):
+                        after = after[: twice.start() + 1]
+                else:
+                    after = head
                 if plain:
-                    if head and head[0] != parts[-1] and weight_of(parts + head, 0.0) <= second:
-                        continue
+                    if after and weight_of(parts + after, 0.0) <= second:
+                        if after[0] != parts[-1] or weight_of(parts + after[1:], 0.0) <= second:
+                            continue
                 elif head and head[0] != parts[0][0][-1]:
                     states = parts[0][1]
                     for s, _ in states:
-                        if weight_of(s + head, 0.0) > second:
+                        if weight_of(s + head, 0.0) > second and weight_of(s + after, 0.0) > second:
                             break
                     else:
                         if not goals.isdisjoint(states):
                             found.update(s for s, _ in goals & states)
                         continue
-            elif plain:
-                continue  # nothing follows
+            live.add(start)
+        for start in sorted(live):
+            if start <= done:
+                continue
             states, last = _NONE, ""
             for done in range(start, len(tokens)):
-                token = tokens[done]
-                parts = opening.get(token)
+                parts = opened[done]
                 if parts is None:  # it opens nothing, and only goes on with what is open
-                    low = token.lower()
-                    parts = ((low, _NONE),) if low.isalpha() else self.parts(token)
+                    low = tokens[done].lower()
+                    parts = ((low, _NONE),) if low.isalpha() else [(p, _NONE) for p in _APART.split(low) if p]
                 elif parts.__class__ is str:
-                    parts = ((parts, frozenset([(parts, True)])),)
+                    parts = ((parts, frozenset([(parts, True)]) if done in live else _NONE),)
+                elif done not in live:
+                    parts = ((parts[0][0], _NONE),)
                 for part, begun in parts:
                     if states and (on := self.onward(states, part, last)):
                         states = begun | on if begun else on
@@ -352,7 +386,7 @@ class Finder:
                     if not goals.isdisjoint(states):
                         found.update(s for s, _ in goals & states)
                     if second and states:
-                        states = frozenset([x for x in states if weight_of(x[0]) > second])
+                        states = frozenset([x for x in states if beyond_of(x[0], 0.0) > second])
                     last = part[-1]
                 if not states:
                     break
@@ -364,9 +398,14 @@ class Scorer:
 
     def __init__(self, model: np.ndarray, weights: dict[str, float], fit: np.ndarray | None):
         self.restorer, self.weights, self.fit = Restorer(model), weights, fit
-        #: How the features of a word of four and more letters begin; the weights of beginnings.
-        self.stems = {f[:4] for f in weights}
         self.begins = {f[:-1]: weight for f, weight in weights.items() if f.endswith("*")}
+        #: How the features of a word of four and more letters begin: the weight of these letters, and
+        #: whether no feature that begins so has more; the beginnings of five letters.
+        best: dict[str, float] = {}
+        for f, weight in weights.items():
+            best[f[:4]] = max(weight, best.get(f[:4], 0.0))
+        self.fours = {b: (self.begins.get(b, 0.0), self.begins.get(b, 0.0) == weight) for b, weight in best.items()}
+        self.fives = {f[:5] for f in weights if len(f) > 4}
         self.finder = Finder([f for f in weights if not f.endswith("*")], self.known)
         #: Tokens without a weight or an open beginning, and of others what ``learnt`` says.
         self.dull: set[str] = set()
@@ -379,14 +418,20 @@ class Scorer:
         frequent ones come first, and the others are looked at again each time."""
         plain = token.strip(_MARKS).lower()
         plainly = plain.isalpha() and "(" not in token
+        if plainly and len(plain) >= 4:
+            # Where no feature begins so, it does not matter what letters beyond repeat one before.
+            four = self.fours.get(plain[:4])
+            if (four is None or not four[0] and len(plain) >= 5 and plain[:5] not in self.fives) and not _TWICE.search(
+                plain, 0, 5
+            ):
+                if len(self.dull) < _DULL:
+                    self.dull.add(token)
+                return _DULLY
         twice = _TWICE.search(plain) if plainly else None
         begun = self.finder.begun
         if plainly and twice is None:
             # Nothing is hidden: the word, and the only beginning that the token may leave open.
-            if len(plain) >= 4 and plain[:4] not in self.stems:
-                weight = promise = 0.0
-            else:
-                weight, promise = self.known(plain), begun.get(plain, 0.0)
+            weight, promise = self.known(plain), self.finder.beyond.get(plain, 0.0)
             if plain == token:
                 plain = token
             entry = weight, promise, plain, plain if weight else ()
@@ -412,8 +457,12 @@ class Scorer:
 
     def known(self, word: str) -> float:
         size = len(word)
-        if size >= 4 and word[:4] not in self.stems:
-            return 0.0
+        if size >= 4:
+            four = self.fours.get(word[:4])
+            if four is None:
+                return 0.0
+            if four[1] or size > 4 and word[:5] not in self.fives:
+                return four[0]
         weight = self.weights.get(word, 0.0)
         for n in _PREFIXES:
             if size < n:
