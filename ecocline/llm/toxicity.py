@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ecocline.sources.storage import materialise
+from ecocline.sources.storage import materialise, small_batches
 
 #: Signs and the letters they may stand for.
 LOOKALIKES = {
@@ -92,7 +92,8 @@ def _trigram_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 def character_model(texts: DataFrame) -> np.ndarray:
     """log P(letter | two letters before) from all texts, with one added to every count."""
     counted = texts.select("text").mapInArrow(_trigram_counts, "gram long, n long")
-    rows = counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()  # 28 ** 3 rows at most
+    with small_batches(texts.sparkSession):
+        rows = counted.groupBy("gram").agg(F.sum("n").alias("n")).collect()  # 28 ** 3 rows at most
     counts = np.ones(_LETTERS**3)
     for r in rows:
         counts[r.gram] += r.n
@@ -597,7 +598,8 @@ def learn(
         texts.filter(c("half") == h).mapInArrow(_sample_inputs(model, halves[1 - h]), "a double, b double, toxic int")
         for h in (0, 1)
     ]
-    fitted = of[0].union(of[1]).collect()  # bounded by ``sample``
+    with small_batches(spark):
+        fitted = of[0].union(of[1]).collect()  # bounded by ``sample``
     fitted = np.array(sorted((r.a, r.b, r.toxic) for r in fitted))  # sums in one order
     return weights, fit_logistic(np.column_stack([np.ones(len(fitted)), fitted[:, :2]]), fitted[:, 2])
 

@@ -13,6 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 _WRITTEN: list[str] = []
 #: Remove the shuffle files of a query at its end.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What a batch of rows on its way to Python holds at most: ten thousand long texts, Spark's own bound, are
+#: tens of MB, several times over, in either process of a task.
+_BATCH = ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,16 +60,30 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    with _set(spark, _CLEANUP, "true"), small_batches(spark):
         df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting inside the ``with`` block."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
     finally:
         if before is None:
-            spark.conf.unset(_CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+            spark.conf.set(key, before)
+
+
+def small_batches(spark: SparkSession):
+    """Inside the ``with`` block rows go to Python in batches of a few MB, or less where so set."""
+    key, most = _BATCH
+    own = spark.conf.get(key, None) or ""
+    return _set(spark, key, min(own, most, key=int) if own.isdigit() and int(own) > 0 else most)
 
 
 @contextmanager

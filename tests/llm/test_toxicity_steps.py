@@ -12,6 +12,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 sys.path[:0] = [ROOT, os.path.join(ROOT, "tests")]
 
 from ecocline.llm import toxicity  # noqa: E402
+from ecocline.sources import storage  # noqa: E402
 
 MODEL = np.log(np.full((28, 28, 28), 1 / 28))
 
@@ -99,3 +100,20 @@ def test_known_weights():
     for _ in range(3000):
         word = part(rnd.randrange(1, 12))
         assert of_word.known(word) == max([0.0, *(weights.get(f, 0.0) for f in toxicity.features(word))])
+
+
+def test_long_texts_go_to_python_few_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows], "mb": [batch.nbytes / 2**20]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    texts = spark.range(0, 2000, 1, 1).selectExpr("repeat(cast(id % 10 as string), 20000) AS text")
+    short = spark.range(0, 20000, 1, 1)
+    for frame, most in ((texts, 300), (short, 10000)):
+        seen = storage.materialise(frame.mapInArrow(sizes, "n long, mb double"), "sizes").collect()
+        assert sum(r.n for r in seen) == frame.count()
+        assert max(r.mb for r in seen) < 5 and max(r.n for r in seen) <= most
+    assert max(r.n for r in seen) == 10000  # short rows still go ten thousand at a time
+    assert spark.conf.get(key, None) == before
