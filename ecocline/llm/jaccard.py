@@ -16,9 +16,10 @@ text, of the first ones of its keys that with which it shares most keys; links b
 and only texts of one key that are still in different components, of fitting size and with a Hamming
 distance of their 256-bit parity sketches within the bound, are compared further. Near texts share
 many keys, so that each carries its smallest ones: a pair that has one of them in common is listed
-at that key alone, and every pair at its smallest common key. In both rounds
-the long sketches, of a bit a shingle or more, are compared before any text is moved: 256 bits
-cannot tell texts of a thousand words apart, these can at any length.
+at that key alone, and every pair at its smallest common key. 256 bits cannot tell texts of a
+thousand words apart, so that the second round's join also compares sketches of a bit for two
+shingles: long texts that only have a phrase in common share a key, but are never listed. In both rounds
+the long sketches, of a bit a shingle or more, are compared before any text is moved.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ecocline.llm.common import WordHasher, components, mix, shingles
@@ -270,10 +271,10 @@ def jaccard_join(
         F.min("first").alias("rep"), F.count_distinct("first").alias("texts")
     )
     same = whole.filter("first <> id").select(F.col("id").alias("a"), F.col("first").alias("b"))
-    reps = whole.filter("id = first").select(
-        "id", "size", *[F.conv(F.hex(F.substring("sketch", 1 + 8 * k, 8)), 16, -10)
-                        .cast("long").alias(f"s{k}") for k in range(4)]
-    ).distinct()  # fmt: skip; one row for every text that an id names
+    alone = whole.filter("id = first").withColumnRenamed("key", "set")
+    reps = alone.select(
+        "set", "id", "size", *[_word("sketch", F.lit(k)).alias(f"s{k}") for k in range(4)]
+    ).distinct()  # one row for every text that an id names
     rows = met.filter("sketch is null")
 
     # Texts that share a key are moved once, and read for both rounds. The join does not depend on
@@ -298,8 +299,9 @@ def jaccard_join(
         F.min("component").alias("low"), F.max("component").alias("high")
     ).filter("low < high").select("key")
     left = materialise(placed.join(open_keys, "key", "left_semi"), "open")
-    firsts = left.groupBy("id").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FIRST).alias("firsts"))
-    left = left.join(firsts, "id")
+    firsts = left.groupBy("set").agg(F.slice(F.sort_array(F.collect_set("key")), 1, _FIRST).alias("firsts"))
+    held = alone.join(left.select("set").distinct(), "set", "left_semi").select("set", _bits("sketch").alias("bits"))
+    left = left.join(firsts, "set").join(held.dropDuplicates(["set"]), "set")
     right = left.select("key", *[F.col(c).alias(f"{c}_b") for c in left.columns if c != "key"])
     apart = sum(F.bit_count(F.col(f"s{k}").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(4))
     met_before = F.array_min(F.array_intersect("firsts", "firsts_b")) < F.col("key")
@@ -309,7 +311,9 @@ def jaccard_join(
         & (100 * F.least("size", "size_b") >= percent * F.greatest("size", "size_b"))
         & ((100 + percent) * apart <= (100 - percent) * (F.col("size") + F.col("size_b")))
         & ~F.coalesce(met_before, F.lit(False))
-    )
+        & F.coalesce((100 + percent) * _apart("bits", "bits_b") <= (100 - percent) * (F.col("size") + F.col("size_b")),
+                     F.lit(True))
+    )
     rest = _listed(meet)
     rest = rest.join(pairs, ["a", "b"], "left_anti")
     more = _links(_plausible(rest, sketches, percent), texts, words, percent)
@@ -329,6 +333,32 @@ def jaccard_join(
     return out.union(nameless)
 
 
+def _word(sketch: str, k: Column) -> Column:
+    """The k-th 64 bits of a binary column."""
+    return F.conv(F.hex(F.substring(sketch, 1 + 8 * k, F.lit(8))), 16, -10).cast("long")
+
+
+def _halved(bits: Column) -> Column:
+    """The sketch of half the length."""
+    half = F.floor(F.size(bits) / 2).cast("int")
+    return F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+
+
+def _bits(sketch: str) -> Column:
+    """A set's sketch of at least a bit for two shingles, as an array of 64 bits each."""
+    longs = F.floor(F.length(sketch) / 8).cast("int")
+    long = F.transform(F.sequence(F.lit(4), longs - 1), lambda k: _word(sketch, k))
+    return F.when(longs > 4, _halved(long)).otherwise(F.array(*[_word(sketch, F.lit(k)) for k in range(4)]))
+
+
+def _apart(left: str, right: str) -> Column:
+    """Hamming distance of two sketches at the lesser of their lengths; NULL if one is more than twice as long."""
+    x, y = F.col(left), F.col(right)
+    short = [F.when(F.size(a) > F.size(b), _halved(a)).otherwise(a) for a, b in ((x, y), (y, x))]
+    differ = F.zip_with(*short, lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differ, F.lit(0), lambda total, n: total + n)
+
+
 def _listed(meet: DataFrame) -> DataFrame:
     """The pairs (a, b) of the second round's join, each once."""
     return meet.select(F.col("id_b").alias("a"), F.col("id").alias("b")).distinct()
