@@ -35,15 +35,20 @@ def block_reduce(
     compare: Callable[[pd.DataFrame, pd.DataFrame, bool], pd.DataFrame],
     schema: str,
     block: int = 1024,
+    blocks: int | None = None,
 ) -> DataFrame:
     """Run ``compare(left, right, same)`` once for every unordered pair of blocks of a group.
 
     ``same`` tells that both sides are the one block, so that each pair should be counted once.
-    The result has the group keys and the columns of ``schema``.
+    The result has the group keys and the columns of ``schema``. Where an id has several rows, ``blocks``
+    says how many blocks the ids of every group are dealt into.
     """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
     rows = df.select(*keys, row_id, *columns)
-    rows = keyed_join(rows, sizes, keys)
+    if blocks is None:
+        sizes = df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias("__blocks"))
+        rows = keyed_join(rows, sizes, keys)
+    else:
+        rows = rows.withColumn("__blocks", F.lit(blocks))
     rows = rows.withColumn(
         "__own", F.pmod(F.xxhash64(row_id), F.col("__blocks")).cast("int")
     ).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)))

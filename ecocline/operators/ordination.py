@@ -15,7 +15,7 @@ from ecocline.operators.monotone import monotone_fit
 from ecocline.operators.ordering import positions
 from ecocline.operators.scaling import principal_axes  # noqa: F401
 from ecocline.operators.summaries import attach
-from ecocline.sources.storage import cut_lineage
+from ecocline.sources.storage import cut_lineage, materialise
 
 
 def standardise(
@@ -51,65 +51,96 @@ def all_pairs(sites: DataFrame, site: str, block: int = 256) -> DataFrame:
     return met.select(F.least("a", "b").alias("site_a"), F.greatest("a", "b").alias("site_b"))
 
 
-def _shared(left: pd.DataFrame, right: pd.DataFrame, slab: int = 512) -> np.ndarray:
-    """Sum over taxa of the lesser value, for every site of two blocks; taxa a slab at a time."""
-    taxa = np.intersect1d(
-        *(np.unique(np.concatenate([np.asarray(t, dtype=object) for t in side["taxa"]])) for side in (left, right))
-    )
-    out = np.zeros((len(left), len(right)))
-    at = {t: i for i, t in enumerate(taxa)}
+#: Cells of a block that one task holds of either side at most, about.
+_CELLS = 250_000
+
 
-    def cells(side: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        row = np.repeat(np.arange(len(side)), [len(t) for t in side["taxa"]])
-        column = np.array([at.get(t, -1) for ts in side["taxa"] for t in ts], dtype=np.int64)
-        return row, column, np.concatenate([np.asarray(v, dtype=float) for v in side["values"]])
+def _shared(left: pd.DataFrame, right: pd.DataFrame, sizes: tuple[int, int], slab: int = 512) -> np.ndarray:
+    """Sum over taxa of the lesser value, for every site of two blocks; taxa a slab at a time.
 
-    (lr, lc, lv), (rr, rc, rv) = cells(left), cells(right)
-    for low in range(0, len(taxa), slab):
-        width = min(slab, len(taxa) - low)
+    A side has a row for each cell: the number of its site (``row``), ``taxon`` and ``v``.
+    """
+    code, taxa = pd.factorize(pd.concat([left["taxon"], right["taxon"]], ignore_index=True), use_na_sentinel=False)
+    ends = code[: len(left)], code[len(left) :]
+    both = np.logical_and(*(np.bincount(c, minlength=len(taxa)) > 0 for c in ends))
+    number = np.where(both, np.cumsum(both) - 1, -1)
+    sides = []
+    for side, c in zip((left, right), ends):
+        column = number[c]
+        order = np.argsort(column, kind="stable")
+        order = order[np.searchsorted(column[order], 0) :]
+        sides.append((side["row"].to_numpy()[order], column[order], side["v"].to_numpy()[order]))
+    out = np.zeros(sizes)
+    for low in range(0, int(both.sum()), slab):
         held = []
-        for n, r, c, v in ((len(left), lr, lc, lv), (len(right), rr, rc, rv)):
-            use = (c >= low) & (c < low + width)
-            dense = np.zeros((n, width))
-            dense[r[use], c[use] - low] = v[use]
+        for n, (row, column, v) in zip(sizes, sides):
+            use = slice(*np.searchsorted(column, (low, low + slab)))
+            dense = np.zeros((n, slab))
+            dense[row[use], column[use] - low] = v[use]
             held.append(dense)
-        for i, row in enumerate(held[0]):
-            out[i] += np.minimum(row, held[1]).sum(axis=1)
+        for i, values in enumerate(held[0]):
+            out[i] += np.minimum(values, held[1]).sum(axis=1)
     return out
 
 
 def bray_curtis(
-    cover: DataFrame, site: str, taxon: str, value: str, block: int = 256
+    cover: DataFrame, site: str, taxon: str, value: str, block: int = 256, cells: int = _CELLS
 ) -> DataFrame:
     """Bray-Curtis dissimilarity ``(site_a, site_b, dissimilarity)`` of every two sites.
 
-    Two sites that share no taxon are at 1. A site is one row with its taxa and values; sites are hashed into
-    blocks of about ``block``, and each pair of blocks is compared in one task, its taxa a slab at a time.
+    Two sites that share no taxon are at 1. Sites are hashed into blocks of about ``block``, and taxa into so
+    many parts that a part of a block has about ``cells`` cells. A task compares one part of two blocks, its
+    taxa a slab at a time; the shared sums of a pair are then added over the parts. So a task is bounded
+    however many taxa a site has. A missing site takes no part; a missing taxon is shared with nobody.
     """
     kind = cover.schema[site].dataType.simpleString()
-    present = cover.filter(F.col(value) > 0).groupBy(site, taxon).agg(F.sum(value).cast("double").alias("v"))
-    rows = present.groupBy(site).agg(
-        F.collect_list(F.struct(F.col(taxon).alias("t"), "v")).alias("c"), F.sum("v").alias("total")
+    present = cover.filter((F.col(value) > 0) & F.col(site).isNotNull())
+    present = present.groupBy(F.col(site).alias("site"), F.col(taxon).alias("taxon")).agg(
+        F.sum(value).cast("double").alias("v")
+    )
+    present = materialise(present, "cells")
+    sites = materialise(present.groupBy("site").agg(
+        F.sum("v").alias("v"), F.min("taxon").alias("taxon"), F.count("taxon").alias("cells")
+    ), "sites")
+    blocks = max(1, -(-sites.count() // block))
+    own = F.pmod(F.xxhash64("site"), F.lit(blocks)).alias("own")
+    most = sites.groupBy(own).agg(F.sum("cells").alias("cells")).agg(F.max("cells")).first()[0]
+    parts = max(1, -(-(most or 0) // cells))
+    part = F.pmod(F.xxhash64("taxon"), F.lit(parts)).cast("int").alias("part")
+    rows = present.filter("taxon IS NOT NULL").select("site", "taxon", "v", part, F.lit(False).alias("whole"))
+    # Part 0 also has every site's total, and lists pairs that share nothing.
+    rows = rows.unionByName(
+        sites.select("site", "taxon", "v", F.lit(0).alias("part"), F.lit(True).alias("whole"))
     )
-    rows = rows.select(site, F.col("c.t").alias("taxa"), F.col("c.v").alias("values"), "total")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        if not len(left) or not len(right):  # a block that no site fell into
-            return pd.DataFrame({"site_a": left[site], "site_b": left[site], "dissimilarity": left["total"]}).iloc[:0]
-        total = left["total"].to_numpy()[:, None] + right["total"].to_numpy()[None, :]
-        d = 1 - 2 * _shared(left, right) / total
-        a, b = left[site].to_numpy(), right[site].to_numpy()
-        i, j = np.nonzero(a[:, None] < b[None, :]) if same else map(np.ravel, np.indices(d.shape))
+        ids, totals, held = [], [], []
+        for side in (left, right):
+            row, names = pd.factorize(side["site"])
+            whole = side["whole"].to_numpy(dtype=bool)
+            total = np.zeros(len(names))
+            total[row[whole]] = side["v"].to_numpy()[whole]
+            ids.append(np.asarray(names))
+            totals.append(total)
+            held.append(side[["taxon", "v"]].assign(row=row)[~whole])
+        shared = _shared(*held, (len(ids[0]), len(ids[1])))
+        total = totals[0][:, None] + totals[1][None, :]
+        a, b = ids
+        use = (shared > 0) | (total != 0)
+        i, j = np.nonzero(use & (a[:, None] < b[None, :]) if same else use)
         swap = a[i] > b[j]
         return pd.DataFrame({
             "site_a": np.where(swap, b[j], a[i]), "site_b": np.where(swap, a[i], b[j]),
-            "dissimilarity": d[i, j],
+            "shared": shared[i, j], "total": total[i, j],
         })
 
-    return block_reduce(
-        rows, [], site, ["taxa", "values", "total"], compare,
-        f"site_a {kind}, site_b {kind}, dissimilarity double", block,
+    out = block_reduce(
+        rows, ["part"], "site", ["taxon", "v", "whole"], compare,
+        f"site_a {kind}, site_b {kind}, shared double, total double", blocks=blocks,
     )
+    if parts > 1:
+        out = out.groupBy("site_a", "site_b").agg(F.sum("shared").alias("shared"), F.sum("total").alias("total"))
+    return out.select("site_a", "site_b", (1 - 2 * F.col("shared") / F.col("total")).alias("dissimilarity"))
 
 
 def pair_distances(
