@@ -21,12 +21,17 @@ from ecocline.sources.storage import cut_lineage, materialise
 def standardise(
     cover: DataFrame, site: str, taxon: str, value: str, root: bool = True
 ) -> DataFrame:
-    """Square root, then each value over its taxon's maximum, then over its site's total."""
+    """Square root, then each value over its taxon's maximum, then over its site's total.
+
+    Values over their maximum and totals are stored: a short list of totals is then sent to the rows by its
+    measured size, and no site's rows are dealt to one task.
+    """
     v = F.sqrt(F.col(value)) if root else F.col(value).cast("double")
     base = cover.filter(F.col(value) > 0).select(site, taxon, v.alias(value))
     top = base.groupBy(taxon).agg(F.max(value).alias("__top"))
-    scaled = base.join(top, taxon).withColumn(value, F.col(value) / F.col("__top"))
-    total = scaled.groupBy(site).agg(F.sum(value).alias("__total"))
+    scaled = base.join(top, taxon).select(site, taxon, (F.col(value) / F.col("__top")).alias(value))
+    scaled = materialise(scaled, "scaled")
+    total = materialise(scaled.groupBy(site).agg(F.sum(value).alias("__total")), "totals")
     scaled = scaled.join(total, site).withColumn(value, F.col(value) / F.col("__total"))
     return scaled.select(site, taxon, value)
 
