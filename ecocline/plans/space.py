@@ -432,8 +432,7 @@ def bray_curtis(spark, sf):
     return rounded(ordination.bray_curtis(_region_cover(spark, sf), "nation", "taxon", "count"), 9)
 
 
-def _ordination(spark, sf):
-    cover = _region_cover(spark, sf)
+def _ordination(cover):
     scaled = ordination.standardise(cover, "nation", "taxon", "count")
     pairs = storage.cut_lineage(ordination.bray_curtis(scaled, "nation", "taxon", "count"))
     sites = cover.select("nation").distinct()
@@ -502,7 +501,7 @@ FROM axes LEFT JOIN regions USING (nation)""",
 )
 def site_ordination(spark, sf):
     """Nations on two ordination axes, with their environment."""
-    _, scores = _ordination(spark, sf)
+    _, scores = _ordination(_region_cover(spark, sf))
     table = ordination.scores_with(
         scores, regions(spark, sf), "nation", {"price_cv": "price_cv", "tax_cv": "tax_cv"}
     )
@@ -526,7 +525,7 @@ FROM pp JOIN pk USING (x) JOIN pf USING (k)""",
 )
 def ordination_stress(spark, sf):
     """Stress of the two-axis ordination against a monotone fit."""
-    pairs, scores = _ordination(spark, sf)
+    pairs, scores = _ordination(_region_cover(spark, sf))
     both = ordination.pair_distances(pairs, scores, "nation", ["axis1", "axis2"])
     return rounded(ordination.stress(ordination.shepard_fit(both, "dissimilarity", "distance"), "distance"))
 
@@ -555,9 +554,10 @@ SELECT taxon, round(axis1, 6) + 0.0 AS axis1, round(axis2, 6) + 0.0 AS axis2,
 )
 def taxon_score_table(spark, sf):
     """Taxa on the ordination's axes, with their short name, traits and broad group."""
-    _, scores = _ordination(spark, sf)
+    cover = _region_cover(spark, sf)
+    _, scores = _ordination(cover)
     axes = ["axis1", "axis2"]
-    placed = ordination.taxon_scores(_region_cover(spark, sf), scores, "nation", "taxon", "count", axes)
+    placed = ordination.taxon_scores(cover, scores, "nation", "taxon", "count", axes)
     details = taxa(spark, sf).withColumns({"short": short_name("taxon_name"), "broad": _broad()})
     shown = {"short": "name", "taxon_group": "taxon_group", "morph": "morph", "broad": "broad"}
     return rounded(ordination.scores_with(placed, details, "taxon", shown))
