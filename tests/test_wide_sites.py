@@ -120,3 +120,9 @@ def test_query_equals_its_sql_in_many_parts(spark, monkeypatch, folder, name):
     monkeypatch.setattr(space, "_region_cover", lambda *a, f=space._region_cover: covers.append(a) or f(*a))
     assert compare(spark, views(folder), folder, name, QUERIES[name], ORACLES[name]) is None
     assert len(covers) == 1
+
+
+def test_stress_does_not_depend_on_the_parts(spark, monkeypatch, folder):
+    whole = QUERIES["ordination_stress"](spark, folder).first().stress
+    monkeypatch.setattr(ordination, "bray_curtis", partial(ordination.bray_curtis, block=2, cells=5))
+    assert QUERIES["ordination_stress"](spark, folder).first().stress == whole > 0
